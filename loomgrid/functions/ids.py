@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 # Signs and words that stand for "no value", lower case, trimmed.
 MISSING_WORDS = [
-    "", "-", "--", "?", "#n/a", "(blank)", "<na>", "blank", "empty", "missing", "n.a", "n.a.", "n.k", "n.k.",
-    "n/a", "na", "nan", "nil", "no value", "none", "not applicable", "not available", "not known",
-    "not provided", "not recorded", "not reported", "not specified", "null", "pending", "tba", "tbd",
-    "unk", "unknown", "unspecified",
+    "#n/a", "#na", "#value!", "(blank)", "(none)", "(null)", "<na>", "<null>", "blank", "empty", "missing", "n.a", "n.a.", "n.d", "n.d.", "n.k", "n.k.",
+    "n/a", "n/d", "n/k", "na", "nan", "nd", "nil", "nk", "no value", "none", "not applicable", "not available", "not known",
+    "not determined", "not given", "not provided", "not recorded", "not reported", "not specified", "null", "pending", "tba", "tbd",
+    "undefined", "unk", "unknown", "unspecified", "void",
 ]
 
+#: A text without any letter or digit says nothing.
+NO_SIGN = r"^[^\p{L}\p{N}]*$"
 _BLANK = r"[\s ​﻿]+"
 
 
@@ -41,7 +43,8 @@ def tidy(col: Column) -> Column:
 
 
 def is_missing_text(col: Column) -> Column:
-    return F.coalesce(F.lower(tidy(col)).isin(MISSING_WORDS), F.lit(True))
+    text = F.lower(tidy(col))
+    return F.coalesce(text.isin(MISSING_WORDS) | text.rlike(NO_SIGN), F.lit(True))
 
 
 def usable_text(col: Column) -> Column:

@@ -103,17 +103,19 @@ def schema_drift(raw: DataFrame, agreement: float = 0.95) -> Drift:
     def identifying(which: str, step: int) -> DataFrame:
         most = W.partitionBy("series", "idx")
         own = catalogue.select("series", (F.col("idx") + step).alias("idx"), F.col("field_name").alias(f"{which}_field"), "n_distinct")
-        return own.withColumn("_most", F.max("n_distinct").over(most)).filter(F.col("n_distinct") >= 0.8 * F.col("_most")).drop("_most", "n_distinct")
+        return own.withColumn("_most", F.max("n_distinct").over(most)).filter(F.col("n_distinct") >= 0.8 * F.col("_most")).drop("_most").withColumnRenamed("n_distinct", f"{which}_distinct")
 
     old, new = side("old", 1), side("new", 0)
     at = ["series", "idx"]
-    old_ids = old.join(identifying("old", 1), [*at, "old_field"], "left_semi")
-    new_ids = new.join(identifying("new", 0), [*at, "new_field"], "left_semi")
+    old_ids = old.join(identifying("old", 1), [*at, "old_field"])
+    new_ids = new.join(identifying("new", 0), [*at, "new_field"])
     shared = (
-        old_ids.select(*at, "old_field", "comp").distinct().join(new_ids.select(*at, "new_field", "comp").distinct(), [*at, "comp"])
-        .groupBy(*at, "old_field", "new_field").agg(F.count("*").alias("n"))
+        old_ids.select(*at, "old_field", "old_distinct", "comp").distinct().join(new_ids.select(*at, "new_field", "new_distinct", "comp").distinct(), [*at, "comp"])
+        .groupBy(*at, "old_field", "new_field").agg(F.count("*").alias("n"), (F.max("old_distinct") + F.max("new_distinct")).alias("distinct"))
     )
-    best = W.partitionBy(*at).orderBy(F.desc("n"), F.desc(F.col("old_field") == F.col("new_field")), "old_field", "new_field")
+    # of the pairs that share most values, the one that tells most records apart
+    shared = shared.withColumn("_most", F.max("n").over(W.partitionBy(*at))).filter(F.col("n") >= 0.8 * F.col("_most"))
+    best = W.partitionBy(*at).orderBy(F.desc("distinct"), F.desc("n"), F.desc(F.col("old_field") == F.col("new_field")), "old_field", "new_field")
     link = shared.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*at, "old_field", "new_field")
     old_keys = old_ids.join(link.select(*at, "old_field"), [*at, "old_field"]).select(*at, "raw_id", F.col("comp").alias("record_key"))
     new_keys = new_ids.join(link.select(*at, "new_field"), [*at, "new_field"]).select(*at, "raw_id", F.col("comp").alias("record_key"))

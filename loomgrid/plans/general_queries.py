@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.ids import donor_id, is_missing_text, model_id, usable_text
+from loomgrid.functions.labels import entrez_of
 from loomgrid.operators.drift import alias_table, schema_drift, unified_table
+from loomgrid.operators.impute import Field, fill_missing, filled_cells
+from loomgrid.operators.lookup import salted_lookup
 from loomgrid.operators.profile import ColumnRule, column_profile, load_findings, value_counts
 from loomgrid.operators.references import orphan_references, orphan_report, parent_intervals
 from loomgrid.sources.tables import table
@@ -40,6 +43,50 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _category(name: str) -> F.Column:
+    return F.initcap(usable_text(F.col(name)))
+
+
+def _filled_models(spark: SparkSession, d: str) -> DataFrame:
+    """Lineage, sex and age from rows of the same donor; without one, from those of the same model."""
+    age = F.when(F.col("age").between(0, 120), F.col("age").cast("double"))
+    fields = [Field("oncotreelineage", _category("oncotreelineage")), Field("sex", _category("sex")), Field("age", age, numeric=True)]
+    group = F.coalesce(donor_id(F.col("patientid")), model_id(F.col("modelid")))
+    return fill_missing(table(spark, d, "depmap_model"), "row_id", fields, group)
+
+
+def model_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """``model_key, lineage``: the lineage most of a model's rows give, ties by name."""
+    models = table(spark, d, "depmap_model").select(model_id(F.col("modelid")).alias("model_key"), _category("oncotreelineage").alias("lineage"))
+    votes = models.filter("model_key is not null and lineage is not null").groupBy("model_key", "lineage").agg(F.count("*").alias("n"))
+    return votes.groupBy("model_key").agg(F.min_by("lineage", F.struct(-F.col("n"), "lineage")).alias("lineage"))
+
+
+def _filled_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Effects from rows of the same gene and lineage."""
+    effects = table(spark, d, "crispr_gene_effect")
+    key = F.coalesce(model_id(F.col("modelid")), F.concat(F.lit("?"), F.col("row_id").cast("string")))
+    rows = salted_lookup(effects.withColumn("model_key", key), model_lineage(spark, d), "model_key", "row_id").withColumn("entrez", entrez_of(F.col("gene")))
+    effect = F.when(F.col("effect").between(-10, 10), F.col("effect").cast("double"))
+    group = F.when(F.col("lineage").isNotNull() & F.col("entrez").isNotNull(), F.concat_ws("|", "entrez", "lineage"))
+    context = [Field("entrez", F.col("entrez")), Field("lineage", F.col("lineage"))]
+    return fill_missing(rows, "row_id", [Field("effect", effect, numeric=True)], group, context, components=8)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    models = filled_cells(_filled_models(spark, d), "depmap_model", "row_id", ["oncotreelineage", "sex", "age"])
+    return models.unionByName(filled_cells(_filled_effects(spark, d), "crispr_gene_effect", "row_id", ["effect"]))
+
+
+def p3_models(spark: SparkSession, d: str) -> DataFrame:
+    names = ["oncotreelineage", "sex", "age"]
+    return _filled_models(spark, d).select("row_id", "modelid", *[c for n in names for c in (f"{n}_filled", f"{n}_was_missing")])
+
+
+def p3_effects(spark: SparkSession, d: str) -> DataFrame:
+    return _filled_effects(spark, d).select("row_id", "modelid", "gene", "effect_filled", "effect_was_missing")
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     def refs(name: str) -> DataFrame:
         t = table(spark, d, name)
@@ -66,4 +113,4 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return unified_table(drift, alias_table(drift))
 
 
-QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_unified": p6_unified}
+QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_models": p3_models, "p3_effects": p3_effects, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_unified": p6_unified}

@@ -2,4 +2,99 @@
 
 from __future__ import annotations
 
+from loomgrid.functions.ids import MISSING_WORDS
+
 SQL: dict[str, str] = {}
+
+
+def model_id_sql(col: str) -> str:
+    digits = f"regexp_extract(upper(regexp_replace({col}, '[^0-9A-Za-z]', '', 'g')), '^ACH0*([0-9]+)$', 1)"
+    return f"(CASE WHEN {digits} <> '' THEN 'ACH-' || CASE WHEN length({digits}) >= 6 THEN {digits} ELSE lpad({digits}, 6, '0') END END)"
+
+
+def donor_id_sql(col: str) -> str:
+    digits = f"regexp_extract(upper(regexp_replace({col}, '[^0-9A-Za-z]', '', 'g')), '^PT0*([1-9][0-9]*)$', 1)"
+    return f"(CASE WHEN {digits} <> '' THEN 'PT-' || CASE WHEN length({digits}) >= 5 THEN {digits} ELSE lpad({digits}, 5, '0') END END)"
+
+
+def missing_sql(col: str) -> str:
+    text = f"lower(trim(regexp_replace({col}, '[\\s\\x{{00A0}}\\x{{200B}}\\x{{FEFF}}]+', ' ', 'g')))"
+    words = ", ".join("'" + w + "'" for w in MISSING_WORDS)
+    return f"coalesce({text} IN ({words}) OR regexp_full_match({text}, '[^\\p{{L}}\\p{{N}}]*'), true)"
+
+
+ORPHANS = f"""
+WITH p AS (
+  SELECT {model_id_sql("modelid")} AS k, min(loaded_at) AS since, min(withdrawn_at) AS until
+  FROM depmap_model WHERE {model_id_sql("modelid")} IS NOT NULL GROUP BY 1
+), r AS (
+  SELECT 'crispr_gene_effect' AS table_name, row_id, modelid, loaded_at FROM crispr_gene_effect WHERE modelid IS NOT NULL
+  UNION ALL SELECT 'expression_profile', row_id, modelid, loaded_at FROM expression_profile WHERE modelid IS NOT NULL
+), o AS (
+  SELECT r.table_name, r.row_id, r.loaded_at, coalesce({model_id_sql("r.modelid")}, r.modelid) AS ref_key,
+    CASE WHEN p.k IS NULL THEN 'missing' WHEN p.since > r.loaded_at THEN 'late' WHEN p.until <= r.loaded_at THEN 'deleted' END AS kind
+  FROM r LEFT JOIN p ON p.k = {model_id_sql("r.modelid")}
+)"""
+SQL["p4_found"] = ORPHANS + " SELECT table_name, row_id, kind FROM o WHERE kind IS NOT NULL"
+SQL["p4_report"] = ORPHANS + """
+ SELECT table_name, strftime(loaded_at, '%Y-%m') AS period, kind, count(*) AS n_rows, count(DISTINCT ref_key) AS n_keys
+ FROM o WHERE kind IS NOT NULL GROUP BY 1, 2, 3"""
+
+SQL["p3_found"] = " UNION ALL ".join(
+    [
+        f"SELECT 'depmap_model' AS table_name, row_id, '{c}' AS field_name FROM depmap_model WHERE {missing_sql(c)}"
+        for c in ("oncotreelineage", "sex")
+    ]
+    + [
+        "SELECT 'depmap_model', row_id, 'age' FROM depmap_model WHERE age IS NULL OR age NOT BETWEEN 0 AND 120",
+        "SELECT 'crispr_gene_effect', row_id, 'effect' FROM crispr_gene_effect WHERE effect IS NULL OR isnan(effect) OR effect NOT BETWEEN -10 AND 10",
+    ]
+)
+
+# Fixed names: the gene columns of expression_profile, numbers first, then those held as text.
+NUMBER_GENES = [
+    "zvlvx4_700103", "nskq4_700141", "sdllv17_700181", "rzllv9_700223", "mgpfx17_700313", "dwlbv20_700332", "fflv15_700382",
+    "bvlz22_700405", "bmpsz6_700459", "bzxpx19_700486", "rhmpz29_700515", "bxfzx26_700575", "nlrzq10_700643", "xhlpx4_700680",
+    "hlrhq28_700719", "rvxk10_700760", "hrmrk15_700774", "xzdk29_700819", "vsgdx8_700866", "blwfq12_700886", "nkmk28_700961",
+    "fkhk1_701016", "vnfx10_701044", "dnkcz4_701074", "cshx21_701106", "nbnz10_701140", "unlabelled_feature",
+]
+TEXT_GENES = ["ngpq3_700267", "xszfz2_700608", "sfgz17_700937"]
+PLAIN = "^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$"
+
+
+def _long() -> str:
+    parts = []
+    for c in NUMBER_GENES:
+        parts.append(f"SELECT 'expression_profile' AS t, '{c}' AS c, load_id AS l, CASE WHEN NOT isnan({c}) THEN {c}::DOUBLE END AS num, NULL::VARCHAR AS txt FROM expression_profile")
+    for c in TEXT_GENES:
+        ok = f"regexp_matches(trim({c}), '{PLAIN}')"
+        parts.append(f"SELECT 'expression_profile', '{c}', load_id, CASE WHEN {ok} THEN try_cast(trim({c}) AS DOUBLE) END, CASE WHEN NOT {ok} THEN {c} END FROM expression_profile")
+    for c in ("modelid", "modelconditionid"):
+        parts.append(f"SELECT 'expression_profile', '{c}', load_id, NULL, {c} FROM expression_profile")
+    parts.append("SELECT 'crispr_gene_effect', 'modelid', load_id, NULL, modelid FROM crispr_gene_effect")
+    parts.append("SELECT 'crispr_gene_effect', 'effect', load_id, CASE WHEN NOT isnan(effect) THEN effect::DOUBLE END, NULL FROM crispr_gene_effect")
+    return " UNION ALL ".join(parts)
+
+
+SQL["p2_found"] = f"""
+WITH x AS ({_long()}), s AS (
+  SELECT t, c, l, c IN ('modelid', 'modelconditionid') AS is_id,
+    avg(CASE WHEN num IS NULL AND txt IS NULL THEN 1.0 ELSE 0.0 END) AS miss,
+    count(num) AS nn, min(num) AS lo, max(num) AS hi,
+    sum(CASE WHEN c NOT IN ('modelid', 'modelconditionid') AND txt IS NOT NULL THEN 1 ELSE 0 END) AS bad,
+    sum(CASE WHEN c = 'effect' AND (num < -10 OR num > 10) OR c <> 'effect' AND (num < 0 OR num > 20) THEN 1 ELSE 0 END) AS outside,
+    sum(CASE WHEN c = 'modelid' AND NOT regexp_matches(txt, '^ACH-[0-9]{{6,}}$') OR c = 'modelconditionid' AND NOT regexp_matches(txt, '^MC-[0-9]{{6,}}(-alt[0-9]*)?$') THEN 1 ELSE 0 END) AS form,
+    quantile_cont(num, 0.25) AS q1, quantile_cont(num, 0.5) AS q2, quantile_cont(num, 0.75) AS q3
+  FROM x GROUP BY 1, 2, 3
+), b AS (
+  SELECT s.*, lag(miss) OVER w AS pmiss, lag(q1) OVER w AS p1, lag(q2) OVER w AS p2, lag(q3) OVER w AS p3, centre
+  FROM s LEFT JOIN load_batch lb ON lb.load_id = s.l AND lb.table_name = s.t
+  WINDOW w AS (PARTITION BY t, c, centre ORDER BY seq)
+), f AS (
+  SELECT t, c, l, 'pattern' AS finding FROM b WHERE is_id AND form > 0
+  UNION ALL SELECT t, c, l, 'nonnumeric' FROM b WHERE bad > 0
+  UNION ALL SELECT t, c, l, 'range' FROM b WHERE outside > 0
+  UNION ALL SELECT t, c, l, 'constant' FROM b WHERE nn >= 2 AND lo = hi
+  UNION ALL SELECT t, c, l, 'nulls' FROM b WHERE centre IS NOT NULL AND miss - pmiss > 0.15
+  UNION ALL SELECT t, c, l, 'shift' FROM b WHERE centre IS NOT NULL AND p3 - p1 > 0 AND abs(q2 - p2) > p3 - p1
+) SELECT t AS table_name, c AS column_name, l AS load_id, finding FROM f"""
