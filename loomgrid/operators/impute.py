@@ -75,9 +75,8 @@ def _statistics(model: Mixture, batch: pd.DataFrame) -> np.ndarray:
     r = model.responsibilities(codes, numbers) * w
     parts = [r.sum(axis=0)]
     for f, c in codes.items():
-        table = np.zeros((len(model.levels[f]), r.shape[1]))
-        np.add.at(table, c[c >= 0], r[c >= 0])
-        parts.append(table.T.ravel())
+        seen, m = c >= 0, len(model.levels[f])
+        parts.append(np.concatenate([np.bincount(c[seen], weights=r[seen, k], minlength=m)[:m] for k in range(r.shape[1])]))
     for f, x in numbers.items():
         seen = ~np.isnan(x)
         rs, xs = r[seen], x[seen, None]

@@ -12,6 +12,7 @@ from loomgrid.operators.impute import Field, fill_missing, filled_cells
 from loomgrid.operators.lookup import salted_lookup
 from loomgrid.operators.profile import ColumnRule, column_profile, load_findings, value_counts
 from loomgrid.operators.references import orphan_references, orphan_report, parent_intervals
+from loomgrid.sources.staging import stage
 from loomgrid.sources.tables import table
 
 PROFILE_META = ["row_id", "sequencingid", "modelconditionid", "modelid", "isdefaultentryformc", "isdefaultentryformodel", "sequenced_at", "load_id", "loaded_at"]
@@ -66,7 +67,9 @@ def _filled_effects(spark: SparkSession, d: str) -> DataFrame:
     """Effects from rows of the same gene and lineage."""
     effects = table(spark, d, "crispr_gene_effect")
     key = F.coalesce(model_id(F.col("modelid")), F.concat(F.lit("?"), F.col("row_id").cast("string")))
-    rows = salted_lookup(effects.withColumn("model_key", key), model_lineage(spark, d), "model_key", "row_id").withColumn("entrez", entrez_of(F.col("gene")))
+    rows = salted_lookup(effects.withColumn("model_key", key), model_lineage(spark, d), "model_key", "row_id")
+    # joined once: fitting reads it in every pass
+    rows = stage(rows.select("row_id", "modelid", "gene", "effect", "lineage", entrez_of(F.col("gene")).alias("entrez")), "effects")
     effect = F.when(F.col("effect").between(-10, 10), F.col("effect").cast("double"))
     group = F.when(F.col("lineage").isNotNull() & F.col("entrez").isNotNull(), F.concat_ws("|", "entrez", "lineage"))
     context = [Field("entrez", F.col("entrez")), Field("lineage", F.col("lineage"))]
