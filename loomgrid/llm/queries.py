@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.ids import donor_id, model_id, plain_number
 from loomgrid.llm.overlap import cross_split_overlaps, split_sides
 from loomgrid.llm.splits import entity_groups, grouped_splits
+from loomgrid.llm.textstats import judge, text_statistics
 from loomgrid.plans.general_queries import gene_columns, model_lineage
 from loomgrid.sources.staging import stage
 from loomgrid.sources.tables import table
@@ -61,4 +62,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return held.join(made, "entity", "left").groupBy("overlap", "split", F.coalesce("centre", F.lit("none")).alias("centre")).agg(F.countDistinct("entity").alias("n_models"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report}
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return judge(text_statistics(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    shares = ["mean_word_length", "symbol_share", "punctuated_share", "common_share"]
+    stats = text_statistics(table(spark, d, "documents").select("doc_id", "text"))
+    return stats.select("doc_id", F.col("stats.n_words").cast("long").alias("n_words"), *[F.round(F.col(f"stats.{c}"), 6).alias(c) for c in shares])
+
+
+def p9_judged(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).select("doc_id", "kind", "reasons")
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p9_found": p9_found, "p9_stats": p9_stats, "p9_judged": p9_judged}
