@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.ids import donor_id, model_id, plain_number
+from loomgrid.llm.leakage import leaked_items
 from loomgrid.llm.overlap import cross_split_overlaps, split_sides
+from loomgrid.llm.packing import fill_report, pack, token_counts
 from loomgrid.llm.splits import entity_groups, grouped_splits
 from loomgrid.llm.textstats import judge, text_statistics
 from loomgrid.plans.general_queries import gene_columns, model_lineage
 from loomgrid.sources.staging import stage
 from loomgrid.sources.tables import table
 
+CAPACITY = 2048
 PROPORTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
@@ -62,6 +65,33 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return held.join(made, "entity", "left").groupBy("overlap", "split", F.coalesce("centre", F.lit("none")).alias("centre")).agg(F.countDistinct("entity").alias("n_models"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = token_counts(table(spark, d, "documents")).select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size"))
+    return pack(sizes, CAPACITY)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select(F.col("item_id").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(_packed(spark, d), CAPACITY)
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_item"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the documents that hold them, by suite and side."""
+    items = F.broadcast(table(spark, d, "heldout_item").select("item_id", "suite", "side"))
+    return _leaks(spark, d).join(items, "item_id").groupBy("suite", "side", "item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("held"), 6).alias("most_held"))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return judge(text_statistics(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -80,4 +110,4 @@ def p9_judged(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("doc_id", "kind", "reasons")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p9_found": p9_found, "p9_stats": p9_stats, "p9_judged": p9_judged}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats, "p9_judged": p9_judged}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrid.llm.textstats import COMMON_WORDS
+from loomgrid.llm.textstats import BLANKS, COMMON_WORDS, NO_WIDTH
 from loomgrid.plans.general_sql import NUMBER_GENES, PLAIN, TEXT_GENES, donor_id_sql, missing_sql, model_id_sql
 
 SQL: dict[str, str] = {}
@@ -67,7 +67,7 @@ FROM ends JOIN side ON side.m = ends.m AND side.s = 'eval' LEFT JOIN made ON mad
 
 _WORDS = ", ".join(f"'{w}'" for w in COMMON_WORDS)
 SQL["p9_stats"] = f"""
-WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[  -  　]', ' ', 'g') AS t FROM documents
+WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '{NO_WIDTH}', '', 'g'), '{BLANKS}', ' ', 'g') AS t FROM documents
 ), p AS (SELECT doc_id, t, regexp_replace(t, '</?[A-Za-z][^<>\\n]{{0,200}}>', ' ', 'g') AS p FROM l
 ), w AS (
   SELECT *, list_filter(regexp_split_to_array(lower(p), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words,
@@ -75,6 +75,6 @@ WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r
 SELECT doc_id, len(words) AS n_words,
   round(coalesce(length(regexp_replace(p, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) / nullif(len(words), 0), 0), 6) AS mean_word_length,
   round(coalesce(len(regexp_extract_all(p, '[^\\p{{L}}\\p{{N}}\\s]')) / nullif(chars, 0), 0), 6) AS symbol_share,
-  round(coalesce(len(regexp_extract_all(t, '(?m)[.!?:;…]["\x27”»)]*[ \\t]*$')) / nullif(lines, 0), 0), 6) AS punctuated_share,
+  round(coalesce(len(regexp_extract_all(t, '(?m)[.!?:;…]["''”»)]*[ \\t]*$')) / nullif(lines, 0), 0), 6) AS punctuated_share,
   round(coalesce(len(list_filter(words, lambda x: x IN ({_WORDS}))) / nullif(len(words), 0), 0), 6) AS common_share
 FROM w"""

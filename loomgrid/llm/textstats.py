@@ -49,6 +49,9 @@ _ROW = "(?m)(?:" + "|".join("(?:" + p.replace("(?m)", "") + ")" for p in LINE_KI
 _BETWEEN = r", | / |; | \| | • | · "
 _SENTENCE_END = r"(?m)[\p{L}\p{N})\"'”»][.!?][\"'”»)]*(?:\s|$)"
 _HEX = r"(?m)^[0-9a-fA-F]{4,8}:?(?:[ \t]+[0-9a-fA-F]{2,8}){4,}[^\n]*$"
+#: Blanks beside the plain one, and signs of no width.
+BLANKS = "[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+NO_WIDTH = "[\u00ad\u200b-\u200d\u2060\ufeff]"
 _TAG = r"</?[A-Za-z][^<>\n]{0,200}>"
 
 
@@ -63,8 +66,9 @@ def _length(text: Column, pattern: str) -> Column:
 
 
 def layout(text: Column) -> Column:
-    """The text with one kind of line end and of blank."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "[  -  　]", " ")
+    """The text with one kind of line end and of blank, without signs of no width."""
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, NO_WIDTH, ""), BLANKS, " ")
 
 
 def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
