@@ -15,7 +15,7 @@ MISSING_WORDS = [
 
 #: A text without any letter or digit says nothing.
 NO_SIGN = r"^[^\p{L}\p{N}]*$"
-_BLANK = r"[\s ​﻿]+"
+_BLANK = "[\\s\u00a0\u200b\ufeff]+"
 
 
 def _compact(col: Column) -> Column:
