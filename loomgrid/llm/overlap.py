@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -56,96 +55,105 @@ def tiers(fields: int, near: Nearness) -> list[Tier]:
     return out
 
 
-def _cells(v: Column, near: Nearness) -> tuple[Column, Column, Column]:
-    """The cell of a value and the first and last cell a near value may be in."""
-    slack = near.tolerance + 1e-5
-    at = lambda x: F.floor(x / near.width)
-    return at(v), at(v - slack), at(v + slack)
+def _cell(v: Column, near: Nearness, by: float = 0.0) -> Column:
+    return F.floor((v + by) / near.width).cast("int")
+
+
+def _bits(cells: Column, start: int) -> Column:
+    """Four bits a field for 16 fields from ``start``: the one of the cell modulo 4, none for NULL."""
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i * 4 + F.pmod(F.get(cells, i + start), F.lit(4))).cast("int"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.coalesce(one(i), F.lit(0).cast("long"))))
 
 
-def _signature(values: list[Column], near: Nearness, probe: bool) -> list[Column]:
-    """Four bits a field: the cell modulo 4, or for a probe all cells a near value may be in.
+def _prepared(vectors: DataFrame, fields: int, near: Nearness) -> DataFrame:
+    """Numbers lacking, the cell of each value, the first and last cell that a near value may be in, and signatures.
 
-    The bits that two signatures share bound the number of fields that agree.
+    The signature of an indexed vector has one bit a field, that of a probe a
+    bit for each cell that a near value may be in; the bits that both share
+    bound the number of fields that agree.
     """
-    words = []
-    for start in range(0, len(values), 16):
-        word = F.lit(0).cast("long")
-        for i, v in enumerate(values[start : start + 16]):
-            cell, first, last = _cells(v, near)
-            bit = lambda c, i=i: F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(4 * i) + F.pmod(c, F.lit(4))).cast("int"))
-            bits = bit(first).bitwiseOR(bit(last)) if probe else bit(cell)
-            word = word.bitwiseOR(F.coalesce(bits, F.lit(0).cast("long")))
-        words.append(word)
-    return words
-
-
-def _shingles(names: list[str], size: int, near: Nearness, probe: bool) -> Column:
-    """Array of the row's shingles as (place, key); a shingle with a missing field is none.
-
-    Indexed rows have one key a shingle, probes one for each combination of cells.
+    slack = near.tolerance + 1e-5
+    out = vectors.select(
+        "vec_id", "vals",
+        F.size(F.filter("vals", lambda v: v.isNull())).alias("lacks"),
+        F.transform("vals", lambda v: _cell(v, near)).alias("cells"),
+        F.transform("vals", lambda v: _cell(v, near, -slack)).alias("first"),
+        F.transform("vals", lambda v: _cell(v, near, slack)).alias("last"),
+    ).filter(F.col("lacks") <= fields - near.common)
+    words = range(0, fields, 16)
+    held = [_bits(F.col("cells"), w).alias(f"sig{k}") for k, w in enumerate(words)]
+    asked = [_bits(F.col("first"), w).bitwiseOR(_bits(F.col("last"), w)).alias(f"ask{k}") for k, w in enumerate(words)]
+    return out.select("*", *held, *asked)
+
+
+def _shingles(fields: int, size: int, probe: bool) -> Column:
+    """Keys of the vector's shingles of ``size`` neighbouring fields; one with a missing field is none.
+
+    An indexed vector has one key a shingle, a probe one for each combination of cells.
     """
-    out = []
-    for place in range(len(names) // size):
-        fields = [F.col(n) for n in names[place * size : (place + 1) * size]]
-        choices = [[c[1], c[2]] if probe else [c[0]] for c in (_cells(f, near) for f in fields)]
-        whole = fields[0].isNotNull()
-        for f in fields[1:]:
-            whole = whole & f.isNotNull()
-        keys = F.array_distinct(F.array(*[F.xxhash64(F.lit(size), F.lit(place), *combo) for combo in product(*choices)]))
-        out.append(F.when(whole, keys))
-    return F.flatten(F.array_compact(F.array(*out)))
-
-
-def near_pairs(index: DataFrame, probes: DataFrame, names: list[str], near: Nearness = Nearness()) -> DataFrame:
+    places = F.sequence(F.lit(0), F.lit(fields // size - 1))
+    inner = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def key(place: Column, cells: Column) -> Column:
+        return F.xxhash64(F.lit(size), place, cells)
+
+    def keys(place: Column) -> Column:
+        whole = ~F.exists(F.slice("cells", place * size + 1, size), lambda c: c.isNull())
+        if not probe:
+            return F.when(whole, F.array(key(place, F.slice("cells", place * size + 1, size))))
+        choice = lambda m: F.transform(inner, lambda j: F.when(F.call_function("getbit", m, j) == 1, F.get("last", place * size + j)).otherwise(F.get("first", place * size + j)))
+        return F.when(whole, F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(2**size - 1)), lambda m: key(place, choice(m)))))
+
+    return F.flatten(F.array_compact(F.transform(places, keys)))
+
+
+def near_pairs(index: DataFrame, probes: DataFrame, fields: int, near: Nearness = Nearness()) -> DataFrame:
     """``index_id, probe_id`` of all near vectors, exactly.
 
     Both tables have ``vec_id`` (distinct vectors: copies are to be collapsed
-    before) and a number or NULL in each of ``names``.  Vectors with fewer than
-    ``near.common`` numbers are near to none.  The index keeps, of each vector,
-    its rarest shingles only, as many as could be spoilt and one more; probes
-    are filtered by the length of both (numbers they lack), by the shingle's
-    position in the order of rarity, and by signature.  What is left is verified
-    on all fields.  No partner or candidate is cut off.
+    before) and ``vals``, an array of ``fields`` numbers or NULLs.  Vectors with
+    fewer than ``near.common`` numbers are near to none.  The index keeps, of
+    each vector, its rarest shingles only, as many as could be spoilt and one
+    more; probes are filtered by the length of both (numbers they lack), by the
+    shingle's position in the order of rarity, and by signature.  What is left
+    is verified on all fields.  No partner or candidate is cut off.
     """
-    g = len(names)
-    lacking = sum((F.col(n).isNull().cast("int") for n in names), F.lit(0))
-
-    def prepared(vectors: DataFrame, probe: bool) -> DataFrame:
-        kept = vectors.select("vec_id", *names).withColumn("lacks", lacking).filter(F.col("lacks") <= g - near.common)
-        return kept.select("*", *[w.alias(f"sig{i}") for i, w in enumerate(_signature([F.col(n) for n in names], near, probe))])
-
-    held, asked = prepared(index, False), prepared(probes, True)
-    sigs = [c for c in held.columns if c.startswith("sig")]
+    g = fields
+    held, asked = stage(_prepared(index, g, near), "held"), stage(_prepared(probes, g, near), "asked")
+    n_words = len(range(0, g, 16))
     found = None
     for tier in tiers(g, near):
         heavy = -(-tier.low // 2)  # of two vectors that lack tier.low fields, one lacks half
         sides = [(F.lit(True), F.lit(True))] if tier.low == 0 else [(F.col("lacks") >= heavy, F.lit(True)), (F.col("lacks") < heavy, F.col("lacks") >= heavy)]
         for of_index, of_probes in sides:
             fits = F.col("lacks") <= tier.high
-            left = held.filter(of_index & fits).select("vec_id", "lacks", *sigs, F.explode(_shingles(names, tier.size, near, False)).alias("key"))
-            right = asked.filter(of_probes & fits).select("vec_id", "lacks", *sigs, F.explode(_shingles(names, tier.size, near, True)).alias("key"))
-            # rarity of a shingle is how often it is probed
-            rarity = right.groupBy("key").agg(F.count("*").alias("often"))
-            order = W.partitionBy("vec_id").orderBy("often", "key")
-            left = left.join(rarity, "key").withColumn("position", F.row_number().over(order))
-            most = g - near.needed(max(near.common, g - tier.high))
-            left = left.filter(F.col("position") <= F.lit(most + 1) - F.col("lacks"))
-            i, p = left.alias("i"), right.alias("p")
-            both = F.col("i.lacks") + F.col("p.lacks")
-            least = near.needed_col(F.greatest(F.lit(near.common), F.lit(g) - both))
-            shared = sum((F.bit_count(F.col(f"i.{s}").bitwiseAND(F.col(f"p.{s}"))) for s in sigs), F.lit(0))
-            on = (F.col("i.key") == F.col("p.key")) & both.between(tier.low, tier.high) & (F.col("i.position") <= F.lit(g) - least - F.col("i.lacks") + 1) & (shared >= least)
-            hits = i.join(p, on).select(F.col("i.vec_id").alias("index_id"), F.col("p.vec_id").alias("probe_id"))
+            left = held.filter(of_index & fits).select("vec_id", "lacks", *[f"sig{k}" for k in range(n_words)], F.explode(_shingles(g, tier.size, False)).alias("key"))
+            right = asked.filter(of_probes & fits).select("vec_id", "lacks", *[f"ask{k}" for k in range(n_words)], F.explode(_shingles(g, tier.size, True)).alias("key"))
+            hits = _probe(left, right, tier, g, n_words, near)
             found = hits if found is None else found.unionByName(hits)
-    candidates = found.distinct()
-    a = index.select(F.col("vec_id").alias("index_id"), *[F.col(n).alias(f"a_{n}") for n in names])
-    b = probes.select(F.col("vec_id").alias("probe_id"), *[F.col(n).alias(f"b_{n}") for n in names])
-    difference = [F.round(F.abs(F.col(f"a_{n}") - F.col(f"b_{n}")), 5) for n in names]
-    k = sum((d.isNotNull().cast("int") for d in difference), F.lit(0))
-    agree = sum((F.coalesce(d <= near.tolerance, F.lit(False)).cast("int") for d in difference), F.lit(0))
-    verified = candidates.join(a, "index_id").join(b, "probe_id").filter((k >= near.common) & (agree * near.den >= k * near.num))
-    return verified.select("index_id", "probe_id")
+    candidates = stage(found.distinct(), "candidates")
+    a = held.select(F.col("vec_id").alias("index_id"), F.col("vals").alias("a"))
+    b = asked.select(F.col("vec_id").alias("probe_id"), F.col("vals").alias("b"))
+    both = candidates.join(a, "index_id").join(b, "probe_id")
+    apart = F.filter(F.zip_with("a", "b", lambda x, y: F.round(F.abs(x - y), 5)), lambda x: x.isNotNull())
+    both = both.select("index_id", "probe_id", apart.alias("apart"))
+    k, agree = F.size("apart"), F.size(F.filter("apart", lambda x: x <= near.tolerance))
+    return both.filter((k >= near.common) & (agree * near.den >= k * near.num)).select("index_id", "probe_id")
+
+
+def _probe(left: DataFrame, right: DataFrame, tier: Tier, g: int, n_words: int, near: Nearness) -> DataFrame:
+    """Pairs of one tier that pass all filters; a pair may come more than once."""
+    # rarity of a shingle is how often it is probed; an index key that no probe has finds nothing
+    rarity = right.groupBy("key").agg(F.count("*").alias("often"))
+    order = W.partitionBy("vec_id").orderBy("often", "key")
+    spoilt = g - near.needed(max(near.common, g - tier.high))
+    left = left.join(rarity, "key", "left").withColumn("position", F.row_number().over(order)).filter((F.col("position") <= F.lit(spoilt + 1) - F.col("lacks")) & F.col("often").isNotNull())
+    i, p = left.alias("i"), right.alias("p")
+    lack = F.col("i.lacks") + F.col("p.lacks")
+    least = near.needed_col(F.greatest(F.lit(near.common), F.lit(g) - lack))
+    shared = sum((F.bit_count(F.col(f"i.sig{k}").bitwiseAND(F.col(f"p.ask{k}"))) for k in range(n_words)), F.lit(0))
+    on = (F.col("i.key") == F.col("p.key")) & lack.between(tier.low, tier.high) & (F.col("i.position") <= F.lit(g) - least - F.col("i.lacks") + 1) & (shared >= least)
+    return i.join(p, on).select(F.col("i.vec_id").alias("index_id"), F.col("p.vec_id").alias("probe_id"))
 
 
 def split_sides(assignments: DataFrame, entity: str, split: str) -> DataFrame:
@@ -178,17 +186,17 @@ def cross_split_overlaps(sides: DataFrame, groups: DataFrame, vectors: DataFrame
     e, t = held.join(ties, "entity").select(F.col("entity").alias("e"), "group_entity"), train.join(ties, "entity").select(F.col("entity").alias("t"), "group_entity")
     tied = e.join(t, "group_entity").filter("e <> t")
 
-    numbers = [F.when(~F.isnan(F.col(n)), F.col(n)).cast("double").alias(n) for n in names]
-    rows = vectors.filter(F.col("entity").isNotNull()).select("entity", *numbers)
+    numbers = [F.when(~F.isnan(F.col(n)), F.col(n)).cast("double") for n in names]
+    rows = vectors.filter(F.col("entity").isNotNull()).select("entity", F.array(*numbers).alias("vals"))
     rows = rows.join(sides.select("entity").distinct(), "entity", "left_semi")
-    text = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
-    rows = stage(rows.withColumn("vec_id", F.sha2(text, 256)).distinct(), "vectors")
+    text = F.array_join(F.transform("vals", lambda v: v.cast("string")), "|", "")
+    rows = stage(rows.withColumn("vec_id", F.sha2(text, 256)), "vectors")
     owners = rows.select("vec_id", "entity").distinct()
 
     def side(who: DataFrame) -> DataFrame:
-        return rows.join(who, "entity", "left_semi").select("vec_id", *names).dropDuplicates(["vec_id"])
+        return rows.join(who, "entity", "left_semi").groupBy("vec_id").agg(F.first("vals").alias("vals"))
 
-    pairs = near_pairs(side(held), side(train), names, near)
+    pairs = near_pairs(side(held), side(train), len(names), near)
     e = owners.join(held, "entity", "left_semi").select(F.col("vec_id").alias("index_id"), F.col("entity").alias("e"))
     t = owners.join(train, "entity", "left_semi").select(F.col("vec_id").alias("probe_id"), F.col("entity").alias("t"))
     alike = pairs.join(e, "index_id").join(t, "probe_id").filter("e <> t")
