@@ -56,7 +56,9 @@ def tiers(fields: int, near: Nearness) -> list[Tier]:
 
 
 def _cell(v: Column, near: Nearness, by: float = 0.0) -> Column:
-    return F.floor((v + by) / near.width).cast("int")
+    # values far out share a cell, which only adds candidates
+    inside = F.greatest(F.lit(-1e12), F.least(F.lit(1e12), v))
+    return F.when(v.isNotNull(), F.floor((inside + by) / near.width))
 
 
 def _bits(cells: Column, start: int) -> Column:

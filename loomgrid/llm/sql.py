@@ -71,10 +71,10 @@ WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(
 ), p AS (SELECT doc_id, t, regexp_replace(t, '</?[A-Za-z][^<>\\n]{{0,200}}>', ' ', 'g') AS p FROM l
 ), w AS (
   SELECT *, list_filter(regexp_split_to_array(lower(p), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words,
-    length(regexp_replace(t, '\\s+', '', 'g')) AS chars, len(regexp_extract_all(t, '(?m)^[^\\n]*\\S')) AS lines FROM p)
-SELECT doc_id, len(words) AS n_words,
-  round(coalesce(length(regexp_replace(p, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) / nullif(len(words), 0), 0), 6) AS mean_word_length,
-  round(coalesce(len(regexp_extract_all(p, '[^\\p{{L}}\\p{{N}}\\s]')) / nullif(chars, 0), 0), 6) AS symbol_share,
+    length(regexp_replace(p, '\\s+', '', 'g')) AS chars, len(regexp_extract_all(t, '(?m)^[^\\n]*\\S')) AS lines FROM p
+), n AS (SELECT *, coalesce(length(array_to_string(words, '')), 0) AS letters FROM w)
+SELECT doc_id, len(words) AS n_words, round(coalesce(letters / nullif(len(words), 0), 0), 6) AS mean_word_length,
+  round(coalesce((chars - letters) / nullif(chars, 0), 0), 6) AS symbol_share,
   round(coalesce(len(regexp_extract_all(t, '(?m)[.!?:;…]["''”»)]*[ \\t]*$')) / nullif(lines, 0), 0), 6) AS punctuated_share,
   round(coalesce(len(list_filter(words, lambda x: x IN ({_WORDS}))) / nullif(len(words), 0), 0), 6) AS common_share
-FROM w"""
+FROM n"""

@@ -52,6 +52,8 @@ _HEX = r"(?m)^[0-9a-fA-F]{4,8}:?(?:[ \t]+[0-9a-fA-F]{2,8}){4,}[^\n]*$"
 #: Blanks beside the plain one, and signs of no width.
 BLANKS = "[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 NO_WIDTH = "[\u00ad\u200b-\u200d\u2060\ufeff]"
+#: Signs inside words, capitals after small letters, and what is left of texts read in a wrong encoding.
+_GARBLED = [r"[,;:!|~\"=^](?<=\p{L}.)\p{L}", r"\.(?<=[a-zA-Z].)[a-z]", r"[a-zà-ÿ][A-ZÀ-Þ]", "[�¿½¼»¡¢°€™ÃÂÐ]"]
 _TAG = r"</?[A-Za-z][^<>\n]{0,200}>"
 
 
@@ -59,62 +61,82 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _length(text: Column, pattern: str) -> Column:
-    """Characters, without blanks, of all that the pattern matches."""
-    found = F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "")
-    return F.length(F.regexp_replace(found, r"\s+", ""))
+def _found(text: Column, pattern: str, might: Column | None = None) -> Column:
+    """All matches; where ``might`` says that there can be none, the expression is not run."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return found if might is None else F.when(might, found).otherwise(F.array().cast("array<string>"))
+
+
+def _length(found: Column) -> Column:
+    """Characters of all matches, without blanks."""
+    return F.length(F.regexp_replace(F.array_join(found, ""), r"\s+", ""))
 
 
 def layout(text: Column) -> Column:
     """The text with one kind of line end and of blank, without signs of no width."""
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(lines, NO_WIDTH, ""), BLANKS, " ")
+    text = F.coalesce(text, F.lit(""))
+    lines = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    plain = F.regexp_replace(F.regexp_replace(lines, NO_WIDTH, ""), BLANKS, " ")
+    return F.when(F.octet_length(text) == F.length(text), lines).otherwise(plain)
 
 
 def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with a column ``stats``, a struct of counts and shares.
 
     A NULL text counts as an empty one; shares of nothing are 0.  Whole texts
-    are read, however long.
+    are read, however long; an expression is skipped only where a sign that all
+    its matches hold is not in the text.
     """
-    t = F.col("_t")
-    plain = F.col("_plain")  # without markup
-    words = F.col("_words")
-    n = F.size(words)
+    t, plain, words = F.col("_t"), F.col("_plain"), F.col("_words")  # plain: without markup
+    chars, lines, n = F.col("_chars"), F.col("_lines"), F.size("_words")
+    has = lambda sign: F.contains(t, F.lit(sign))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    chars, lines = F.col("_chars"), F.col("_lines")
+    signs = {"pipe_row": "|", "bar_row": "|", "rule_row": "--", "tab_row": "\t", "semicolon_row": ";", "comma_row": ",", "gap_row": "  "}
+    rows = {k: F.col(f"_{k}") for k in LINE_KINDS}
+    letters = F.length(F.array_join(words, ""))
+    row_lengths = [_length(r) for k, r in rows.items() if k not in ("pipe_row", "rule_row")] + [_length(rows["pipe_row"]) + _length(rows["rule_row"])]
     stats = {
         "n_chars": F.length(t),
         "n_words": n,
         "n_lines": lines,
-        "mean_word_length": share(F.length(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")), n),
-        "symbol_share": share(_count(plain, r"[^\p{L}\p{N}\s]"), chars),
+        "mean_word_length": share(letters, n),
+        "symbol_share": share(chars - letters, chars),
         "punctuated_share": share(_count(t, r"(?m)[.!?:;…][\"'”»)]*[ \t]*$"), lines),
         "bullet_share": share(_count(t, r"(?m)^[ \t]*" + _MARK + r"[ \t]+\S"), lines),
         "common_share": share(F.size(F.filter(words, lambda w: w.isin(COMMON_WORDS))), n),
         "distinct_share": share(F.size(F.array_distinct(words)), n),
         "single_share": share(F.size(F.filter(words, lambda w: F.length(w) == 1)), n),
-        "long_share": share(_length(plain, r"\S{45,}"), chars),
-        "hex_share": share(_length(t, _HEX), chars),
-        "garbled_share": share(_count(plain, r"\p{L}[,;:!|~�\"=^][\p{Ll}\p{Lu}]|\b\p{Ll}+\p{Lu}+\b|\p{L}\.\p{Ll}|[�¿½¼»¡¢°€™ÃÂÐ]"), n),
-        "cell_tags": _count(t, r"(?i)<t[dh]\b"),
-        "row_share": F.greatest(*[share(_length(t, p), chars) for k, p in LINE_KINDS.items() if k not in ("pipe_row", "rule_row")], share(_length(t, LINE_KINDS["pipe_row"]) + _length(t, LINE_KINDS["rule_row"]), chars)),
-        "n_rows": F.greatest(*[_count(t, p) for p in LINE_KINDS.values()]),
-        "entry_share": share(_length(t, _ENTRY), chars),
-        "n_entries": _count(t, _ENTRY),
+        "long_share": share(_length(_found(plain, r"(?<!\S)\S{45,}")), chars),
+        "hex_share": share(_length(_found(t, _HEX, has("00") | has(" a") | has(" f"))), chars),
+        "garbled_share": share(sum((_count(plain, p) for p in _GARBLED[:-1]), F.when(F.octet_length(plain) > F.length(plain), _count(plain, _GARBLED[-1])).otherwise(0)), n),
+        "cell_tags": F.when(has("<"), _count(t, r"(?i)<t[dh]\b")).otherwise(0),
+        "row_share": share(F.greatest(*row_lengths), chars),
+        "n_rows": F.greatest(*[F.size(r) for r in rows.values()]),
+        "entry_share": share(_length(F.col("_entries")), chars),
+        "n_entries": F.size("_entries"),
         "n_between": _count(plain, _BETWEEN),
         "n_sentences": _count(plain, _SENTENCE_END),
-        # sentences outside of entries and rows
-        "n_sentences_apart": _count(F.regexp_replace(F.regexp_replace(t, _ENTRY, ""), _ROW, ""), _SENTENCE_END),
+        "n_sentences_apart": F.col("_apart"),
         "distinct_units": share(F.size(F.array_distinct(F.col("_units"))), F.size("_units")),
         "n_units": F.size("_units"),
     }
     base = documents.withColumn("_t", layout(F.col(text)))
-    base = base.withColumn("_plain", F.regexp_replace("_t", _TAG, " "))
-    base = base.withColumn("_words", F.filter(F.split(F.lower("_plain"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    base = base.withColumn("_units", F.filter(F.split("_plain", r"[.!?]\s+|\n+"), lambda u: F.trim(u) != ""))
-    base = base.withColumn("_chars", F.length(F.regexp_replace("_t", r"\s+", ""))).withColumn("_lines", _count(t, r"(?m)^[^\n]*\S"))
-    return base.withColumn("stats", F.struct(*[c.alias(k) for k, c in stats.items()])).drop("_t", "_plain", "_units", "_words", "_chars", "_lines")
+    base = base.withColumn("_plain", F.when(has("<"), F.regexp_replace("_t", _TAG, " ")).otherwise(t))
+    base = base.withColumns(
+        {
+            "_words": F.filter(F.split(F.lower("_plain"), r"[^\p{L}\p{N}]+"), lambda w: w != ""),
+            "_units": F.filter(F.split("_plain", r"[.!?]\s+|\n+"), lambda u: F.trim(u) != ""),
+            "_chars": F.length(F.regexp_replace("_plain", r"\s+", "")),
+            "_lines": _count(t, r"(?m)^[^\n]*\S"),
+            "_entries": _found(t, _ENTRY),
+        }
+        | {f"_{k}": _found(t, p, has(signs[k])) for k, p in LINE_KINDS.items()}
+    )
+    # sentences outside of entries and rows, asked for only where there are some of these
+    apart = _count(F.regexp_replace(F.regexp_replace(t, _ENTRY, ""), _ROW, ""), _SENTENCE_END)
+    some = (F.size("_entries") >= 3) | (F.greatest(*[F.size(r) for r in rows.values()]) >= 3)
+    base = base.withColumn("_apart", F.when(some, apart).otherwise(0))
+    return base.withColumn("stats", F.struct(*[c.alias(k) for k, c in stats.items()])).drop("_t", "_plain", "_words", "_units", "_chars", "_lines", "_entries", "_apart", *[f"_{k}" for k in LINE_KINDS])
 
 
 def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
