@@ -40,14 +40,15 @@ class Tier:
 def tiers(fields: int, near: Nearness) -> list[Tier]:
     """The largest shingles by which no near pair can be missed.
 
-    A pair that lacks M fields has k >= fields - M in common and at most
-    fields - needed(k) fields that do not agree.  Cut into more disjoint
-    shingles than that, one shingle agrees as a whole.
+    A pair that lacks M fields, counted for each of the two, has at least
+    fields - M in common (and at least ``near.common``, else it is not near), so
+    a bounded number of fields does not agree.  Cut into more disjoint shingles
+    than that, one shingle agrees as a whole.
     """
-    out, low = [], 0
+    out, low, last = [], 0, 2 * (fields - near.common)
     for size in (3, 2, 1):
         high = low - 1
-        while high + 1 <= fields - near.common and fields - near.needed(fields - high - 1) < fields // size:
+        while high < last and fields - near.needed(max(near.common, fields - high - 1)) < fields // size:
             high += 1
         if high >= low:
             out.append(Tier(size, low, high))
