@@ -10,7 +10,7 @@ from loomgrid.llm.leakage import leaked_items
 from loomgrid.llm.overlap import cross_split_overlaps, split_sides
 from loomgrid.llm.packing import fill_report, pack, token_counts
 from loomgrid.llm.splits import entity_groups, grouped_splits
-from loomgrid.llm.textstats import judge, text_statistics
+from loomgrid.llm.textstats import judge, other_than_prose, text_statistics
 from loomgrid.plans.general_queries import gene_columns, model_lineage
 from loomgrid.sources.staging import stage
 from loomgrid.sources.tables import table
@@ -97,7 +97,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).filter("kind <> 'prose'").select("doc_id", "kind")
+    return other_than_prose(_judged(spark, d), "doc_id")
 
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:

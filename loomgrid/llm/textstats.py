@@ -188,3 +188,12 @@ def judge(stats: DataFrame) -> DataFrame:
             fired = fired | test
         kind = F.when(fired, F.lit(name.split("_")[0])).otherwise(kind)
     return stats.withColumn("kind", kind).withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), ","))
+
+
+def other_than_prose(judged: DataFrame, *columns: str) -> DataFrame:
+    """The rows of lists, tables and junk, with ``columns`` and ``kind``.
+
+    A generator drops the others: a filter would be pushed below the statistics
+    and have all of them computed once more.
+    """
+    return judged.select(*columns, F.explode(F.filter(F.array("kind"), lambda k: k != "prose")).alias("kind"))
