@@ -345,7 +345,7 @@ def impute_train_mean(spark, d):
 @query
 def standardize(spark, d):
     own = baselines.impute_train_mean(_expression_split(spark, d)).select("row_key", "col_key", "split", F.col("imputed").alias("value"))
-    return baselines.standardize(own).select("row_key", "col_key", r6("scaled"))
+    return baselines.standardize(own).select("row_key", "col_key", (r6("scaled") + 0.0).alias("scaled"))
 
 
 def _samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
