@@ -238,37 +238,77 @@ def mlp_predict(w, x: np.ndarray) -> np.ndarray:
     return np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]
 
 
-def mlp_cv(train: DataFrame, evaluated: DataFrame, alphas: list[float] = config.MLP_ALPHAS, hidden: int = 256, max_rows: int = 20_000) -> DataFrame:
-    """``role, alpha, fold, row_key, pos, pred``: inner-fold predictions for each alpha, and those of ``evaluated`` fitted on all.
+@dataclass
+class MlpFit:
+    alpha: float
+    scores: list[tuple[float, float]]
+    at_boundary: bool
+    mean: np.ndarray
+    sd: np.ndarray
+    weights: list[np.ndarray]
+
+
+def _fit_scaled(fit: pd.DataFrame, alpha: float, hidden: int):
+    x = np.vstack(fit["x"].to_numpy())
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 0, sd, 1.0)
+    return mean, sd, fit_mlp((x - mean) / sd, np.vstack(fit["y"].to_numpy()), fit["grp"].to_numpy(), alpha, hidden)
+
+
+def mlp_cv(train: DataFrame, truth: DataFrame, alphas: list[float] = config.MLP_ALPHAS, hidden: int = 256, max_rows: int = 200_000) -> MlpFit:
+    """Choose alpha by the folds of ``train`` (``row_key, fold, grp, x, y``) and fit on all of it.
 
     Every (alpha, fold) is a task of its own, scaled by its own training rows.
-    A network is fitted on one worker, so its training rows are bounded by
-    ``max_rows``, of which a larger set is refused.
+    One network is fitted on one worker, so its training set has a bound: more
+    than ``max_rows`` rows are refused, none is dropped.
     """
+    from loomgrid.operators.metrics import spearman
+
     n = train.count()
     if n > max_rows:
         raise ValueError(f"{n} training rows; a network takes up to {max_rows}")
     spark = train.sparkSession
-    data = train.select("row_key", "fold", "grp", "x", "y").toPandas()
-    shared = spark.sparkContext.broadcast(data)
-    held = spark.sparkContext.broadcast(evaluated.select("row_key", "x").limit(max_rows).toPandas())
-    folds = sorted(data["fold"].unique().tolist())
-    tasks = [(a, int(f)) for a in alphas for f in [*folds, -1]]
+    shared = spark.sparkContext.broadcast(train.select("row_key", "fold", "grp", "x", "y").orderBy("row_key").toPandas())
+    folds = sorted(int(f) for f in shared.value["fold"].unique())
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def held_out(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, f = key
         d = shared.value
-        fit = d[d["fold"] != f]
-        out = d[d["fold"] == f] if f >= 0 else held.value
-        if not len(fit) or not len(out):
-            return pd.DataFrame(columns=["role", "alpha", "fold", "row_key", "preds"])
-        x = np.vstack(fit["x"].to_numpy())
-        mean, sd = x.mean(axis=0), x.std(axis=0)
-        sd = np.where(sd > 0, sd, 1.0)
-        w = fit_mlp((x - mean) / sd, np.vstack(fit["y"].to_numpy()), fit["grp"].to_numpy(), a, hidden)
+        out = d[d["fold"] == f]
+        mean, sd, w = _fit_scaled(d[d["fold"] != f], a, hidden)
         p = mlp_predict(w, (np.vstack(out["x"].to_numpy()) - mean) / sd)
-        return pd.DataFrame({"role": "cv" if f >= 0 else "eval", "alpha": a, "fold": f, "row_key": out["row_key"].to_numpy(), "preds": list(p)})
+        return pd.DataFrame({"alpha": a, "fold": f, "row_key": out["row_key"].to_numpy(), "preds": list(p)})
+
+    if len(folds) < 2:
+        alpha, scores, edge = alphas[len(alphas) // 2], [], False
+    else:
+        grid = spark.createDataFrame([(float(a), f) for a in alphas for f in folds], "alpha double, fold int").repartition(len(alphas) * len(folds), "alpha", "fold")
+        preds = grid.groupBy("alpha", "fold").applyInPandas(held_out, "alpha double, fold int, row_key string, preds array<double>")
+        long = preds.select("alpha", "fold", "row_key", F.posexplode("preds").alias("pos", "pred")).join(truth, ["row_key", "pos"])
+        per = spearman(long, ["alpha", "fold", "pos"]).groupBy("alpha", "fold").agg(F.avg("spearman").alias("score"))
+        table = best_alpha(per).orderBy("alpha").collect()
+        scores = [(r["alpha"], r["score"]) for r in table]
+        best = next(r for r in table if r["chosen"])
+        alpha, edge = best["alpha"], best["at_boundary"]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            mean, sd, w = _fit_scaled(shared.value, alpha, hidden)
+            parts = [mean, sd, *w]
+            yield pd.DataFrame({"k": range(len(parts)), "shape": [list(np.atleast_1d(x).shape) for x in parts], "v": [np.ravel(x) for x in parts]})
+
+    one = spark.range(1).coalesce(1).mapInPandas(whole, "k int, shape array<int>, v array<double>").orderBy("k").collect()
+    parts = [np.array(r["v"]).reshape(r["shape"]) for r in one]
+    return MlpFit(alpha, scores, edge, parts[0], parts[1], parts[2:])
+
+
+def predict_mlp(samples: DataFrame, fit: MlpFit) -> DataFrame:
+    """``row_key, pos, pred`` for any number of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"row_key": b["row_key"], "preds": list(mlp_predict(fit.weights, (np.vstack(b["x"].to_numpy()) - fit.mean) / fit.sd))})
 
-    grid = spark.createDataFrame(tasks, "alpha double, fold int").repartition(len(tasks), "alpha", "fold")
-    preds = grid.groupBy("alpha", "fold").applyInPandas(run, "role string, alpha double, fold int, row_key string, preds array<double>")
-    return preds.select("role", "alpha", "fold", "row_key", F.posexplode("preds").alias("pos", "pred"))
+    out = samples.select("row_key", "x").mapInPandas(run, "row_key string, preds array<double>")
+    return out.select("row_key", F.posexplode("preds").alias("pos", "pred"))

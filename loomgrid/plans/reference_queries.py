@@ -410,30 +410,39 @@ def alpha_select(spark, d):
     return linear.best_alpha(scored.select("alpha", F.col("r2").alias("score"))).select("alpha", r6("score"), "chosen", "at_boundary")
 
 
-def _ridge(spark: SparkSession, d: str, components: int | None) -> DataFrame:
-    """One row of scores of a cross-validated ridge on held-out samples."""
+def _head(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """One row of scores of a cross-validated head on held-out samples."""
     samples, truth = _samples(spark, d)
+    truth = truth.select("row_key", "pos", "truth")
     train, held = samples.filter("split = 'train'"), samples.filter("split <> 'train'")
-    schema = "alpha double, at_boundary boolean, n_components int, n_targets long, spearman_mean double, r2_mean double"
+    schema = "head string, alpha double, at_boundary boolean, n_targets long, spearman_mean double, r2_mean double"
     if not baselines.task_available(train.count(), held.count()):
         return spark.createDataFrame([], schema)
-    fit = linear.ridge_cv(train, truth.select("row_key", "pos", "truth"), components)
-    preds = linear.predict(held.withColumn("fold", F.lit(0)), {0: (fit.projection, {fit.alpha: (fit.coef, fit.intercept)})})
-    scored = stage(preds.join(truth.select("row_key", "pos", "truth"), ["row_key", "pos"]), "scored")
-    rho = metrics.spearman(scored, ["pos"]).agg(F.count("*").alias("n_targets"), F.round(F.avg("spearman"), 4).alias("spearman_mean"))
-    r2 = metrics.r_squared(scored, ["pos"]).agg(F.round(F.avg("r2"), 4).alias("r2_mean")).withColumn("k", F.lit(1))
-    out = rho.withColumn("k", F.lit(1)).join(r2, "k")
-    return out.select(F.lit(float(fit.alpha)).alias("alpha"), F.lit(bool(fit.at_boundary)).alias("at_boundary"), F.lit(int(fit.projection.basis.shape[1])).alias("n_components"), "n_targets", "spearman_mean", "r2_mean")
+    if kind == "mlp":
+        fit = linear.mlp_cv(train, truth)
+        preds = linear.predict_mlp(held, fit)
+    else:
+        fit = linear.ridge_cv(train, truth, config.PCA_COMPONENTS if kind == "ridge_pca" else None)
+        preds = linear.predict(held.withColumn("fold", F.lit(0)), {0: (fit.projection, {fit.alpha: (fit.coef, fit.intercept)})})
+    scored = stage(preds.join(truth, ["row_key", "pos"]).select("pos", "truth", "pred"), "scored")
+    both = metrics.spearman(scored, ["pos"]).drop("n").join(metrics.r_squared(scored, ["pos"]).drop("n"), "pos")
+    out = both.agg(F.count("*").alias("n_targets"), F.round(F.avg("spearman"), 4).alias("spearman_mean"), F.round(F.avg("r2"), 4).alias("r2_mean"))
+    return out.select(F.lit(kind).alias("head"), F.lit(float(fit.alpha)).alias("alpha"), F.lit(bool(fit.at_boundary)).alias("at_boundary"), "n_targets", "spearman_mean", "r2_mean")
 
 
 @query
 def ridge_pca_cv(spark, d):
-    return _ridge(spark, d, config.PCA_COMPONENTS)
+    return _head(spark, d, "ridge_pca")
 
 
 @query
 def ridge_head_cv(spark, d):
-    return _ridge(spark, d, None)
+    return _head(spark, d, "ridge")
+
+
+@query
+def mlp_head_cv(spark, d):
+    return _head(spark, d, "mlp")
 
 
 # --- counts, reports, checks ------------------------------------------------------
