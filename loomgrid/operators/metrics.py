@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from loomgrid import config
 
 
-def _pairs(scored: DataFrame) -> DataFrame:
-    def ok(c: str) -> Column:
-        return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-
-    return scored.filter(ok("truth") & ok("pred"))
+def _usable() -> Column:
+    out = F.lit(True)
+    for c in ("truth", "pred"):
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.coalesce(out, F.lit(False))
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -24,29 +24,32 @@ def average_rank(value: str, keys: list[str]) -> Column:
 def spearman(scored: DataFrame, keys: list[str], least: int = config.MIN_PAIRS) -> DataFrame:
     """``keys, n, spearman`` for every group: NULL with fewer than ``least`` pairs or a side without variation.
 
-    Only pairs of finite numbers count.  Ties get average ranks.
+    Only pairs of finite numbers count, the others keep their group in the
+    result.  Ties get average ranks.  All windows share one shuffle by group.
     """
-    every = scored.select(*keys).distinct()
-    ranked = _pairs(scored).withColumn("_a", average_rank("truth", keys)).withColumn("_b", average_rank("pred", keys))
-    a, b = F.col("_a"), F.col("_b")
+    flagged = scored.select(*keys, F.col("truth").cast("double").alias("truth"), F.col("pred").cast("double").alias("pred")).withColumn("_ok", _usable())
+    ranked = flagged.withColumn("_a", average_rank("truth", [*keys, "_ok"])).withColumn("_b", average_rank("pred", [*keys, "_ok"]))
+    ok = F.col("_ok")
+    a, b, t, p = (F.when(ok, F.col(c)) for c in ("_a", "_b", "truth", "pred"))
     sums = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), (F.min("truth") < F.max("truth")).alias("_va"), (F.min("pred") < F.max("pred")).alias("_vb"),
+        F.count_if(ok).alias("n"), (F.min(t) < F.max(t)).alias("_va"), (F.min(p) < F.max(p)).alias("_vb"),
         F.sum(a * b).alias("_ab"), F.sum(a * a).alias("_aa"), F.sum(b * b).alias("_bb"), F.sum(a).alias("_sa"), F.sum(b).alias("_sb"),
     )
     n = F.col("n")
     xy, xx, yy = F.col("_ab") - F.col("_sa") * F.col("_sb") / n, F.col("_aa") - F.col("_sa") * F.col("_sa") / n, F.col("_bb") - F.col("_sb") * F.col("_sb") / n
     rho = F.when((n >= least) & F.col("_va") & F.col("_vb"), xy / F.sqrt(xx * yy))
-    return every.join(sums.select(*keys, "n", rho.alias("spearman")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return sums.select(*keys, "n", rho.alias("spearman"))
 
 
 def r_squared(scored: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, n, r2`` against the mean of the evaluated truth; NULL with fewer than 2 pairs or a constant truth."""
-    every = scored.select(*keys).distinct()
-    pairs = _pairs(scored).withColumn("_m", F.avg("truth").over(W.partitionBy(*keys)))
-    t, p = F.col("truth"), F.col("pred")
-    sums = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.sum((t - p) * (t - p)).alias("_res"), F.sum((t - F.col("_m")) * (t - F.col("_m"))).alias("_tot"), (F.min(t) < F.max(t)).alias("_v"))
+    flagged = scored.select(*keys, F.col("truth").cast("double").alias("truth"), F.col("pred").cast("double").alias("pred")).withColumn("_ok", _usable())
+    pairs = flagged.withColumn("_m", F.avg("truth").over(W.partitionBy(*keys, "_ok")))
+    ok = F.col("_ok")
+    t, p, m = (F.when(ok, F.col(c)) for c in ("truth", "pred", "_m"))
+    sums = pairs.groupBy(*keys).agg(F.count_if(ok).alias("n"), F.sum((t - p) * (t - p)).alias("_res"), F.sum((t - m) * (t - m)).alias("_tot"), (F.min(t) < F.max(t)).alias("_v"))
     r2 = F.when((F.col("n") >= 2) & F.col("_v") & (F.col("_tot") > 0), 1 - F.col("_res") / F.col("_tot"))
-    return every.join(sums.select(*keys, "n", r2.alias("r2")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return sums.select(*keys, "n", r2.alias("r2"))
 
 
 def summary(scores: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:

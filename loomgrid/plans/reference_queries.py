@@ -36,17 +36,17 @@ def _means(spark: SparkSession, d: str, pred: str) -> DataFrame:
 
 @query
 def lineage_mean_spearman(spark, d):
-    return metrics.spearman(_means(spark, d, "lineage_pred"), ["target"]).select("target", "n", r6("spearman"))
+    return metrics.spearman(_means(spark, d, "lineage_pred"), ["target"]).select("target", "n", (r6("spearman") + 0.0).alias("spearman"))
 
 
 @query
 def global_mean_r2(spark, d):
-    return metrics.r_squared(_means(spark, d, "global_pred"), ["target"]).select("target", "n", r6("r2"))
+    return metrics.r_squared(_means(spark, d, "global_pred"), ["target"]).select("target", "n", (r6("r2") + 0.0).alias("r2"))
 
 
 @query
 def lineage_mean_r2(spark, d):
-    return metrics.r_squared(_means(spark, d, "lineage_pred"), ["target"]).select("target", "n", r6("r2"))
+    return metrics.r_squared(_means(spark, d, "lineage_pred"), ["target"]).select("target", "n", (r6("r2") + 0.0).alias("r2"))
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -351,18 +351,22 @@ def standardize(spark, d):
 def _samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Samples with imputed features and targets, split and fold; and the raw targets."""
     x = baselines.impute_train_mean(_expression_split(spark, d))
-    raw = baselines.with_split(inputs.effect_cells(spark, d), inputs.splits(spark, d)).join(cells.selective(_selected(spark, d)).select("col_key"), "col_key", "left_semi")
+    effects = stage(inputs.effect_cells(spark, d), "effects")
+    chosen = cells.selective(cells.target_statistics(effects, effects.select("row_key").distinct().count())).select("col_key")
+    raw = stage(baselines.with_split(effects, inputs.splits(spark, d)).join(F.broadcast(chosen), "col_key", "left_semi"), "targets")
     keep = F.array_sort(F.collect_list(F.struct(F.col("col_key").cast("long").alias("k"), F.col("imputed").alias("v"))))
     xs = x.groupBy("row_key", "split").agg(F.transform(keep, lambda s: s["v"]).alias("x"))
     targets = [r[0] for r in raw.select("col_key").distinct().orderBy(F.col("col_key").cast("long")).collect()]  # the selected targets, as the model has them
     position = F.array_position(F.array(*map(F.lit, targets)), F.col("col_key")).cast("int") - 1
     truth = raw.select("row_key", "split", position.alias("pos"), F.col("value").alias("truth"))
-    mean = raw.filter("split = 'train'").groupBy("col_key").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("m"))
-    means = {r["col_key"]: r["m"] for r in mean.collect()}
-    per = raw.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("col_key", "value"))).alias("got"))
-    ys = per.select("row_key", F.array(*[F.coalesce(F.element_at("got", F.lit(t)), F.lit(float(means.get(t, 0.0)))) for t in targets]).alias("y"))
+    mean = raw.filter("split = 'train'").groupBy("col_key").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"))
+    wanted = mean.select("col_key", "mean", F.lit(1).alias("_k"))
+    # exactly the cells that the target arrays hold; absent ones get the training mean
+    grid = raw.select("row_key", F.lit(1).alias("_k")).distinct().join(F.broadcast(wanted), "_k").drop("_k")
+    dense = grid.join(raw.select("row_key", "col_key", "value"), ["row_key", "col_key"], "left").select("row_key", F.col("col_key").cast("long").alias("k"), F.coalesce("value", "mean").alias("v"))
+    ys = dense.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("y"))
     grp = _members(spark, d).select(F.col("model_id").alias("row_key"), "grp")
-    both = xs.join(ys, "row_key").join(grp, "row_key", "left").withColumn("grp", F.coalesce("grp", "row_key"))
+    both = stage(xs.join(ys, "row_key").join(grp, "row_key", "left").withColumn("grp", F.coalesce("grp", "row_key")), "unfolded")
     folds = group_split.group_folds(both.filter("split = 'train'").groupBy("grp").agg(F.count("*").alias("size"))).select("grp", "fold")
     out = both.join(folds, "grp", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
     return stage(out, "samples"), stage(truth, "truth")

@@ -115,9 +115,9 @@ def put(name: str, ctes: list[str], body: str, recursive: bool = False) -> None:
     SQL[name] = with_ctes(ctes, body, recursive)
 
 
-put("lineage_mean_spearman", ["rho"], "SELECT e AS target, n, round(rho, 6) AS spearman FROM rho WHERE model = 'lineage_mean'")
-put("global_mean_r2", ["r2"], "SELECT e AS target, n, round(r2, 6) AS r2 FROM r2 WHERE model = 'global_mean'")
-put("lineage_mean_r2", ["r2"], "SELECT e AS target, n, round(r2, 6) AS r2 FROM r2 WHERE model = 'lineage_mean'")
+put("lineage_mean_spearman", ["rho"], "SELECT e AS target, n, round(rho, 6) + 0.0 AS spearman FROM rho WHERE model = 'lineage_mean'")
+put("global_mean_r2", ["r2"], "SELECT e AS target, n, round(r2, 6) + 0.0 AS r2 FROM r2 WHERE model = 'global_mean'")
+put("lineage_mean_r2", ["r2"], "SELECT e AS target, n, round(r2, 6) + 0.0 AS r2 FROM r2 WHERE model = 'lineage_mean'")
 put("metric_summary", ["summ"], "SELECT * FROM summ")
 put("model_deltas", ["summ"], """SELECT a.metric AS task, a.model, b.model AS reference, round(a.mean - b.mean, 4) AS delta,
   CASE WHEN round(a.mean - b.mean, 4) > 0.01 THEN 'better' WHEN round(a.mean - b.mean, 4) < -0.01 THEN 'worse' WHEN a.mean - b.mean IS NOT NULL THEN 'same' END AS verdict
