@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomgrid.llm.textstats import BLANKS, COMMON_WORDS, NO_WIDTH
-from loomgrid.plans.general_sql import NUMBER_GENES, PLAIN, TEXT_GENES, donor_id_sql, missing_sql, model_id_sql
+from loomgrid.plans.general_sql import NUMBER_GENES, PLAIN, TEXT_GENES, donor_id_sql, missing_sql, model_id_sql, number_sql
 
 SQL: dict[str, str] = {}
 
@@ -38,7 +38,7 @@ FROM grp JOIN pos USING (g)"""
 def _number(c: str) -> str:
     if c in TEXT_GENES:
         return f"CASE WHEN regexp_matches(trim({c}), '{PLAIN}') THEN try_cast(trim({c}) AS DOUBLE) END"
-    return f"CASE WHEN NOT isnan({c}) THEN {c}::DOUBLE END"
+    return number_sql(c)
 
 
 _GENES = [*NUMBER_GENES, *TEXT_GENES]
