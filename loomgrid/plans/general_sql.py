@@ -23,6 +23,11 @@ def missing_sql(col: str) -> str:
     return f"coalesce({text} IN ({words}) OR regexp_full_match({text}, '[^\\p{{L}}\\p{{N}}]*'), true)"
 
 
+def number_sql(col: str) -> str:
+    """The number as double, NULL for NaN; by its text, as file statistics may hide a NaN from the optimizer."""
+    return f"CASE WHEN {col}::VARCHAR <> 'nan' THEN {col}::DOUBLE END"
+
+
 ORPHANS = f"""
 WITH p AS (
   SELECT {model_id_sql("modelid")} AS k, min(loaded_at) AS since, min(withdrawn_at) AS until
@@ -47,7 +52,7 @@ SQL["p3_found"] = " UNION ALL ".join(
     ]
     + [
         "SELECT 'depmap_model', row_id, 'age' FROM depmap_model WHERE age IS NULL OR age NOT BETWEEN 0 AND 120",
-        "SELECT 'crispr_gene_effect', row_id, 'effect' FROM crispr_gene_effect WHERE effect IS NULL OR isnan(effect) OR effect NOT BETWEEN -10 AND 10",
+        f"SELECT 'crispr_gene_effect', row_id, 'effect' FROM crispr_gene_effect WHERE coalesce(({number_sql('effect')}) NOT BETWEEN -10 AND 10, true)",
     ]
 )
 
@@ -65,14 +70,14 @@ PLAIN = "^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$"
 def _long() -> str:
     parts = []
     for c in NUMBER_GENES:
-        parts.append(f"SELECT 'expression_profile' AS t, '{c}' AS c, load_id AS l, CASE WHEN NOT isnan({c}) THEN {c}::DOUBLE END AS num, NULL::VARCHAR AS txt FROM expression_profile")
+        parts.append(f"SELECT 'expression_profile' AS t, '{c}' AS c, load_id AS l, {number_sql(c)} AS num, NULL::VARCHAR AS txt FROM expression_profile")
     for c in TEXT_GENES:
         ok = f"regexp_matches(trim({c}), '{PLAIN}')"
         parts.append(f"SELECT 'expression_profile', '{c}', load_id, CASE WHEN {ok} THEN try_cast(trim({c}) AS DOUBLE) END, CASE WHEN NOT {ok} THEN {c} END FROM expression_profile")
     for c in ("modelid", "modelconditionid"):
         parts.append(f"SELECT 'expression_profile', '{c}', load_id, NULL, {c} FROM expression_profile")
     parts.append("SELECT 'crispr_gene_effect', 'modelid', load_id, NULL, modelid FROM crispr_gene_effect")
-    parts.append("SELECT 'crispr_gene_effect', 'effect', load_id, CASE WHEN NOT isnan(effect) THEN effect::DOUBLE END, NULL FROM crispr_gene_effect")
+    parts.append(f"SELECT 'crispr_gene_effect', 'effect', load_id, {number_sql('effect')}, NULL FROM crispr_gene_effect")
     return " UNION ALL ".join(parts)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrid.plans.general_sql import NUMBER_GENES, PLAIN, TEXT_GENES, donor_id_sql, missing_sql, model_id_sql
+from loomgrid.plans.general_sql import NUMBER_GENES, PLAIN, TEXT_GENES, donor_id_sql, missing_sql, model_id_sql, number_sql
 
 SQL: dict[str, str] = {}
 
@@ -20,14 +20,14 @@ def _cell(c: str) -> str:
     if c in TEXT_GENES:
         n = f"CASE WHEN regexp_matches(trim({c}), '{PLAIN}') THEN try_cast(trim({c}) AS DOUBLE) END"
     else:
-        n = f"{c}::DOUBLE"
+        n = number_sql(c)
     return f"SELECT m, '{c.rpartition('_')[2]}' AS e, {n} AS v FROM prof"
 
 
 CTES = {
     "eff": f"""eff AS (SELECT m, e, v FROM (
       SELECT *, row_number() OVER (PARTITION BY m, e ORDER BY row_id) AS r FROM (
-        SELECT row_id, {M} AS m, nullif(regexp_extract(gene, {LABEL}, 2), '') AS e, CASE WHEN effect BETWEEN -10 AND 10 THEN effect::DOUBLE END AS v FROM crispr_gene_effect)
+        SELECT row_id, {M} AS m, nullif(regexp_extract(gene, {LABEL}, 2), '') AS e, CASE WHEN ({number_sql('effect')}) BETWEEN -10 AND 10 THEN effect::DOUBLE END AS v FROM crispr_gene_effect)
       WHERE m IS NOT NULL AND e IS NOT NULL) WHERE r = 1)""",
     "prof": f"""prof AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY row_id) AS r FROM (
       SELECT *, {M} AS m FROM expression_profile WHERE lower(trim(isdefaultentryformodel)) IN ('true', '1', '1.0', 'yes', 't'))
