@@ -130,11 +130,15 @@ def near_pairs(index: DataFrame, probes: DataFrame, fields: int, near: Nearness
         sides = [(F.lit(True), F.lit(True))] if tier.low == 0 else [(F.col("lacks") >= heavy, F.lit(True)), (F.col("lacks") < heavy, F.col("lacks") >= heavy)]
         for of_index, of_probes in sides:
             fits = F.col("lacks") <= tier.high
+            # with no vector on the side that must lack many fields the tier has no pairs
+            if tier.low and (held.filter(of_index & fits).isEmpty() or asked.filter(of_probes & fits).isEmpty()):
+                continue
             left = held.filter(of_index & fits).select("vec_id", "lacks", *[f"sig{k}" for k in range(n_words)], F.explode(_shingles(g, tier.size, False)).alias("key"))
             right = asked.filter(of_probes & fits).select("vec_id", "lacks", *[f"ask{k}" for k in range(n_words)], F.explode(_shingles(g, tier.size, True)).alias("key"))
-            hits = _probe(left, right, tier, g, n_words, near)
+            # written tier by tier, which keeps each plan small
+            hits = stage(_probe(left, right, tier, g, n_words, near).distinct(), "hits")
             found = hits if found is None else found.unionByName(hits)
-    candidates = stage(found.distinct(), "candidates")
+    candidates = found.distinct()
     a = held.select(F.col("vec_id").alias("index_id"), F.col("vals").alias("a"))
     b = asked.select(F.col("vec_id").alias("probe_id"), F.col("vals").alias("b"))
     both = candidates.join(a, "index_id").join(b, "probe_id")

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.ids import donor_id, model_id, plain_number
-from loomgrid.llm.leakage import leaked_items
 from loomgrid.llm.overlap import cross_split_overlaps, split_sides
-from loomgrid.llm.packing import fill_report, pack, token_counts
 from loomgrid.llm.splits import entity_groups, grouped_splits
 from loomgrid.llm.textstats import judge, other_than_prose, text_statistics
 from loomgrid.plans.general_queries import gene_columns, model_lineage
@@ -65,7 +63,12 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return held.join(made, "entity", "left").groupBy("overlap", "split", F.coalesce("centre", F.lit("none")).alias("centre")).agg(F.countDistinct("entity").alias("n_models"))
 
 
+# what needs NumPy or pandas is imported where it is used, to keep other queries' drivers small
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
+    from loomgrid.llm.packing import pack, token_counts
+
     sizes = token_counts(table(spark, d, "documents")).select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size"))
     return pack(sizes, CAPACITY)
 
@@ -75,10 +78,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    from loomgrid.llm.packing import fill_report
+
     return fill_report(_packed(spark, d), CAPACITY)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    from loomgrid.llm.leakage import leaked_items
+
     return leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_item"))
 
 
