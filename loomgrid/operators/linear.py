@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid import config
+from loomgrid.operators.metrics import best_alpha, spearman
 
 
 @dataclass
@@ -151,17 +152,6 @@ def predict(samples: DataFrame, models: dict[int, tuple[Projection, dict[float,
     return out.select("row_key", "fold", "alpha", F.posexplode("preds").alias("pos", "pred"))
 
 
-def best_alpha(scores: DataFrame) -> DataFrame:
-    """``alpha, score, chosen, at_boundary``: mean score per alpha, the best and, of equals, the smallest chosen."""
-    from pyspark.sql import Window as W
-
-    per = scores.groupBy("alpha").agg(F.avg("score").alias("score"))
-    w = W.orderBy(F.desc_nulls_last("score"), "alpha")  # one row per alpha
-    edges = W.partitionBy()
-    out = per.withColumn("chosen", F.row_number().over(w) == 1)
-    return out.withColumn("at_boundary", F.col("chosen") & ((F.col("alpha") == F.min("alpha").over(edges)) | (F.col("alpha") == F.max("alpha").over(edges))))
-
-
 @dataclass
 class RidgeFit:
     alpha: float
@@ -180,8 +170,6 @@ def ridge_cv(train: DataFrame, truth: DataFrame, components: int | None, alphas:
     differ in the ridge only.  A fold's score is the mean per-target rank
     correlation; fewer than two folds give the middle alpha.
     """
-    from loomgrid.operators.metrics import spearman
-
     by_fold = moments(train)
     whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
     proj = fit_projection(whole, components)
@@ -262,8 +250,6 @@ def mlp_cv(train: DataFrame, truth: DataFrame, alphas: list[float] = config.MLP_
     One network is fitted on one worker, so its training set has a bound: more
     than ``max_rows`` rows are refused, none is dropped.
     """
-    from loomgrid.operators.metrics import spearman
-
     n = train.count()
     if n > max_rows:
         raise ValueError(f"{n} training rows; a network takes up to {max_rows}")

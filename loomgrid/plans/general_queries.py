@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from loomgrid.functions.ids import donor_id, is_missing_text, model_id, usable_text
 from loomgrid.functions.labels import entrez_of
 from loomgrid.operators.drift import alias_table, schema_drift, unified_table
-from loomgrid.operators.impute import Field, fill_missing, filled_cells
 from loomgrid.operators.lookup import salted_lookup
 from loomgrid.operators.profile import ColumnRule, column_profile, load_findings, value_counts
 from loomgrid.operators.references import orphan_references, orphan_report, parent_intervals
@@ -50,6 +49,8 @@ def _category(name: str) -> F.Column:
 
 def _filled_models(spark: SparkSession, d: str) -> DataFrame:
     """Lineage, sex and age from rows of the same donor; without one, from those of the same model."""
+    from loomgrid.operators.impute import Field, fill_missing
+
     age = F.when(F.col("age").between(0, 120), F.col("age").cast("double"))
     fields = [Field("oncotreelineage", _category("oncotreelineage")), Field("sex", _category("sex")), Field("age", age, numeric=True)]
     group = F.coalesce(donor_id(F.col("patientid")), model_id(F.col("modelid")))
@@ -65,6 +66,8 @@ def model_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 def _filled_effects(spark: SparkSession, d: str) -> DataFrame:
     """Effects from rows of the same gene and lineage."""
+    from loomgrid.operators.impute import Field, fill_missing
+
     effects = table(spark, d, "crispr_gene_effect")
     key = F.coalesce(model_id(F.col("modelid")), F.concat(F.lit("?"), F.col("row_id").cast("string")))
     rows = salted_lookup(effects.withColumn("model_key", key), model_lineage(spark, d), "model_key", "row_id")
@@ -77,6 +80,8 @@ def _filled_effects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from loomgrid.operators.impute import filled_cells
+
     models = filled_cells(_filled_models(spark, d), "depmap_model", "row_id", ["oncotreelineage", "sex", "age"])
     return models.unionByName(filled_cells(_filled_effects(spark, d), "crispr_gene_effect", "row_id", ["effect"]))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid import config
 from loomgrid.functions.ids import loose_bool, model_id
-from loomgrid.operators import baselines, cells, checks, expression_counts, gene_space, group_split, linear, metrics, report
+from loomgrid.operators import baselines, cells, checks, expression_counts, gene_space, group_split, metrics, report
 from loomgrid.plans import inputs
 from loomgrid.plans.general_queries import gene_columns
 from loomgrid.sources.staging import stage
@@ -375,6 +375,8 @@ def _samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query
 def gram_matrix(spark, d):
     """Products of the scaled training features, summed over samples in the workers."""
+    from loomgrid.operators import linear
+
     own = baselines.impute_train_mean(_expression_split(spark, d)).select("row_key", "col_key", "split", F.col("imputed").alias("value"))
     scaled = baselines.standardize(own).filter("split = 'train'")
     names = [r[0] for r in scaled.select("col_key").distinct().orderBy(F.col("col_key").cast("long")).collect()]  # features, as the model has them
@@ -411,11 +413,13 @@ def alpha_select(spark, d):
     held = own.filter("split <> 'train'").join(F.broadcast(s), "col_key").withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
     pred = F.col("my") + F.col("sxy") / (F.col("sxx") + F.col("alpha")) * (F.col("x") - F.col("mx"))
     scored = metrics.r_squared(held.select("alpha", F.col("col_key").alias("target"), F.col("y").alias("truth"), pred.alias("pred")), ["alpha", "target"])
-    return linear.best_alpha(scored.select("alpha", F.col("r2").alias("score"))).select("alpha", r6("score"), "chosen", "at_boundary")
+    return metrics.best_alpha(scored.select("alpha", F.col("r2").alias("score"))).select("alpha", r6("score"), "chosen", "at_boundary")
 
 
 def _head(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """One row of scores of a cross-validated head on held-out samples."""
+    from loomgrid.operators import linear
+
     samples, truth = _samples(spark, d)
     truth = truth.select("row_key", "pos", "truth")
     train, held = samples.filter("split = 'train'"), samples.filter("split <> 'train'")
