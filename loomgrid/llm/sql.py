@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgrid.llm import textstats
 from loomgrid.llm.textstats import BLANKS, COMMON_WORDS, NO_WIDTH
 from loomgrid.plans.general_sql import NUMBER_GENES, PLAIN, TEXT_GENES, donor_id_sql, missing_sql, model_id_sql, number_sql
 
@@ -78,3 +79,82 @@ SELECT doc_id, len(words) AS n_words, round(coalesce(letters / nullif(len(words)
   round(coalesce(len(regexp_extract_all(t, '(?m)[.!?:;…]["''”»)]*[ \\t]*$')) / nullif(lines, 0), 0), 6) AS punctuated_share,
   round(coalesce(len(list_filter(words, lambda x: x IN ({_WORDS}))) / nullif(len(words), 0), 0), 6) AS common_share
 FROM n"""
+
+# Words as the operator has them, as far as the variants of the test data go; a stretch of eight words or more is a
+# run of equal eight-word grams, and the words of all these grams are counted once.
+_VERSIONS = r"""
+  SELECT doc_id, 0 AS ver, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 1, regexp_replace(text, '(\p{L})-[ \t]*\r?\n[ \t]*(\p{L})', '\1\2', 'g') FROM documents WHERE regexp_matches(text, '\p{L}-[ \t]*\r?\n[ \t]*\p{L}')"""
+_INLINE = "a|abbr|b|big|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|wbr"
+
+
+def _normal(col: str) -> str:
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+        col = f"replace({col}, '{a}', '{b}')"
+    col = f"regexp_replace({col}, '(?i)</?(?:{_INLINE})\\b[^<>]{{0,300}}>', '', 'g')"
+    col = f"regexp_replace({col}, '</?[A-Za-z!][^<>]{{0,300}}>', ' ', 'g')"
+    col = f"regexp_replace({col}, '{NO_WIDTH}', '', 'g')"
+    return f"regexp_extract_all(lower(strip_accents({col})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+LEAKS = f"""
+WITH it AS (SELECT item_id, {_normal("text")} AS w FROM heldout_item), ig AS (
+  SELECT item_id, len(w) AS n, unnest(range(1, len(w) - 6)) AS q, w FROM it WHERE len(w) >= 8
+), i8 AS (SELECT item_id, n, q, array_to_string(w[q:q + 7], ' ') AS g FROM ig
+), dw AS (SELECT doc_id, ver, {_normal("text")} AS w FROM ({_VERSIONS})
+), dg AS (SELECT doc_id, ver, unnest(range(1, len(w) - 6)) AS p, w FROM dw WHERE len(w) >= 8
+), d8 AS (SELECT DISTINCT doc_id, ver, array_to_string(w[p:p + 7], ' ') AS g FROM dg
+), cov AS (
+  SELECT doc_id, ver, item_id, n, count(DISTINCT pos) AS held FROM (SELECT doc_id, ver, item_id, n, unnest(range(q, q + 8)) AS pos FROM d8 JOIN i8 USING (g)) GROUP BY ALL
+), leak AS (SELECT doc_id, item_id, max(held / n) AS held FROM cov WHERE 3 * held >= n GROUP BY doc_id, item_id)"""
+SQL["p8_found"] = LEAKS + " SELECT doc_id, item_id FROM leak"
+SQL["p8_report"] = LEAKS + " SELECT suite, side, item_id, count(*) AS n_documents, round(max(held), 6) AS most_held FROM leak JOIN heldout_item USING (item_id) GROUP BY ALL"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches(col: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({col}, {_quoted(pattern)}))"
+
+
+def _chars(found: str) -> str:
+    return f"length(regexp_replace(array_to_string({found}, ''), '\\s+', '', 'g'))"
+
+
+def _share(a: str, b: str) -> str:
+    return f"coalesce(({a}) / nullif({b}, 0), 0)"
+
+
+_ROWS = ", ".join(
+    f"CASE WHEN contains(t, {_quoted(sign)}) THEN regexp_extract_all(t, {_quoted(textstats.LINE_KINDS[kind])}) ELSE []::VARCHAR[] END AS {kind}" for kind, sign in textstats.LINE_SIGNS.items()
+)
+_ROW_LENGTHS = [_chars(k) for k in textstats.LINE_KINDS if k not in ("pipe_row", "rule_row")] + [_chars("pipe_row") + " + " + _chars("rule_row")]
+JUDGED = f"""
+WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '{NO_WIDTH}', '', 'g'), '{BLANKS}', ' ', 'g') AS t FROM documents
+), p AS (SELECT doc_id, t, regexp_replace(t, {_quoted(textstats._TAG)}, ' ', 'g') AS p FROM l
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(p), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words,
+    list_filter(regexp_split_to_array(p, {_quoted(textstats._UNIT_END)}), lambda x: trim(x) <> '') AS units,
+    length(regexp_replace(p, '\\s+', '', 'g')) AS chars, regexp_extract_all(t, {_quoted(textstats._ENTRY)}) AS entries, {_ROWS} FROM p
+), n AS (
+  SELECT *, len(words) AS nw, coalesce(length(array_to_string(words, '')), 0) AS letters, len(entries) AS ne, greatest({", ".join(f"len({k})" for k in textstats.LINE_KINDS)}) AS nr FROM w
+), s AS (
+  SELECT doc_id, nw, ne, nr, {_share("chars - letters", "chars")} AS symbol, {_share(f"len(list_filter(words, lambda x: x IN ({_WORDS})))", "nw")} AS common,
+    {_share("len(list_distinct(words))", "nw")} AS dist, {_share("len(list_filter(words, lambda x: length(x) = 1))", "nw")} AS single,
+    {_share(_chars(f"regexp_extract_all(p, {_quoted(textstats._LONG)})"), "chars")} AS long_share,
+    CASE WHEN contains(t, '00') OR contains(t, ' a') OR contains(t, ' f') THEN {_share(_chars(f"regexp_extract_all(t, {_quoted(textstats._HEX)})"), "chars")} ELSE 0 END AS hex,
+    {_share(" + ".join(_matches("p", g) for g in textstats._GARBLED), "nw")} AS garbled, {_matches("t", textstats._CELL_TAG)} AS tags,
+    {_share(f"greatest({', '.join(_ROW_LENGTHS)})", "chars")} AS row_share, {_share(_chars("entries"), "chars")} AS entry_share,
+    {_matches("p", textstats._BETWEEN)} AS nb, {_matches("p", textstats._SENTENCE_END)} AS ns,
+    CASE WHEN ne >= 3 OR nr >= 3 THEN {_matches(f"regexp_replace(regexp_replace(t, {_quoted(textstats._ENTRY)}, '', 'g'), {_quoted(textstats._ROW)}, '', 'g')", textstats._SENTENCE_END)} ELSE 0 END AS apart,
+    {_share("len(list_distinct(units))", "len(units)")} AS du, len(units) AS nu FROM n
+), j AS (SELECT doc_id, CASE
+    WHEN nw = 0 AND tags = 0 OR hex > 0.5 OR long_share > 0.5 AND tags < 4 THEN 'junk'
+    WHEN tags >= 4 AND tags > 4 * apart OR nr >= 3 AND row_share > 0.35 AND nr > 1.5 * apart THEN 'table'
+    WHEN nw BETWEEN 5 AND 200 AND dist < 0.25 OR dist < 0.03 AND nw > 200 OR nu >= 5 AND du < 0.25 AND dist < 0.15 THEN 'junk'
+    WHEN nw >= 8 AND single > 0.5 OR garbled > 0.03 THEN 'junk'
+    WHEN ne >= 3 AND entry_share > 0.35 AND ne > 1.5 * apart AND (common < 0.35 OR entry_share > 0.8) OR nb >= 3 AND nw < 6.5 * (nb + 1) AND ns <= 0.1 * nb THEN 'list'
+    WHEN symbol > 0.3 OR nw >= 8 AND common < 0.1 THEN 'junk' ELSE 'prose' END AS kind FROM s)"""
+SQL["p9_found"] = JUDGED + " SELECT doc_id, kind FROM j WHERE kind <> 'prose'"

@@ -37,6 +37,8 @@ LINE_KINDS = {
     "comma_row": r"(?m)^[^,\n]{0,40}(?:,(?:[^, \n][^,\n]{0,39})?){2,}$",
     "gap_row": r"(?m)^ *" + _CELL + r"(?: {2,}" + _CELL + r"){1,} *$",
 }
+#: A sign that every row of the kind has.
+LINE_SIGNS = {"pipe_row": "|", "bar_row": "|", "rule_row": "--", "tab_row": "\t", "semicolon_row": ";", "comma_row": ",", "gap_row": "  "}
 ENTRY_KINDS = {
     "marked": r"(?m)^[ \t]*" + _MARK + r"[ \t]+[^\n]{1,90}$",
     "labelled": r"(?m)^[ \t]*[^\s:;,.][^:\n;,.]{0,24}:[ \t]+[^\n]{1,60}$",
@@ -48,12 +50,17 @@ _ROW = "(?m)(?:" + "|".join("(?:" + p.replace("(?m)", "") + ")" for p in LINE_KI
 #: Between entries that share a line.
 _BETWEEN = r", | / |; | \| | • | · "
 _SENTENCE_END = r"(?m)[\p{L}\p{N})\"'”»][.!?][\"'”»)]*(?:\s|$)"
+_LONG = r"\S{45,}"
+_CELL_TAG = r"(?i)<t[dh]\b"
+_LINE = r"(?m)^[^\n]*\S"
+_PUNCTUATED = r"(?m)[.!?:;…][\"'”»)]*[ \t]*$"
+_UNIT_END = r"[.!?]\s+|\n+"
 _HEX = r"(?m)^[0-9a-fA-F]{4,8}:?(?:[ \t]+[0-9a-fA-F]{2,8}){4,}[^\n]*$"
 #: Blanks beside the plain one, and signs of no width.
 BLANKS = "[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 NO_WIDTH = "[\u00ad\u200b-\u200d\u2060\ufeff]"
 #: Signs inside words, capitals after small letters, and what is left of texts read in a wrong encoding.
-_GARBLED = [r"[,;:!|~\"=^](?<=\p{L}.)\p{L}", r"\.(?<=[a-zA-Z].)[a-z]", r"[a-zà-ÿ][A-ZÀ-Þ]", "[�¿½¼»¡¢°€™ÃÂÐ]"]
+_GARBLED = [r"[,;:!|~�=^]\p{L}", r"[a-zA-Z]\.[a-z]", r"[a-zà-ÿ][A-ZÀ-Þ]", "[�¿½¼»¡¢°€™ÃÂÐ]"]
 _TAG = r"</?[A-Za-z][^<>\n]{0,200}>"
 
 
@@ -91,7 +98,6 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     chars, lines, n = F.col("_chars"), F.col("_lines"), F.size("_words")
     has = lambda sign: F.contains(t, F.lit(sign))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    signs = {"pipe_row": "|", "bar_row": "|", "rule_row": "--", "tab_row": "\t", "semicolon_row": ";", "comma_row": ",", "gap_row": "  "}
     rows = {k: F.col(f"_{k}") for k in LINE_KINDS}
     letters = F.length(F.array_join(words, ""))
     row_lengths = [_length(r) for k, r in rows.items() if k not in ("pipe_row", "rule_row")] + [_length(rows["pipe_row"]) + _length(rows["rule_row"])]
@@ -101,15 +107,15 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": lines,
         "mean_word_length": share(letters, n),
         "symbol_share": share(chars - letters, chars),
-        "punctuated_share": share(_count(t, r"(?m)[.!?:;…][\"'”»)]*[ \t]*$"), lines),
+        "punctuated_share": share(_count(t, _PUNCTUATED), lines),
         "bullet_share": share(_count(t, r"(?m)^[ \t]*" + _MARK + r"[ \t]+\S"), lines),
         "common_share": share(F.size(F.filter(words, lambda w: w.isin(COMMON_WORDS))), n),
         "distinct_share": share(F.size(F.array_distinct(words)), n),
         "single_share": share(F.size(F.filter(words, lambda w: F.length(w) == 1)), n),
-        "long_share": share(_length(_found(plain, r"(?<!\S)\S{45,}")), chars),
+        "long_share": share(_length(_found(plain, _LONG)), chars),
         "hex_share": share(_length(_found(t, _HEX, has("00") | has(" a") | has(" f"))), chars),
         "garbled_share": share(sum((_count(plain, p) for p in _GARBLED[:-1]), F.when(F.octet_length(plain) > F.length(plain), _count(plain, _GARBLED[-1])).otherwise(0)), n),
-        "cell_tags": F.when(has("<"), _count(t, r"(?i)<t[dh]\b")).otherwise(0),
+        "cell_tags": F.when(has("<"), _count(t, _CELL_TAG)).otherwise(0),
         "row_share": share(F.greatest(*row_lengths), chars),
         "n_rows": F.greatest(*[F.size(r) for r in rows.values()]),
         "entry_share": share(_length(F.col("_entries")), chars),
@@ -125,12 +131,12 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     base = base.withColumns(
         {
             "_words": F.filter(F.split(F.lower("_plain"), r"[^\p{L}\p{N}]+"), lambda w: w != ""),
-            "_units": F.filter(F.split("_plain", r"[.!?]\s+|\n+"), lambda u: F.trim(u) != ""),
+            "_units": F.filter(F.split("_plain", _UNIT_END), lambda u: F.trim(u) != ""),
             "_chars": F.length(F.regexp_replace("_plain", r"\s+", "")),
-            "_lines": _count(t, r"(?m)^[^\n]*\S"),
+            "_lines": _count(t, _LINE),
             "_entries": _found(t, _ENTRY),
         }
-        | {f"_{k}": _found(t, p, has(signs[k])) for k, p in LINE_KINDS.items()}
+        | {f"_{k}": _found(t, p, has(LINE_SIGNS[k])) for k, p in LINE_KINDS.items()}
     )
     # sentences outside of entries and rows, asked for only where there are some of these
     apart = _count(F.regexp_replace(F.regexp_replace(t, _ENTRY, ""), _ROW, ""), _SENTENCE_END)
