@@ -141,7 +141,7 @@ WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(
 ), n AS (
   SELECT *, len(words) AS nw, coalesce(length(array_to_string(words, '')), 0) AS letters, len(entries) AS ne, greatest({", ".join(f"len({k})" for k in textstats.LINE_KINDS)}) AS nr FROM w
 ), s AS (
-  SELECT doc_id, nw, ne, nr, {_share("chars - letters", "chars")} AS symbol, {_share(f"len(list_filter(words, lambda x: x IN ({_WORDS})))", "nw")} AS common,
+  SELECT doc_id, nw, ne, nr, letters, {_share("chars - letters", "chars")} AS symbol, {_share(f"len(list_filter(words, lambda x: x IN ({_WORDS})))", "nw")} AS common,
     {_share("len(list_distinct(words))", "nw")} AS dist, {_share("len(list_filter(words, lambda x: length(x) = 1))", "nw")} AS single,
     {_share(_chars(f"regexp_extract_all(p, {_quoted(textstats._LONG)})"), "chars")} AS long_share,
     CASE WHEN contains(t, '00') OR contains(t, ' a') OR contains(t, ' f') THEN {_share(_chars(f"regexp_extract_all(t, {_quoted(textstats._HEX)})"), "chars")} ELSE 0 END AS hex,
@@ -151,10 +151,10 @@ WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(
     CASE WHEN ne >= 3 OR nr >= 3 THEN {_matches(f"regexp_replace(regexp_replace(t, {_quoted(textstats._ENTRY)}, '', 'g'), {_quoted(textstats._ROW)}, '', 'g')", textstats._SENTENCE_END)} ELSE 0 END AS apart,
     {_share("len(list_distinct(units))", "len(units)")} AS du, len(units) AS nu FROM n
 ), j AS (SELECT doc_id, CASE
-    WHEN nw = 0 AND tags = 0 OR hex > 0.5 OR long_share > 0.5 AND tags < 4 THEN 'junk'
+    WHEN nw = 0 AND tags = 0 OR hex > 0.5 OR long_share > 0.5 AND tags < 4 AND nr < 3 THEN 'junk'
     WHEN tags >= 4 AND tags > 4 * apart OR nr >= 3 AND row_share > 0.35 AND nr > 1.5 * apart THEN 'table'
     WHEN nw BETWEEN 5 AND 200 AND dist < 0.25 OR dist < 0.03 AND nw > 200 OR nu >= 5 AND du < 0.25 AND dist < 0.15 THEN 'junk'
-    WHEN nw >= 8 AND single > 0.5 OR garbled > 0.03 THEN 'junk'
-    WHEN ne >= 3 AND entry_share > 0.35 AND ne > 1.5 * apart AND (common < 0.35 OR entry_share > 0.8) OR nb >= 3 AND nw < 6.5 * (nb + 1) AND ns <= 0.1 * nb THEN 'list'
-    WHEN symbol > 0.3 OR nw >= 8 AND common < 0.1 THEN 'junk' ELSE 'prose' END AS kind FROM s)"""
+    WHEN nw >= 8 AND single > 0.5 OR garbled > 0.015 THEN 'junk'
+    WHEN ne >= 3 AND entry_share > 0.35 AND ne > 1.5 * apart AND (common < 0.35 OR entry_share > 0.8 OR ne >= 5 AND ne > 4 * apart) OR nb >= 3 AND nw < 6.5 * (nb + 1) AND ns <= 0.1 * nb THEN 'list'
+    WHEN symbol > 0.3 OR nw >= 8 AND common < 0.1 OR letters > 10 * nw AND common < 0.1 THEN 'junk' ELSE 'prose' END AS kind FROM s)"""
 SQL["p9_found"] = JUDGED + " SELECT doc_id, kind FROM j WHERE kind <> 'prose'"

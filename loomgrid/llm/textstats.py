@@ -154,7 +154,8 @@ def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
     return {
         "junk": {
             "blank": (c("n_words") == 0) & (c("cell_tags") == 0),
-            "encoded": (c("hex_share") > 0.5) | ((c("long_share") > 0.5) & (c("cell_tags") < 4)),
+            # the rules between rows of a drawn table are long runs too
+            "encoded": (c("hex_share") > 0.5) | ((c("long_share") > 0.5) & (c("cell_tags") < 4) & (c("n_rows") < 3)),
         },
         "table": {
             "cells": (c("cell_tags") >= 4) & (c("cell_tags") > 4 * c("n_sentences_apart")),
@@ -166,16 +167,17 @@ def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
         },
         "junk_garbled": {
             "spaced_letters": wordy & (c("single_share") > 0.5),
-            "garbled": c("garbled_share") > 0.03,
+            "garbled": c("garbled_share") > 0.015,
         },
         "list": {
             # German nouns start lines of wrapped prose with capitals; function words give it away
-            "entries": (c("n_entries") >= 3) & (c("entry_share") > 0.35) & outweigh(c("n_entries")) & ((c("common_share") < 0.35) | (c("entry_share") > 0.8)),
+            "entries": (c("n_entries") >= 3) & (c("entry_share") > 0.35) & outweigh(c("n_entries")) & ((c("common_share") < 0.35) | (c("entry_share") > 0.8) | ((c("n_entries") >= 5) & (c("n_entries") > 4 * c("n_sentences_apart")))),
             "inline_entries": (c("n_between") >= 3) & (c("n_words") < 6.5 * (c("n_between") + 1)) & (c("n_sentences") <= 0.1 * c("n_between")),
         },
         "junk_rest": {
             "symbols": c("symbol_share") > 0.3,
             "no_common_words": wordy & (c("common_share") < 0.1),
+            "endless_words": (c("mean_word_length") > 10) & (c("common_share") < 0.1),
         },
     }
 

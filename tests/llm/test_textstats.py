@@ -16,7 +16,8 @@ CASES = {
     ],
     "table": [
         "a\tb\tc\n1\t2\t3\n4\t\t6\n7\t8\t9", "gene;sd;lot\nX1;2.0;3\nX2;;4\nX3;1.5;6", "n,lot,qc\n1,2,ok\n3,4,NA\n5,,ok", "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |",
-        "well      gene      lot\n1         X1        22\n2         X2        33\n3                   44", "<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table>",
+        "well      gene      lot\n1         X1        22\n2         X2        33\n3                   44", "+--------------------------+------------------------+\n|            a             |           b            |\n+--------------------------+------------------------+\n|            1             |           2            |\n+--------------------------+------------------------+",
+        "<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table>",
     ],
     "junk": [
         None, "", "   \n\t ", "​", "....................", "loading... " * 60, "ok." * 200, PROSE.split(".")[0].join(["", ". "]) * 30, "aGVsbG8gd29ybGQ" * 20,
