@@ -17,11 +17,11 @@ CATALOG = {
 
 
 def data_dir(default: str = ".") -> str:
-    return os.environ.get("DEPMAP_DATA_DIR", default)
+    return os.environ.get("LOOMGRID_DATA_DIR", default)
 
 
 def processed_dir(default: str = "./processed") -> str:
-    return os.environ.get("DEPMAP_PROCESSED_DIR", default)
+    return os.environ.get("LOOMGRID_PROCESSED_DIR", default)
 
 
 def _list(spark: SparkSession, pattern: str) -> list[str]:

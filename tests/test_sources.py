@@ -55,7 +55,7 @@ def test_resolver(spark, tmp_path, monkeypatch):
         resolver.resolve_file(spark, "metadata", str(tmp_path))
     with pytest.raises(KeyError):
         resolver.resolve_file(spark, "nothing", str(tmp_path), required=False)
-    monkeypatch.setenv("DEPMAP_DATA_DIR", str(tmp_path))
+    monkeypatch.setenv("LOOMGRID_DATA_DIR", str(tmp_path))
     assert resolver.data_dir() == str(tmp_path)
 
 
