@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid import config
@@ -15,7 +16,7 @@ def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     An aggregate, not a window: rows of a hot key are combined before the shuffle.
     """
     others = [c for c in rows.columns if c not in keys and c != order]
-    packed = rows.groupBy(*keys).agg(F.min(F.struct(F.col(order), F.xxhash64(*[F.col(c).cast("string") for c in others]).alias("_tie"), *others)).alias("_first"))
+    packed = rows.groupBy(*keys).agg(F.min(F.struct(F.col(order), F.xxhash64(F.lit(0), *[F.col(c).cast("string") for c in others]).alias("_tie"), *others)).alias("_first"))
     return packed.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [order, *others]]).select(*rows.columns)
 
 
@@ -37,8 +38,6 @@ def transpose(cells: DataFrame) -> DataFrame:
 
 def orientation(labels: DataFrame, axis: str, label: str, order: str, prefix: str = config.MODEL_PREFIX, look: int = 50) -> DataFrame:
     """``axis, n_looked, n_prefixed, is_key``: an axis is the key axis if half of its first 50 labels have the prefix."""
-    from pyspark.sql import Window as W
-
     first = labels.withColumn("_r", F.row_number().over(W.partitionBy(axis).orderBy(order))).filter(F.col("_r") <= look)
     out = first.groupBy(axis).agg(F.count("*").alias("n_looked"), F.count_if(F.col(label).startswith(prefix)).alias("n_prefixed"))
     return out.withColumn("is_key", F.col("n_prefixed") >= F.greatest(F.lit(1), F.floor(F.col("n_looked") / 2)))

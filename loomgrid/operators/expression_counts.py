@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators.cells import clip_low
-from loomgrid.operators.gene_space import lookup_chain
+from loomgrid.operators.cells import clip_low, row_sums
+from loomgrid.operators.gene_space import lookup_chain, parse_labels
 
 
 def pseudo_counts(cells: DataFrame) -> DataFrame:
@@ -26,8 +26,6 @@ def to_targets(cells: DataFrame, labels: DataFrame, mapping: DataFrame) -> tuple
     """Cells by target id, and a one-row report: mapped labels, unmapped ones, and those dropped as a target's later label."""
     chain = lookup_chain(labels, mapping)
     out = cells.join(F.broadcast(chain.select(F.col("label").alias("col_key"), "target")), "col_key").select("row_key", "target", "value")
-    from loomgrid.operators.gene_space import parse_labels
-
     known = parse_labels(labels).join(mapping.select("entrez").distinct().withColumn("_known", F.lit(True)), "entrez", "left")
     report = known.agg(F.count_if(F.col("_known").isNull()).alias("n_unmapped"), F.count_if(F.col("_known")).alias("n_mapped"))
     kept = chain.agg(F.count("*").alias("n_targets"))
@@ -41,8 +39,6 @@ def coordinates(cells: DataFrame) -> DataFrame:
 
 def row_table(cells: DataFrame, metadata: DataFrame, splits: DataFrame) -> DataFrame:
     """``row_key, n_counts, lineage, disease, subtype, split``; what is not known stays NULL."""
-    from loomgrid.operators.cells import row_sums
-
     meta = metadata.select(F.col("model_id").alias("row_key"), "lineage", "disease", "subtype")
     part = splits.select(F.col("model_id").alias("row_key"), "split")
     return row_sums(cells).withColumnRenamed("total", "n_counts").join(meta, "row_key", "left").join(part, "row_key", "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.functions.ids import donor_id, is_missing_text, model_id, usable_text
+from loomgrid.functions.ids import donor_id, model_id, usable_text
 from loomgrid.functions.labels import entrez_of
 from loomgrid.operators.drift import alias_table, schema_drift, unified_table
 from loomgrid.operators.lookup import salted_lookup
@@ -43,7 +43,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _category(name: str) -> F.Column:
+def _category(name: str) -> Column:
     return F.initcap(usable_text(F.col(name)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.ids import donor_id, model_id, plain_number, usable_text
@@ -32,7 +32,7 @@ def expression_cells(spark: SparkSession, d: str) -> DataFrame:
     kinds = dict(rows.dtypes)
     genes = [c for c in rows.columns if c.rpartition("_")[2].isdigit()]
 
-    def value(c: str) -> F.Column:
+    def value(c: str) -> Column:
         number = plain_number(F.col(c)) if kinds[c] == "string" else F.col(c).cast("double")
         return F.when(number.between(0, 20), number)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid import config
@@ -21,7 +21,7 @@ def query(f):
     return f
 
 
-def r6(name: str, alias: str | None = None) -> F.Column:
+def r6(name: str, alias: str | None = None) -> Column:
     return F.round(F.col(name), 6).alias(alias or name)
 
 
