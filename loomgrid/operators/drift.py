@@ -185,19 +185,38 @@ def alias_table(drift: Drift) -> list[Alias]:
     return sorted(out, key=lambda a: a.canonical)
 
 
+def plain_text(value: Column, json_type: Column) -> Column:
+    """The value as a text; NULL for an object that says more than one text or number.
+
+    Members that are null or false add nothing.  A true one does: ``{"id": "MC-1", "alt": true}`` stands for
+    ``MC-1-alt``, ``MC-1-alt2`` and so on alike, so no text of the other form may be made of it.
+    """
+    members = F.map_values(F.try_parse_json(value).try_cast("map<string,variant>"))
+    told = F.transform(members, lambda m: F.struct(F.schema_of_variant(m).alias("kind"), m.cast("string").alias("text")))
+    told = F.filter(told, lambda m: (m["kind"] != "VOID") & ((m["kind"] != "BOOLEAN") | (m["text"] == "true")))
+    one = F.get(told, F.lit(0))
+    scalar = (one["kind"] != "BOOLEAN") & ~one["kind"].startswith("OBJECT") & ~one["kind"].startswith("ARRAY")
+    return F.when(json_type != "object", value).when(json_type == "object", F.when((F.size(told) == 1) & scalar, one["text"]))
+
+
 def unified_table(drift: Drift, aliases: list[Alias]) -> DataFrame:
     """One row per record with one column per canonical field, cast to its type.
 
-    A value that cannot be cast is NULL and its field is listed in ``cast_failed``.
+    A value that cannot be cast is NULL and its field is listed in
+    ``cast_failed``.  An object of one text or number counts as that
+    (:func:`plain_text`); any other stays whole, as JSON, in a text column and
+    is listed too.  ``object_values`` has every object as it was delivered, so
+    that no member is lost.
     """
-    aggs, failed = [], []
-    for a in aliases:
-        raw = F.max(F.when(F.col("field_name").isin(list(a.names)), F.when(F.col("json_type") == "object", F.coalesce(F.get_json_object("value", "$.id"), F.col("value"))).otherwise(F.col("value"))))
-        aggs.append(raw.alias(f"_{a.canonical}"))
-    wide = drift.fields.groupBy("raw_id", "series", "seq", "file_name").agg(*aggs)
-    cols = []
+    is_object = F.col("json_type") == "object"
+    texts = drift.fields.withColumn("_plain", plain_text(F.col("value"), F.col("json_type")))
+    found = F.struct(F.coalesce("_plain", "value").alias("text"), (is_object & F.col("_plain").isNull()).alias("whole"))
+    aggs = [F.max(F.when(F.col("field_name").isin(list(a.names)) & F.col("value").isNotNull(), found)).alias(f"_{a.canonical}") for a in aliases]
+    objects = F.array_sort(F.collect_list(F.when(is_object, F.struct("field_name", "value"))))
+    wide = texts.groupBy("raw_id", "series", "seq", "file_name").agg(*aggs, objects.alias("_objects"))
+    cols, failed = [], []
     for a in aliases:
-        text = F.col(f"`_{a.canonical}`")
+        text, whole = F.col(f"`_{a.canonical}`.text"), F.col(f"`_{a.canonical}`.whole")
         if a.json_type == "number":
             cast = text.try_cast("double")
         elif a.json_type == "boolean":
@@ -206,5 +225,7 @@ def unified_table(drift: Drift, aliases: list[Alias]) -> DataFrame:
         else:
             cast = text
         cols.append(cast.alias(a.canonical))
-        failed.append(F.when(text.isNotNull() & cast.isNull(), F.lit(a.canonical)))
-    return wide.select("raw_id", "series", "seq", "file_name", *cols, F.array_join(F.array_compact(F.array(*failed)), ",").alias("cast_failed"))
+        failed.append(F.when(text.isNotNull() & (cast.isNull() | whole), F.lit(a.canonical)))
+    return wide.select(
+        "raw_id", "series", "seq", "file_name", *cols, F.array_join(F.array_compact(F.array(*failed)), ",").alias("cast_failed"), F.col("_objects").alias("object_values")
+    )

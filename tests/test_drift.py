@@ -69,3 +69,26 @@ def test_unified_table(spark):
     assert {frozenset(v) for v in names.values()} == {frozenset(["id"]), frozenset(["age", "years"]), frozenset(["ok", "flag"])}
     age = next(k for k, v in names.items() if "age" in v)
     assert by_id[1][age] is not None and by_id[25]["raw_id"] == 25
+
+
+def test_unified_table_keeps_the_members_of_objects(spark):
+    texts = [{"k": "K0", "mc": "R0-alt"}, {"k": "K1", "mc": "R1-alt2"}, {"k": "K2", "mc": "R2"}, {"k": "K3", "mc": "R3"}]
+    objects = [{"k": "K0", "mc": {"id": "R0", "alt": True}}, {"k": "K1", "mc": {"id": "R1", "alt": True}}, {"k": "K2", "mc": {"id": "R2", "alt": False}}]
+    others = [{"k": "K3", "mc": {"no": 7, "batch": None}}, {"k": "K4", "mc": {"id": "R4", "well": "B2"}}, {"k": "K5", "mc": {"alt": True}}, {"k": "K6", "mc": None}]
+    drift = schema_drift(deliver(spark, {("s", 1): texts, ("s", 2): texts, ("s", 3): objects + others}))
+    by_id = {r["raw_id"]: r for r in unified_table(drift, alias_table(drift)).collect()}
+    assert [by_id[i]["mc"] for i in range(1, 5)] == ["R0-alt", "R1-alt2", "R2", "R3"] and by_id[1]["object_values"] == []
+    # an alternative is neither the plain condition nor one certain alternative, and is listed
+    assert [json.loads(by_id[i]["mc"]) for i in (9, 10)] == [{"id": "R0", "alt": True}, {"id": "R1", "alt": True}]
+    assert [by_id[i]["mc"] for i in (11, 12, 15)] == ["R2", "7", None]
+    assert [json.loads(by_id[i]["mc"]) for i in (13, 14)] == [{"id": "R4", "well": "B2"}, {"alt": True}]
+    assert {i for i, r in by_id.items() if r["cast_failed"] == "mc"} == {9, 10, 13, 14}
+    # nothing of an object is lost, also where a text stands for it
+    assert [(o["field_name"], json.loads(o["value"])) for o in by_id[11]["object_values"]] == [("mc", {"id": "R2", "alt": False})]
+
+
+def test_objects_in_a_column_of_numbers(spark):
+    drift = schema_drift(deliver(spark, {("s", 1): [{"k": "a", "n": 4}], ("s", 2): [{"k": "a", "n": 4}], ("s", 3): [{"k": "a", "n": {"v": 4, "est": True}}, {"k": "b", "n": {"v": 5}}]}))
+    got = {r["raw_id"]: r for r in unified_table(drift, alias_table(drift)).collect()}
+    assert [(got[i]["n"], got[i]["cast_failed"]) for i in (1, 3, 4)] == [(4.0, ""), (None, "n"), (5.0, "")]
+    assert json.loads(got[3]["object_values"][0]["value"]) == {"v": 4, "est": True}
