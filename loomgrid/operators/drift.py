@@ -42,8 +42,10 @@ def comparable(value: Column, json_type: Column) -> Column:
 @dataclass
 class Drift:
     """``fields``: exploded records with ``idx``, the file's place in its series; ``catalogue``: per file and
-    field its JSON types; ``changes``: ``series, seq, file_name, field_name, change_kind, old_name``."""
+    field its JSON types; ``changes``: ``series, seq, file_name, field_name, change_kind, old_name``;
+    ``records``: every record with ``unreadable``, true if its text is no JSON object."""
 
+    records: DataFrame
     fields: DataFrame
     catalogue: DataFrame
     changes: DataFrame
@@ -143,7 +145,9 @@ def schema_drift(raw: DataFrame, agreement: float = 0.95) -> Drift:
     retyped_too = renamed.filter(news(F.col("new_types"), F.col("old_types"))).select(*at, F.col("new_name").alias("field_name"), F.lit("retyped").alias("change_kind"), none.alias("old_name"))
     changes = added.unionByName(removed).unionByName(renames).unionByName(retyped).unionByName(retyped_too)
     changes = changes.join(files.select("series", "idx", "seq", "file_name"), at).select("series", "seq", "file_name", "field_name", "change_kind", "old_name")
-    return Drift(fields, catalogue, changes)
+    is_object = F.schema_of_variant(F.try_parse_json("record_text")).startswith("OBJECT")
+    records = raw.select("raw_id", "series", "seq", "file_name", (~F.coalesce(is_object, F.lit(False))).alias("unreadable"))
+    return Drift(records, fields, catalogue, changes)
 
 
 @dataclass(frozen=True)
@@ -206,14 +210,16 @@ def unified_table(drift: Drift, aliases: list[Alias]) -> DataFrame:
     ``cast_failed``.  An object of one text or number counts as that
     (:func:`plain_text`); any other stays whole, as JSON, in a text column and
     is listed too.  ``object_values`` has every object as it was delivered, so
-    that no member is lost.
+    that no member is lost.  A record without fields has a row of NULLs;
+    ``unreadable`` tells texts that are no JSON object.
     """
     is_object = F.col("json_type") == "object"
     texts = drift.fields.withColumn("_plain", plain_text(F.col("value"), F.col("json_type")))
     found = F.struct(F.coalesce("_plain", "value").alias("text"), (is_object & F.col("_plain").isNull()).alias("whole"))
     aggs = [F.max(F.when(F.col("field_name").isin(list(a.names)) & F.col("value").isNotNull(), found)).alias(f"_{a.canonical}") for a in aliases]
     objects = F.array_sort(F.collect_list(F.when(is_object, F.struct("field_name", "value"))))
-    wide = texts.groupBy("raw_id", "series", "seq", "file_name").agg(*aggs, objects.alias("_objects"))
+    record = ["raw_id", "series", "seq", "file_name"]
+    wide = drift.records.join(texts.groupBy(*record).agg(*aggs, objects.alias("_objects")), record, "left")
     cols, failed = [], []
     for a in aliases:
         text, whole = F.col(f"`_{a.canonical}`.text"), F.col(f"`_{a.canonical}`.whole")
@@ -227,5 +233,5 @@ def unified_table(drift: Drift, aliases: list[Alias]) -> DataFrame:
         cols.append(cast.alias(a.canonical))
         failed.append(F.when(text.isNotNull() & (cast.isNull() | whole), F.lit(a.canonical)))
     return wide.select(
-        "raw_id", "series", "seq", "file_name", *cols, F.array_join(F.array_compact(F.array(*failed)), ",").alias("cast_failed"), F.col("_objects").alias("object_values")
+        *record, *cols, F.array_join(F.array_compact(F.array(*failed)), ",").alias("cast_failed"), F.coalesce("_objects", F.array()).alias("object_values"), "unreadable"
     )

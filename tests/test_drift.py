@@ -92,3 +92,15 @@ def test_objects_in_a_column_of_numbers(spark):
     got = {r["raw_id"]: r for r in unified_table(drift, alias_table(drift)).collect()}
     assert [(got[i]["n"], got[i]["cast_failed"]) for i in (1, 3, 4)] == [(4.0, ""), (None, "n"), (5.0, "")]
     assert json.loads(got[3]["object_values"][0]["value"]) == {"v": 4, "est": True}
+
+
+def test_unified_table_keeps_records_without_fields(spark):
+    odd = ["no json", "", None, "[1, 2]", '{"k": 1, "k": 2}', "{}"]
+    drift = schema_drift(deliver(spark, {("s", 1): [{"k": 1}, *odd, {"k": None}], ("s", 2): ["broken"]}))
+    got = {r["raw_id"]: r for r in unified_table(drift, alias_table(drift)).collect()}
+    assert sorted(got) == list(range(1, 10)) and got[1]["k"] == 1.0 and all(got[i]["k"] is None for i in range(2, 10))
+    assert {i for i, r in got.items() if r["unreadable"]} == {2, 3, 4, 5, 6, 9}
+    assert all(r["cast_failed"] == "" and r["object_values"] == [] for r in got.values())
+    # also where no record has a field
+    drift = schema_drift(deliver(spark, {("s", 1): ["broken", "{}"]}))
+    assert [(r["raw_id"], r["unreadable"]) for r in unified_table(drift, alias_table(drift)).orderBy("raw_id").collect()] == [(1, True), (2, False)]
