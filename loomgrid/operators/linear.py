@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgrid import config
 from loomgrid.operators.metrics import best_alpha, spearman
+from loomgrid.sources.staging import stage
 
 
 @dataclass
@@ -113,6 +114,58 @@ def fit_projection(m: Moments, components: int | None) -> Projection:
     return Projection(mean, vectors / scale[:, None], float(values[:k].sum() / max(values.sum(), 1e-300)), values)
 
 
+def project_by_samples(samples: DataFrame, components: int | None) -> tuple[Projection, pd.DataFrame]:
+    """As :func:`fit_projection`, from samples squared: the route for more features than samples.
+
+    Also returns ``row_key, fold, y, z``, the projected samples.  Without
+    ``components`` the basis has all directions in which the samples differ, so
+    that ridge on them is ridge on all scaled features.  Row keys are unique.
+    """
+    out = samples.select("row_key", "fold", "y").orderBy("row_key").toPandas()
+    n = len(out)
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("row_key", "v"))), lambda s: s["v"])
+    columns = stage(samples.select("row_key", F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(packed.alias("v")), "feature-rows")
+
+    def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mean, sd = v.mean(axis=1), v.std(axis=1)
+        scale = np.where(sd > 1e-12 * np.maximum(1, np.abs(mean)), sd, 1.0)
+        return (v - mean[:, None]) / scale[:, None], mean, scale
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"v": list(scaled(np.vstack(b["v"].to_numpy()))[0])})
+
+    values, vectors = np.linalg.eigh(sample_gram(columns.mapInPandas(rows, "v array<double>")))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    p = columns.count()
+    differ = max(1, int((values > 1e-10 * max(values[0], 1e-300)).sum()))
+    k = differ if components is None else min(max(1, min(components, n - 1, p)), differ)
+    size = np.sqrt(values[:k])
+    back = vectors[:, :k] / np.where(size > 0, size, np.inf)
+
+    def loadings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                z, mean, scale = scaled(np.vstack(b["v"].to_numpy()))
+                yield pd.DataFrame({"pos": b["pos"], "mean": mean, "scale": scale, "w": list(z @ back)})
+
+    found = columns.mapInPandas(loadings, "pos int, mean double, scale double, w array<double>").toPandas().sort_values("pos")
+    w = np.vstack(found["w"].to_numpy())
+    sign = np.where(w[np.abs(w).argmax(axis=0), np.arange(k)] < 0, -1, 1)
+    explained = 1.0 if components is None else float(values[:k].sum() / max(values.sum(), 1e-300))
+    out["z"] = list(vectors[:, :k] * size * sign)
+    return Projection(found["mean"].to_numpy(), w * sign / found["scale"].to_numpy()[:, None], explained, values / n), out
+
+
+def _projected_moments(z: pd.DataFrame) -> dict[int, Moments]:
+    out = {}
+    for fold, rows in z.groupby("fold"):
+        x, y = np.vstack(rows["z"].to_numpy()), np.vstack(rows["y"].to_numpy())
+        out[int(fold)] = Moments(len(x), x.sum(axis=0), y.sum(axis=0), x.T @ x, x.T @ y)
+    return out
+
+
 def fit_ridge(m: Moments, proj: Projection, alphas: list[float]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
     """Coefficients and intercepts in projected space, unpenalised intercept; one factorisation for all alphas."""
     shift = (m.sx - m.n * proj.mean) @ proj.basis
@@ -168,23 +221,35 @@ def ridge_cv(train: DataFrame, truth: DataFrame, components: int | None, alphas:
     ``truth``: ``row_key, pos, truth`` (raw, missing values NULL).  Scaling and
     PCA are fitted on all training rows before the folds, as the fold models
     differ in the ridge only.  A fold's score is the mean per-target rank
-    correlation; fewer than two folds give the middle alpha.
+    correlation; fewer than two folds give the middle alpha.  With more features
+    than samples, samples squared take the place of features squared.
     """
-    by_fold = moments(train)
-    whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
-    proj = fit_projection(whole, components)
+    size = train.agg(F.count("*").alias("n"), F.count_distinct("row_key").alias("keys"), F.max(F.size("x")).alias("p")).first()
+    if size["n"] and size["p"] > size["n"] == size["keys"]:
+        proj, projected = project_by_samples(train, components)
+        by_fold = _projected_moments(projected)
+        # the folds are fitted and scored on projected samples
+        k = proj.basis.shape[1]
+        inner = Projection(np.zeros(k), np.eye(k), proj.explained, proj.variance)
+        rows = [(r.row_key, int(r.fold), r.z.tolist()) for r in projected.itertuples()]
+        train = train.sparkSession.createDataFrame(rows, "row_key string, fold int, x array<double>")
+        whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
+    else:
+        by_fold = moments(train)
+        whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
+        proj = inner = fit_projection(whole, components)
     if len(by_fold) < 2:
         alpha, scores = alphas[len(alphas) // 2], []
         edge = False
     else:
-        models = {f: (proj, fit_ridge(whole - m, proj, alphas)) for f, m in by_fold.items()}
+        models = {f: (inner, fit_ridge(whole - m, inner, alphas)) for f, m in by_fold.items()}
         scored = predict(train, models).join(truth, ["row_key", "pos"])
         per = spearman(scored, ["alpha", "fold", "pos"]).groupBy("alpha", "fold").agg(F.avg("spearman").alias("score"))
         table = best_alpha(per).orderBy("alpha").collect()
         scores = [(r["alpha"], r["score"]) for r in table]
         best = next(r for r in table if r["chosen"])
         alpha, edge = best["alpha"], best["at_boundary"]
-    coef, icept = fit_ridge(whole, proj, [alpha])[alpha]
+    coef, icept = fit_ridge(whole, inner, [alpha])[alpha]
     return RidgeFit(alpha, scores, edge, proj, coef, icept)
 
 

@@ -89,3 +89,30 @@ def test_network_beats_the_mean(spark):
     fit = linear.mlp_cv(df, long_truth(df), [0.01, 0.1], hidden=32)
     preds = linear.predict_mlp(df, fit).join(long_truth(df), ["row_key", "pos"])
     assert preds.select(F.corr("pred", "truth")).first()[0] > 0.8
+
+
+def test_more_features_than_samples_take_the_sample_route(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 2, (24, 40))
+    x[:, 7] = 4.0  # a constant column
+    y = x[:, :3] @ rng.normal(size=(3, 2)) + rng.normal(0, 0.1, (24, 2))
+    df, new = frame(spark, x, y), rng.normal(3, 2, (5, 40))
+    alphas = [0.1, 10.0, 1e5]
+    by_fold = linear.moments(df)
+    whole = by_fold[0] + by_fold[1] + by_fold[2]
+    monkeypatch.setattr(linear, "moments", None)  # features squared are not asked for
+    for components in (None, 4, 500):
+        fit = linear.ridge_cv(df, long_truth(df), components, alphas)
+        proj = linear.fit_projection(whole, components)
+        models = {f: (proj, linear.fit_ridge(whole - m, proj, alphas)) for f, m in by_fold.items()}
+        scored = linear.predict(df, models).join(long_truth(df), ["row_key", "pos"])
+        per = linear.spearman(scored, ["alpha", "fold", "pos"]).groupBy("alpha", "fold").agg(F.avg("spearman").alias("score"))
+        want = linear.best_alpha(per).orderBy("alpha").collect()
+        assert np.allclose([s for _, s in fit.scores], [r["score"] for r in want])
+        assert [fit.alpha] == [r["alpha"] for r in want if r["chosen"]]
+        coef, icept = linear.fit_ridge(whole, proj, [fit.alpha])[fit.alpha]
+        assert np.allclose((new - fit.projection.mean) @ fit.projection.basis @ fit.coef + fit.intercept, (new - proj.mean) @ proj.basis @ coef + icept)
+        assert abs(fit.projection.explained - proj.explained) < 1e-9
+        assert abs(linear.effective_df(fit.projection.variance, 24, 10.0) - linear.effective_df(proj.variance, 24, 10.0)) < 1e-6
+        if components == 4:
+            assert np.allclose(fit.projection.basis, proj.basis)
