@@ -72,14 +72,14 @@ def _inside_bits(expression: str, n_digits: float, n_letters: float) -> float:
     return bits
 
 
-def induce(values: DataFrame, keys: list[str], value: str, keep: int = 200, share: float = 0.02) -> dict[tuple, list[str]]:
+def induce(values: DataFrame, keys: list[str], value: str, share: float = 0.02) -> dict[tuple, list[str]]:
     """The expressions of each group of ``keys``.
 
     ``values`` has one row per group and distinct value.  Candidates are counted
-    over all of them; the ``keep`` candidates with the largest saving in each
-    group come to the driver (a bound on expressions, not on values), where the
-    choice is made.  An expression that covers less than ``share`` of the
-    distinct values is not part of the column's language.
+    over all of them.  An expression that covers less than ``share`` of the
+    distinct values is not part of the column's language; all others come to
+    the driver, where the choice is made.  As a value has four candidates,
+    these are at most 4 / ``share``, however many values.
     """
     n_digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     n_letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
@@ -92,14 +92,8 @@ def induce(values: DataFrame, keys: list[str], value: str, keep: int = 200, shar
     found = exploded.groupBy(*keys, "expression").agg(
         F.sum("_n").alias("n"), F.sum("_chars").alias("chars"), F.sum("_digits").alias("digits"), F.sum("_letters").alias("letters"), F.min("_one").alias("one")
     )
-    most = W.partitionBy(*keys).orderBy(F.desc("chars"), F.length("expression"), "expression")
     total = W.partitionBy(*keys)
-    rows = (
-        found.withColumn("total", F.sum("n").over(total) / F.lit(4.0))
-        .withColumn("_r", F.row_number().over(most))
-        .filter(F.col("_r") <= keep)
-        .collect()
-    )
+    rows = found.withColumn("total", F.sum("n").over(total) / F.lit(4.0)).filter(F.col("n") >= share * F.col("total")).collect()
     groups: dict[tuple, list] = {}
     for r in rows:
         groups.setdefault(tuple(r[k] for k in keys), []).append(r)

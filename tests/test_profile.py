@@ -29,6 +29,13 @@ def test_induced_expressions(spark):
     assert induce(spark.createDataFrame([], "k string, v string"), ["k"], "v") == {}
 
 
+def test_short_values_beside_many_long_shapes(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    values = [("c", (a + b) * 30) for a in letters[:20] for b in letters[:20] if a != b] + [("c", f"A-{i}") for i in range(100, 120)]
+    language = induce(spark.createDataFrame(values, "k string, v string"), ["k"], "v")
+    assert set(language[("c",)]) == {"[A-Za-z]+", "A-[0-9]{3}"}
+
+
 RULES = {"id": ColumnRule(pattern="^A-[0-9]{2}$"), "x": ColumnRule(low=0, high=20), "t": ColumnRule(low=0, high=20)}
 
 
