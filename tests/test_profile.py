@@ -5,6 +5,7 @@ import pandas as pd
 from conftest import rows
 
 from loomgrid.operators.expressions import induce
+from loomgrid.operators.languages import contained
 from loomgrid.operators.profile import ColumnRule, column_profile, load_findings, value_counts
 from loomgrid.operators.quantiles import exact_quantiles
 
@@ -36,6 +37,25 @@ def test_short_values_beside_many_long_shapes(spark):
     assert set(language[("c",)]) == {"[A-Za-z]+", "A-[0-9]{3}"}
 
 
+def test_containment_of_expressions():
+    ach, mc = r"^ACH-[0-9]{6,}$", r"^MC-[0-9]{6,}(-alt[0-9]*)?$"
+    for e, p, want in [
+        ("ACH-[0-9]{6}", ach, True), ("ACH-[0-9]{6,}", ach, True), ("ACH-[0-9]+", ach, False), ("ACH-[0-9]{5}", ach, False), ("[A-Za-z]+-[0-9]+", ach, False),
+        ("MC-[0-9]{6}-alt[0-9]{1}", mc, True), ("MC-[0-9]{6}-[A-Za-z]+", mc, False), ("ACH-[0-9]{6}|ACH-[0-9]{7}", ach, True), ("(A|B)*C?", "[ABC]*", True),
+        ("a\\?b", "a.b", False), ("x*y", "x*", False), ("a?", "a{0,2}", True), ("[A", "[A-Z]", False), ("(?i)a", "a", False),
+    ]:
+        assert contained(e, p) == want, (e, p)
+
+
+def test_absorbed_values_are_found_and_counted(spark):
+    # a spelling so frequent that the column's own expressions take it in
+    data = [(1, f"A-{i:02d}" if i % 2 else f"b{i:02d}", 1.0 * i, "1", "") for i in range(90)]
+    df = spark.createDataFrame(data, "load_id int, id string, x float, t string, extra string")
+    profile = column_profile(value_counts(df, "tab", "load_id", RULES), {("tab", c): r for c, r in RULES.items()}, spark.createDataFrame([(1, "c", "tab", 1)], "load_id int, centre string, table_name string, seq int"))
+    r = profile.filter("column_name = 'id'").first()
+    assert (r["n_nonconforming"], r["n_badly_formed"], r["n_absorbed"]) == (0, 45, 45) and r["coverage"] == 1.0
+
+
 RULES = {"id": ColumnRule(pattern="^A-[0-9]{2}$"), "x": ColumnRule(low=0, high=20), "t": ColumnRule(low=0, high=20)}
 
 
