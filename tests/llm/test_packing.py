@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgrid.llm.packing import best_fit, fill_report, pack, token_counts, tokenizer_file
+from loomgrid.llm.packing import fill_report, pack, pack_runs, token_counts, tokenizer_file
 
 SCHEMA = "item_id long, size long"
 
@@ -28,18 +28,37 @@ def run(spark, items, capacity, **kw):
     return pack(spark.createDataFrame(items, SCHEMA), capacity, **kw).collect()
 
 
-@settings(max_examples=200, deadline=None)
+def best_fit(sizes, capacity):
+    """Fills of boxes, item by item."""
+    fills = []
+    for s in sizes:
+        room = [(capacity - f, i) for i, f in enumerate(fills) if capacity - f >= s]
+        if room:
+            fills[min(room)[1]] += s
+        else:
+            fills.append(s)
+    return sorted(fills)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=80))
-def test_best_fit(sizes):
-    where = best_fit(sizes, 50)
-    fill = {}
-    for s, w in zip(sizes, where):
-        best = min((50 - f for f in fill.values() if 50 - f >= s), default=None)
-        assert (w not in fill) == (best is None)
-        if best is not None:
-            assert 50 - fill[w] == best
-        fill[w] = fill.get(w, 0) + s
-    assert all(f <= 50 for f in fill.values())
+def test_runs_are_packed_as_item_by_item(sizes):
+    sizes = sorted(sizes, reverse=True)
+    runs = [(s, sizes.count(s)) for s in dict.fromkeys(sizes)]
+    moves, boxes = pack_runs(runs, 50)
+    fills, taken = {}, {}
+    for run, off, n, box, per in moves:
+        for i in range(n):
+            fills[box + i // per] = fills.get(box + i // per, 0) + runs[run][0]
+            taken.setdefault(run, []).append(off + i)
+    assert {r: sorted(t) for r, t in taken.items()} == {r: list(range(n)) for r, (_, n) in enumerate(runs)}
+    assert sorted(fills.values()) == best_fit(sizes, 50)
+    assert {b + i: f for b, n, f in boxes for i in range(n)} == fills
+
+
+def test_work_does_not_grow_with_items():
+    moves, boxes = pack_runs([(6, 10**9), (3, 10**9)], 10)
+    assert len(moves) + len(boxes) < 10 and sum(n for _, n, _ in boxes) == 10**9
 
 
 def test_one_part(spark):
@@ -55,9 +74,17 @@ def test_tree_of_parts(spark):
     assert sum(s or 0 for _, s in items) / (len(boxes) * 1000) > 0.99
 
 
+@pytest.mark.parametrize("fan_in", [2, 8])
+def test_tree_of_many_levels_loses_little(spark, fan_in):
+    rng = random.Random(5)
+    items = [(i, min(900, 1 + int(rng.expovariate(1 / 150)))) for i in range(4000)]
+    boxes = check(run(spark, items, 500, per_part=60, fan_in=fan_in), items, 500)  # 67 parts: 7 or 3 levels
+    assert len(boxes) <= 1.02 * -(-sum(s for _, s in items) // 500)  # 15 containers a part only
+
+
 def test_bins_that_never_fit_together_do_not_pile_up(spark):
     items = [(i, 6) for i in range(600)]
-    boxes = check(run(spark, items, 10, per_part=50, fan_in=2, carry=5), items, 10)
+    boxes = check(run(spark, items, 10, per_part=50, fan_in=2), items, 10)
     assert len(boxes) == 600
 
 
