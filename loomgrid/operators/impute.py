@@ -112,6 +112,8 @@ def fit_mixture(stats: DataFrame, categorical: list[str], numeric: list[str], co
     record, spreads are at least a thousandth of the field's.
     """
     k = components
+    # both steps group by group: they share one exchange an iteration
+    stats = stats.repartition("_group")
     rows = {r["stat"]: r["a"] for r in stats.groupBy("stat").agg(F.sum("amount").alias("a")).collect()}  # a row per field and statistic
     spread = {}
     for f in numeric:
