@@ -125,7 +125,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_judged(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).select("doc_id", "kind", "reasons")
+    return _judged(spark, d).select("doc_id", "kind", "failures")
 
 
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p7_containers": p7_containers, "p7_report": p7_report, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats, "p9_judged": p9_judged}

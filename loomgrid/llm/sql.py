@@ -146,17 +146,28 @@ WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(
   SELECT doc_id, nw, ne, nr, letters, {_share("chars - letters", "chars")} AS symbol, {_share(f"len(list_filter(words, lambda x: x IN ({_WORDS})))", "nw")} AS common,
     {_share("len(list_distinct(words))", "nw")} AS dist, {_share("len(list_filter(words, lambda x: length(x) = 1))", "nw")} AS single,
     {_share(_chars(f"regexp_extract_all(p, {_quoted(textstats._LONG)})"), "chars")} AS long_share,
-    CASE WHEN contains(t, '00') OR contains(t, ' a') OR contains(t, ' f') THEN {_share(_chars(f"regexp_extract_all(t, {_quoted(textstats._HEX)})"), "chars")} ELSE 0 END AS hex,
+    {_share(_chars(f"regexp_extract_all(t, {_quoted(textstats._HEX)})"), "chars")} AS hex,
     {_share(" + ".join(_matches("p", g) for g in textstats._GARBLED), "nw")} AS garbled, {_matches("t", textstats._CELL_TAG)} AS tags,
     {_share(f"greatest({', '.join(_ROW_LENGTHS)})", "chars")} AS row_share, {_share(_chars("entries"), "chars")} AS entry_share,
     {_matches("p", textstats._BETWEEN)} AS nb, {_matches("p", textstats._SENTENCE_END)} AS ns,
-    CASE WHEN ne >= 3 OR nr >= 3 THEN {_matches(f"regexp_replace(regexp_replace(t, {_quoted(textstats._ENTRY)}, '', 'g'), {_quoted(textstats._ROW)}, '', 'g')", textstats._SENTENCE_END)} ELSE 0 END AS apart,
+    CASE WHEN ne >= 3 AND {_chars("entries")} > 0.35 * chars OR nr >= 3 AND greatest({', '.join(_ROW_LENGTHS)}) > 0.35 * chars OR {_matches("t", textstats._CELL_TAG)} >= 4
+      THEN {_matches(f"regexp_replace(t, {_quoted(textstats._STRIP)}, '', 'g')", textstats._SENTENCE_END)} ELSE 0 END AS apart,
+    CASE WHEN nw > 5 AND 4 * (len(list_distinct(words)) - 4) <= nw THEN len(list_distinct(list_transform(range(1, nw - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS runs,
+    len(regexp_extract_all(t, '(?m)^[^\\n]*\\S')) AS lines, {_matches("t", textstats._SYMBOLS)} AS hashes, {_matches("t", textstats._ELLIPSIS_LINE)} AS dots,
+    list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS parts, len(list_intersect(words, [{', '.join(f"'{w}'" for w in textstats.STOP_WORDS)}])) AS stops,
+    len(list_distinct(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '\\S')))) AS dlines, {_matches("t", textstats._SHORT_LINE)} AS shorts,
+    {_matches("t", textstats._PUNCTUATED)} AS ended, {_matches("t", "(?m)^[ " + chr(92) + "t]*" + textstats._MARK + "[ " + chr(92) + "t]+" + chr(92) + "S")} AS bullets,
     {_share("len(list_distinct(units))", "len(units)")} AS du, len(units) AS nu FROM n
-), j AS (SELECT doc_id, CASE
+), u AS (SELECT *, len(list_filter(parts, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) AS bare FROM s
+), j AS (SELECT doc_id, concat_ws(',', CASE WHEN nw NOT BETWEEN 50 AND 100000 THEN 'gopher_words' END, CASE WHEN nw > 0 AND letters / nw NOT BETWEEN 3 AND 10 THEN 'gopher_mean_word_length' END,
+    CASE WHEN nw > 0 AND hashes / nw > 0.1 THEN 'gopher_symbols' END, CASE WHEN lines > 0 AND bullets / lines > 0.9 THEN 'gopher_bullets' END, CASE WHEN lines > 0 AND dots / lines > 0.3 THEN 'gopher_ellipsis' END,
+    CASE WHEN len(parts) > 0 AND bare / len(parts) > 0.2 THEN 'gopher_letters' END, CASE WHEN stops < 2 THEN 'gopher_stop_words' END, CASE WHEN lines > 0 AND (lines - dlines) / lines > 0.3 THEN 'gopher_repeated_lines' END,
+    CASE WHEN lines = 0 OR ended / lines <= 0.12 THEN 'fineweb_punctuation' END, CASE WHEN lines > 0 AND shorts / lines >= 0.67 THEN 'fineweb_short_lines' END, CASE WHEN ns < 3 THEN 'c4_sentences' END) AS failures, CASE
     WHEN nw = 0 AND tags = 0 OR hex > 0.5 OR long_share > 0.5 AND tags < 4 AND nr < 3 THEN 'junk'
     WHEN tags >= 4 AND tags > 4 * apart OR nr >= 3 AND row_share > 0.35 AND nr > 1.5 * apart THEN 'table'
-    WHEN nw BETWEEN 5 AND 200 AND dist < 0.25 OR dist < 0.03 AND nw > 200 OR nu >= 5 AND du < 0.25 AND dist < 0.15 THEN 'junk'
+    WHEN 4 * runs <= nw OR nu >= 5 AND du < 0.25 AND dist < 0.15 THEN 'junk'
     WHEN nw >= 8 AND single > 0.5 OR garbled > 0.015 THEN 'junk'
-    WHEN ne >= 3 AND entry_share > 0.35 AND ne > 1.5 * apart AND (common < 0.35 OR entry_share > 0.8 OR ne >= 5 AND ne > 4 * apart) OR nb >= 3 AND nw < 6.5 * (nb + 1) AND ns <= 0.1 * nb THEN 'list'
-    WHEN symbol > 0.3 OR nw >= 8 AND common < 0.1 OR letters > 10 * nw AND common < 0.1 THEN 'junk' ELSE 'prose' END AS kind FROM s)"""
+    WHEN ne >= 3 AND bullets / nullif(lines, 0) > 0.9 OR ne >= 3 AND entry_share > 0.35 AND ne > 1.5 * apart AND (common < 0.35 OR entry_share > 0.8 OR ne >= 5 AND ne > 4 * apart) OR nb >= 3 AND nw < 6.5 * (nb + 1) AND ns <= 0.1 * nb THEN 'list'
+    WHEN bare / nullif(len(parts), 0) > 0.2 AND nw BETWEEN 50 AND 100000 OR letters > 10 * nw OR symbol > 0.3 OR nw >= 8 AND common < 0.1 THEN 'junk' ELSE 'prose' END AS kind FROM u)"""
+SQL["p9_judged"] = JUDGED + " SELECT doc_id, kind, failures FROM j"
 SQL["p9_found"] = JUDGED + " SELECT doc_id, kind FROM j WHERE kind <> 'prose'"

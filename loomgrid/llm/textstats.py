@@ -1,8 +1,10 @@
 """Per-document text quality statistics, and rules that tell prose from lists, tables and junk.
 
 All statistics are JVM expressions over the whole text: counts of regular
-expressions and lengths of what they match.  The rules are fixed thresholds on
-them; each rule that fires is recorded.
+expressions and lengths of what they match.  :func:`published_rules` are fixed
+thresholds from the literature, each with its source; :func:`rules` tell the
+kinds apart, by published thresholds where there are some and by thresholds on
+the layout elsewhere.  Every rule that fires is recorded.
 """
 
 from __future__ import annotations
@@ -47,6 +49,9 @@ ENTRY_KINDS = {
 }
 _ENTRY = "(?m)(?:" + "|".join("(?:" + p.replace("(?m)", "") + ")" for p in ENTRY_KINDS.values()) + ")"
 _ROW = "(?m)(?:" + "|".join("(?:" + p.replace("(?m)", "") + ")" for p in LINE_KINDS.values()) + ")"
+_STRIP = _ENTRY + "|" + _ROW
+#: Of the text, before entries or rows can make it a list or table.
+LEAST_SHARE = 0.35
 #: Between entries that share a line.
 _BETWEEN = r", | / |; | \| | • | · "
 _SENTENCE_END = r"(?m)[\p{L}\p{N})\"'”»][.!?][\"'”»)]*(?:\s|$)"
@@ -62,6 +67,14 @@ NO_WIDTH = "[\u00ad\u200b-\u200d\u2060\ufeff]"
 #: Signs inside words, capitals after small letters, and what is left of texts read in a wrong encoding.
 _GARBLED = [r"[,;:!|~�=^]\p{L}", r"[a-zA-Z]\.[a-z]", r"[a-zà-ÿ][A-ZÀ-Þ]", "[�¿½¼»¡¢°€™ÃÂÐ]"]
 _TAG = r"</?[A-Za-z][^<>\n]{0,200}>"
+#: The stop words of Rae et al. 2021, table A1.
+STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
+_SYMBOLS = r"#|\.\.\.|…"
+_ELLIPSIS_LINE = r"(?m)(?:\.\.\.|…)[ \t]*$"
+_NO_LETTER = r"(?<!\S)[^\s\p{L}]+(?!\S)"
+_SHORT_LINE = r"(?m)^[ \t]*\S[^\n]{0,29}$"
+#: Words in a run by which repetition is told.
+RUN = 5
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -87,12 +100,23 @@ def layout(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), lines).otherwise(plain)
 
 
+def _distinct_runs(words: Column) -> Column:
+    """Different runs of five words, NULL where they cannot be as few as a quarter of the words.
+
+    Every word but the last four begins a run, so there are at least as many
+    different runs as different words but four; few texts have to be cut.
+    """
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), n - (RUN - 1)), lambda i: F.xxhash64(F.slice(words, i, RUN)))
+    return F.when((n > RUN) & (4 * (F.size(F.array_distinct(words)) - (RUN - 1)) <= n), F.size(F.array_distinct(runs)))
+
+
 def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with a column ``stats``, a struct of counts and shares.
 
     A NULL text counts as an empty one; shares of nothing are 0.  Whole texts
     are read, however long; an expression is skipped only where a sign that all
-    its matches hold is not in the text.
+    its matches hold is not in the text, or where no rule can ask for it.
     """
     t, plain, words = F.col("_t"), F.col("_plain"), F.col("_words")  # plain: without markup
     chars, lines, n = F.col("_chars"), F.col("_lines"), F.size("_words")
@@ -113,7 +137,7 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         "distinct_share": share(F.size(F.array_distinct(words)), n),
         "single_share": share(F.size(F.filter(words, lambda w: F.length(w) == 1)), n),
         "long_share": share(_length(_found(plain, _LONG)), chars),
-        "hex_share": share(_length(_found(t, _HEX, has("00") | has(" a") | has(" f"))), chars),
+        "hex_share": share(_length(_found(t, _HEX)), chars),
         "garbled_share": share(sum((_count(plain, p) for p in _GARBLED[:-1]), F.when(F.octet_length(plain) > F.length(plain), _count(plain, _GARBLED[-1])).otherwise(0)), n),
         "cell_tags": F.when(has("<"), _count(t, _CELL_TAG)).otherwise(0),
         "row_share": share(F.greatest(*row_lengths), chars),
@@ -125,6 +149,14 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         "n_sentences_apart": F.col("_apart"),
         "distinct_units": share(F.size(F.array_distinct(F.col("_units"))), F.size("_units")),
         "n_units": F.size("_units"),
+        "n_runs": _distinct_runs(words),
+        # what the published rules ask for besides
+        "hash_share": share(_count(t, _SYMBOLS), n),
+        "ellipsis_share": share(_count(t, _ELLIPSIS_LINE), lines),
+        "letterless_share": share(_count(t, _NO_LETTER), _count(t, r"\S+")),
+        "n_stop_words": F.size(F.array_intersect(words, F.array(*map(F.lit, STOP_WORDS)))),
+        "repeated_line_share": share(lines - F.size(F.array_distinct(F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x.rlike(r"\S")))), lines),
+        "short_line_share": share(_count(t, _SHORT_LINE), lines),
     }
     base = documents.withColumn("_t", layout(F.col(text)))
     base = base.withColumn("_plain", F.when(has("<"), F.regexp_replace("_t", _TAG, " ")).otherwise(t))
@@ -138,16 +170,48 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         }
         | {f"_{k}": _found(t, p, has(LINE_SIGNS[k])) for k, p in LINE_KINDS.items()}
     )
-    # sentences outside of entries and rows, asked for only where there are some of these
-    apart = _count(F.regexp_replace(F.regexp_replace(t, _ENTRY, ""), _ROW, ""), _SENTENCE_END)
-    some = (F.size("_entries") >= 3) | (F.greatest(*[F.size(r) for r in rows.values()]) >= 3)
-    base = base.withColumn("_apart", F.when(some, apart).otherwise(0))
+    # sentences outside of entries and rows, asked for only where these make up enough of the text to be a list or table
+    apart = _count(F.regexp_replace(t, _STRIP, ""), _SENTENCE_END)
+    entries = (F.size("_entries") >= 3) & (_length(F.col("_entries")) > LEAST_SHARE * chars)
+    in_rows = (F.greatest(*[F.size(r) for r in rows.values()]) >= 3) & (F.greatest(*row_lengths) > LEAST_SHARE * chars)
+    base = base.withColumn("_apart", F.when(entries | in_rows | (has("<") & (_count(t, _CELL_TAG) >= 4)), apart).otherwise(0))
     return base.withColumn("stats", F.struct(*[c.alias(k) for k, c in stats.items()])).drop("_t", "_plain", "_words", "_units", "_chars", "_lines", "_entries", "_apart", *[f"_{k}" for k in LINE_KINDS])
 
 
+def published_rules(s: str = "stats") -> dict[str, Column]:
+    """Thresholds as published; a text that fails one of them is not wanted in a training corpus.
+
+    gopher: Rae et al. 2021, "Scaling Language Models", appendix A1.1.
+    fineweb: Penedo et al. 2024, "The FineWeb Datasets", section 3.6.
+    c4: Raffel et al. 2020, section 2.2.
+    Short notes fail the rules on length whatever they are, so the rules are
+    recorded for each text; which of them decide a kind is said in :func:`rules`.
+    """
+    c = lambda name: F.col(f"{s}.{name}")
+    some = c("n_words") > 0
+    return {
+        "gopher_words": ~c("n_words").between(50, 100_000),
+        "gopher_mean_word_length": some & ~c("mean_word_length").between(3, 10),
+        "gopher_symbols": c("hash_share") > 0.1,
+        "gopher_bullets": c("bullet_share") > 0.9,
+        "gopher_ellipsis": c("ellipsis_share") > 0.3,
+        "gopher_letters": c("letterless_share") > 0.2,
+        "gopher_stop_words": c("n_stop_words") < 2,
+        "gopher_repeated_lines": c("repeated_line_share") > 0.3,
+        "fineweb_punctuation": c("punctuated_share") <= 0.12,
+        "fineweb_short_lines": c("short_line_share") >= 0.67,
+        "c4_sentences": c("n_sentences") < 3,
+    }
+
+
 def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
-    """Thresholds by kind, in the order in which kinds are tried."""
+    """Thresholds by kind, in the order in which kinds are tried.
+
+    Those named gopher are the published ones; on the layout of lists and tables
+    nothing is published, so the others were set by reading texts.
+    """
     c = lambda name: F.col(f"{s}.{name}")
+    published = published_rules(s)
     wordy = c("n_words") >= 8
     # entries or rows against sentences beside them, so that one leading sentence does not hide a list
     outweigh = lambda n: n > 1.5 * c("n_sentences_apart")
@@ -159,10 +223,11 @@ def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
         },
         "table": {
             "cells": (c("cell_tags") >= 4) & (c("cell_tags") > 4 * c("n_sentences_apart")),
-            "rows": (c("n_rows") >= 3) & (c("row_share") > 0.35) & outweigh(c("n_rows")),
+            "rows": (c("n_rows") >= 3) & (c("row_share") > LEAST_SHARE) & outweigh(c("n_rows")),
         },
         "junk_repeated": {
-            "repeated_words": ((c("n_words") >= 5) & (c("distinct_share") < 0.25) & (c("n_words") <= 200)) | (c("distinct_share") < 0.03) & (c("n_words") > 200),
+            # of the words a quarter begins a run that is new
+            "repeated_runs": (c("n_words") > RUN) & F.coalesce(4 * c("n_runs") <= c("n_words"), F.lit(False)),
             "repeated_units": (c("n_units") >= 5) & (c("distinct_units") < 0.25) & (c("distinct_share") < 0.15),
         },
         "junk_garbled": {
@@ -170,20 +235,23 @@ def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
             "garbled": c("garbled_share") > 0.015,
         },
         "list": {
+            "gopher_bullets": (c("n_entries") >= 3) & published["gopher_bullets"],
             # German nouns start lines of wrapped prose with capitals; function words give it away
-            "entries": (c("n_entries") >= 3) & (c("entry_share") > 0.35) & outweigh(c("n_entries")) & ((c("common_share") < 0.35) | (c("entry_share") > 0.8) | ((c("n_entries") >= 5) & (c("n_entries") > 4 * c("n_sentences_apart")))),
+            "entries": (c("n_entries") >= 3) & (c("entry_share") > LEAST_SHARE) & outweigh(c("n_entries")) & ((c("common_share") < 0.35) | (c("entry_share") > 0.8) | ((c("n_entries") >= 5) & (c("n_entries") > 4 * c("n_sentences_apart")))),
             "inline_entries": (c("n_between") >= 3) & (c("n_words") < 6.5 * (c("n_between") + 1)) & (c("n_sentences") <= 0.1 * c("n_between")),
         },
         "junk_rest": {
+            # meant for texts of the length that the same source asks for
+            "gopher_letters": published["gopher_letters"] & ~published["gopher_words"],
+            "gopher_mean_word_length": c("mean_word_length") > 10,
             "symbols": c("symbol_share") > 0.3,
             "no_common_words": wordy & (c("common_share") < 0.1),
-            "endless_words": (c("mean_word_length") > 10) & (c("common_share") < 0.1),
         },
     }
 
 
 def judge(stats: DataFrame) -> DataFrame:
-    """Adds ``kind`` (prose, list, table or junk) and ``reasons``, every rule that fired.
+    """Adds ``kind`` (prose, list, table or junk), ``reasons``, every rule on kinds that fired, and ``failures``, every published rule.
 
     Kinds are tried in the order of :func:`rules`; a text for which no rule
     fires is prose, with empty reasons.  NULL, empty and blank texts are junk.
@@ -195,7 +263,9 @@ def judge(stats: DataFrame) -> DataFrame:
             reasons.append(F.when(test, F.lit(f"{name.split('_')[0]}:{reason}")))
             fired = fired | test
         kind = F.when(fired, F.lit(name.split("_")[0])).otherwise(kind)
-    return stats.withColumn("kind", kind).withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), ","))
+    named = lambda tests: F.array_join(F.array_compact(F.array(*tests)), ",")
+    failures = [F.when(test, F.lit(reason)) for reason, test in published_rules().items()]
+    return stats.withColumn("kind", kind).withColumn("reasons", named(reasons)).withColumn("failures", named(failures))
 
 
 def other_than_prose(judged: DataFrame, *columns: str) -> DataFrame:

@@ -65,3 +65,21 @@ def test_long_texts_and_other_columns(spark):
 
 def test_empty_table(spark):
     assert judge(text_statistics(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_repetition_is_told_at_every_length(spark):
+    unit = "the plate was read twice before lunch and then put away again "
+    texts = {n: unit * n for n in (1, 2, 16, 20, 400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["kind"], r["reasons"]) for r in judge(text_statistics(df)).collect()}
+    assert got[1][0] == got[2][0] == "prose"
+    assert all(got[n][0] == "junk" and "repeated_runs" in got[n][1] for n in (16, 20, 400))
+
+
+def test_published_rules_are_recorded(spark):
+    texts = [(1, "- one\n- two\n- three"), (2, "# # # # words"), (3, None), (4, "The culture of the line that we have grew well. " * 3 + "It was split on Monday, and the rest of it went to the freezer with the others. " * 2)]
+    got = {r["doc_id"]: r["failures"].split(",") for r in judge(text_statistics(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    assert {"gopher_words", "gopher_bullets", "fineweb_punctuation"} <= set(got[1])
+    assert "gopher_symbols" in got[2] and "gopher_letters" in got[2]
+    assert {"gopher_words", "gopher_stop_words", "c4_sentences"} <= set(got[3])
+    assert got[4] == [""]
