@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.ids import donor_id, model_id, plain_number
 from loomgrid.llm.overlap import cross_split_overlaps, split_sides
 from loomgrid.llm.splits import entity_groups, grouped_splits
-from loomgrid.llm.textstats import judge, other_than_prose, text_statistics
+from loomgrid.llm.textstats import OF_KINDS, judge, other_than_prose, text_statistics
 from loomgrid.plans.general_queries import gene_columns, model_lineage
 from loomgrid.sources.staging import stage
 from loomgrid.sources.tables import table
@@ -110,22 +110,22 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).join(items, "item_id").groupBy("suite", "side", "item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("held"), 6).alias("most_held"))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return judge(text_statistics(table(spark, d, "documents").select("doc_id", "text")))
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return other_than_prose(_judged(spark, d), "doc_id")
+    return other_than_prose(judge(text_statistics(_documents(spark, d), only=OF_KINDS), published=False), "doc_id")
 
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     shares = ["mean_word_length", "symbol_share", "punctuated_share", "common_share"]
-    stats = text_statistics(table(spark, d, "documents").select("doc_id", "text"))
+    stats = text_statistics(_documents(spark, d), only=["n_words", *shares])
     return stats.select("doc_id", F.col("stats.n_words").cast("long").alias("n_words"), *[F.round(F.col(f"stats.{c}"), 6).alias(c) for c in shares])
 
 
 def p9_judged(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).select("doc_id", "kind", "failures")
+    return judge(text_statistics(_documents(spark, d))).select("doc_id", "kind", "failures")
 
 
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_report": p5_report, "p7_containers": p7_containers, "p7_report": p7_report, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats, "p9_judged": p9_judged}

@@ -111,8 +111,15 @@ def _distinct_runs(words: Column) -> Column:
     return F.when((n > RUN) & (4 * (F.size(F.array_distinct(words)) - (RUN - 1)) <= n), F.size(F.array_distinct(runs)))
 
 
-def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with a column ``stats``, a struct of counts and shares.
+#: The statistics that :func:`rules` look at.
+OF_KINDS = (
+    "n_words cell_tags hex_share long_share n_rows n_sentences_apart row_share n_runs n_units distinct_units distinct_share single_share garbled_share "
+    "n_entries bullet_share entry_share common_share n_between n_sentences letterless_share mean_word_length symbol_share"
+).split()
+
+
+def text_statistics(documents: DataFrame, text: str = "text", only: list[str] | None = None) -> DataFrame:
+    """``documents`` with a column ``stats``, a struct of counts and shares; ``only`` names those that are wanted.
 
     A NULL text counts as an empty one; shares of nothing are 0.  Whole texts
     are read, however long; an expression is skipped only where a sign that all
@@ -175,7 +182,7 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     entries = (F.size("_entries") >= 3) & (_length(F.col("_entries")) > LEAST_SHARE * chars)
     in_rows = (F.greatest(*[F.size(r) for r in rows.values()]) >= 3) & (F.greatest(*row_lengths) > LEAST_SHARE * chars)
     base = base.withColumn("_apart", F.when(entries | in_rows | (has("<") & (_count(t, _CELL_TAG) >= 4)), apart).otherwise(0))
-    return base.withColumn("stats", F.struct(*[c.alias(k) for k, c in stats.items()])).drop("_t", "_plain", "_words", "_units", "_chars", "_lines", "_entries", "_apart", *[f"_{k}" for k in LINE_KINDS])
+    return base.withColumn("stats", F.struct(*[c.alias(k) for k, c in stats.items() if only is None or k in only])).drop("_t", "_plain", "_words", "_units", "_chars", "_lines", "_entries", "_apart", *[f"_{k}" for k in LINE_KINDS])
 
 
 def published_rules(s: str = "stats") -> dict[str, Column]:
@@ -211,7 +218,7 @@ def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
     nothing is published, so the others were set by reading texts.
     """
     c = lambda name: F.col(f"{s}.{name}")
-    published = published_rules(s)
+    long_enough = c("n_words").between(50, 100_000)
     wordy = c("n_words") >= 8
     # entries or rows against sentences beside them, so that one leading sentence does not hide a list
     outweigh = lambda n: n > 1.5 * c("n_sentences_apart")
@@ -235,14 +242,14 @@ def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
             "garbled": c("garbled_share") > 0.015,
         },
         "list": {
-            "gopher_bullets": (c("n_entries") >= 3) & published["gopher_bullets"],
+            "gopher_bullets": (c("n_entries") >= 3) & (c("bullet_share") > 0.9),
             # German nouns start lines of wrapped prose with capitals; function words give it away
             "entries": (c("n_entries") >= 3) & (c("entry_share") > LEAST_SHARE) & outweigh(c("n_entries")) & ((c("common_share") < 0.35) | (c("entry_share") > 0.8) | ((c("n_entries") >= 5) & (c("n_entries") > 4 * c("n_sentences_apart")))),
             "inline_entries": (c("n_between") >= 3) & (c("n_words") < 6.5 * (c("n_between") + 1)) & (c("n_sentences") <= 0.1 * c("n_between")),
         },
         "junk_rest": {
             # meant for texts of the length that the same source asks for
-            "gopher_letters": published["gopher_letters"] & ~published["gopher_words"],
+            "gopher_letters": (c("letterless_share") > 0.2) & long_enough,
             "gopher_mean_word_length": c("mean_word_length") > 10,
             "symbols": c("symbol_share") > 0.3,
             "no_common_words": wordy & (c("common_share") < 0.1),
@@ -250,8 +257,8 @@ def rules(s: str = "stats") -> dict[str, dict[str, Column]]:
     }
 
 
-def judge(stats: DataFrame) -> DataFrame:
-    """Adds ``kind`` (prose, list, table or junk), ``reasons``, every rule on kinds that fired, and ``failures``, every published rule.
+def judge(stats: DataFrame, published: bool = True) -> DataFrame:
+    """Adds ``kind`` (prose, list, table or junk), ``reasons``, every rule on kinds that fired, and, if asked for, ``failures``, every published rule.
 
     Kinds are tried in the order of :func:`rules`; a text for which no rule
     fires is prose, with empty reasons.  NULL, empty and blank texts are junk.
@@ -264,8 +271,9 @@ def judge(stats: DataFrame) -> DataFrame:
             fired = fired | test
         kind = F.when(fired, F.lit(name.split("_")[0])).otherwise(kind)
     named = lambda tests: F.array_join(F.array_compact(F.array(*tests)), ",")
-    failures = [F.when(test, F.lit(reason)) for reason, test in published_rules().items()]
-    return stats.withColumn("kind", kind).withColumn("reasons", named(reasons)).withColumn("failures", named(failures))
+    out = stats.withColumn("kind", kind).withColumn("reasons", named(reasons))
+    failures = [F.when(test, F.lit(reason)) for reason, test in published_rules().items()] if published else []
+    return out.withColumn("failures", named(failures)) if published else out
 
 
 def other_than_prose(judged: DataFrame, *columns: str) -> DataFrame:
