@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgrid import config
 from loomgrid.functions.ids import finite, loose_bool
+from loomgrid.operators.quantiles import exact_quantiles
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -124,10 +125,17 @@ def matrix_statistics(cells: DataFrame) -> DataFrame:
     """One row over all cells: range, median, spread (population), missing share, infinities."""
     v = F.col("value").cast("double")
     ok = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    return cells.agg(
-        F.min(ok).alias("min_value"), F.max(ok).alias("max_value"), F.median(ok).alias("median"), F.stddev_pop(ok).alias("sd"),
+    figures = cells.agg(
+        F.min(ok).alias("min_value"), F.max(ok).alias("max_value"), F.stddev_pop(ok).alias("sd"),
         F.avg((v.isNull() | F.isnan(v)).cast("int")).alias("missing_share"), F.count_if(F.abs(v) == float("inf")).alias("n_infinite"),
     )
+    return figures.join(overall_median(cells.select(ok.alias("value")), "value"), F.lit(True), "left").select("min_value", "max_value", "median", "sd", "missing_share", "n_infinite")
+
+
+def overall_median(rows: DataFrame, value: str) -> DataFrame:
+    """``median``, one row, none if there is no value: by counts of values and buckets, so that no task holds them all."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.lit(0).alias("_all"), F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    return exact_quantiles(counts, ["_all"], "_v", "_k", {"median": 0.5}).select("median")
 
 
 def empty_rows(cells: DataFrame) -> DataFrame:

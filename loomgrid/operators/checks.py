@@ -88,7 +88,7 @@ def integrity_checks(
 
     at_least_one(selective, "selective_targets")
     none_left(selective.select("col_key").join(c_cols, "col_key", "left_anti"), "selective_targets_exist")
-    block = matrix_statistics(effects.join(F.broadcast(selective.select("col_key")), "col_key", "left_semi"))
+    block = matrix_statistics(effects.join(selective.select("col_key"), "col_key", "left_semi"))
     out.append(_rows(block, [("selective_block_varies", "soft", col("sd") > 0.05, F.round("sd", 6))]))
 
     if splits is not None:

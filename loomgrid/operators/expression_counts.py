@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators.cells import clip_low, row_sums
 from loomgrid.operators.gene_space import lookup_chain, parse_labels
+from loomgrid.operators.lookup import grid
 
 
 def pseudo_counts(cells: DataFrame) -> DataFrame:
@@ -17,15 +18,15 @@ def pseudo_counts(cells: DataFrame) -> DataFrame:
 def aligned_counts(counts: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Counts for all wanted rows and columns: a missing column is 0, a missing row missing."""
     have = counts.select("row_key").distinct().withColumn("_there", F.lit(True))
-    grid = rows.select("row_key").distinct().withColumn("_k", F.lit(1)).join(F.broadcast(columns.select("col_key").distinct().withColumn("_k", F.lit(1))), "_k").drop("_k")
-    out = grid.join(counts.select("row_key", "col_key", F.col("value").alias("_v"), F.lit(True).alias("_cell")), ["row_key", "col_key"], "left").join(have, "row_key", "left")
+    every = grid(rows.select("row_key").distinct(), columns.select("col_key").distinct())
+    out = every.join(counts.select("row_key", "col_key", F.col("value").alias("_v"), F.lit(True).alias("_cell")), ["row_key", "col_key"], "left").join(have, "row_key", "left")
     return out.select("row_key", "col_key", F.when(F.col("_cell"), F.col("_v")).when(F.col("_there"), F.lit(0.0)).alias("value"))
 
 
 def to_targets(cells: DataFrame, labels: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells by target id, and a one-row report: mapped labels, unmapped ones, and those dropped as a target's later label."""
     chain = lookup_chain(labels, mapping)
-    out = cells.join(F.broadcast(chain.select(F.col("label").alias("col_key"), "target")), "col_key").select("row_key", "target", "value")
+    out = cells.join(chain.select(F.col("label").alias("col_key"), "target"), "col_key").select("row_key", "target", "value")
     known = parse_labels(labels).join(mapping.select("entrez").distinct().withColumn("_known", F.lit(True)), "entrez", "left")
     report = known.agg(F.count_if(F.col("_known").isNull()).alias("n_unmapped"), F.count_if(F.col("_known")).alias("n_mapped"))
     kept = chain.agg(F.count("*").alias("n_targets"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgrid.functions.labels import bare_symbol, canonical_label, entrez_of, symbol_of
+from loomgrid.functions.labels import canonical_label, entrez_of, symbol_of
+from loomgrid.operators.lookup import grid
 
 
 def parse_labels(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -51,12 +52,13 @@ def match_external(columns: DataFrame, canonical: DataFrame) -> DataFrame:
 
     ``columns``: ``label, pos``; ``canonical``: ``pos, entrez, symbol``.  Tier 1:
     a parsed label or bare number gives the entrez; tier 2, for features not yet
-    matched: the bare symbol.  Within a tier the first column wins.
+    matched: a label that is the symbol and nothing else, so that ``SYM (9)`` is
+    never taken for another gene called SYM.  Within a tier the first column wins.
     """
     text = F.trim("label")
     number = F.coalesce(entrez_of(F.col("label")), F.when(text.rlike("^[0-9]+$"), text))
     first = columns.withColumn("entrez", number).filter("entrez is not null").groupBy("entrez").agg(F.min_by("label", "pos").alias("l1"))
-    by_name = columns.withColumn("symbol", F.trim(bare_symbol(text))).groupBy("symbol").agg(F.min_by("label", "pos").alias("l2"))
+    by_name = columns.filter(number.isNull()).withColumn("symbol", text).groupBy("symbol").agg(F.min_by("label", "pos").alias("l2"))
     out = canonical.join(first, "entrez", "left").join(by_name, "symbol", "left")
     tier = F.when(F.col("l1").isNotNull(), 1).when(F.col("l2").isNotNull(), 2)
     return out.select("pos", "entrez", "symbol", F.coalesce("l1", "l2").alias("label"), tier.alias("tier"))
@@ -68,10 +70,10 @@ def remap(cells: DataFrame, matched: DataFrame, fill: float = 0.0) -> DataFrame:
     rows = cells.select("row_key").distinct()
     gaps = matched.filter("label is null").select("pos", "entrez")
     # features without a column times rows: exactly the cells that the result must have
-    filled = rows.withColumn("_k", F.lit(1)).join(F.broadcast(gaps.withColumn("_k", F.lit(1))), "_k").select("row_key", "pos", "entrez", F.lit(fill).alias("value"))
+    filled = grid(rows, gaps).select("row_key", "pos", "entrez", F.lit(fill).alias("value"))
     return found.unionByName(filled)
 
 
 def canonical_order(cells: DataFrame, space: DataFrame, label: Column | None = None) -> DataFrame:
     """Cells of features in the space, with their position and canonical label."""
-    return cells.withColumnRenamed("col_key", "entrez").join(F.broadcast(space.select("entrez", "pos", "canonical")), "entrez")
+    return cells.withColumnRenamed("col_key", "entrez").join(space.select("entrez", "pos", "canonical"), "entrez")

@@ -28,28 +28,34 @@ def greedy_split(groups: DataFrame, test: float = config.TEST_FRACTION, val: flo
     """``grp, stratum, size, split``: each stratum's groups in hash order go to test, then val, then train.
 
     A group is taken if half of it still fits the target; what is taken, and
-    nothing else, fills the target.  Only groups that could still be taken
-    matter to the running state, and a split takes no more groups than its
-    target has members, so each stratum's state is folded in Python over its
-    groups, one stratum a task; the order is total, so a rerun gives the same.
+    nothing else, fills the target.  Each decision needs the one before, so a
+    stratum is one stream: its groups are sorted by Spark, which spills, and
+    read batch by batch with two numbers as state.  The order is total, so a
+    rerun gives the same.
     """
-    import pandas as pd
+    from collections.abc import Iterator
 
-    def allocate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["digest", "grp"])
-        total = rows["size"].sum()
-        taken, out = {"test": 0, "val": 0}, []
-        for size in rows["size"]:
-            for name, share in (("test", test), ("val", val)):
-                if taken[name] + size / 2 <= total * share:
-                    taken[name] += size
-                    out.append(name)
-                    break
-            else:
-                out.append("train")
-        return rows[["grp", "stratum", "size"]].assign(split=out)
+    import pandas as pd
 
-    return groups.withColumn("digest", _order(seed)).groupBy("stratum").applyInPandas(allocate, "grp string, stratum string, size long, split string")
+    def allocate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stratum, taken = None, {}
+        for rows in batches:
+            out = []
+            for name_of, size, total in zip(rows["stratum"], rows["size"].tolist(), rows["total"].tolist()):
+                if name_of != stratum:
+                    stratum, taken = name_of, {"test": 0, "val": 0}
+                for name, share in (("test", test), ("val", val)):
+                    if taken[name] + size / 2 <= total * share:
+                        taken[name] += size
+                        out.append(name)
+                        break
+                else:
+                    out.append("train")
+            yield rows[["grp", "stratum", "size"]].assign(split=out)
+
+    sized = groups.join(groups.groupBy("stratum").agg(F.sum("size").alias("total")), "stratum").withColumn("digest", _order(seed))
+    streams = sized.repartition("stratum").sortWithinPartitions("stratum", "digest", "grp").select("grp", "stratum", "size", "total")
+    return streams.mapInPandas(allocate, "grp string, stratum string, size long, split string")
 
 
 def stratum_holdout(members: DataFrame, test: float = config.TEST_FRACTION, val: float = config.VAL_FRACTION, seed: str = "0") -> DataFrame:
@@ -91,17 +97,22 @@ def split_summary(assigned: DataFrame, mask: Column, top: int = 5) -> DataFrame:
 def group_folds(groups: DataFrame, folds: int = config.CV_FOLDS) -> DataFrame:
     """``grp, size, fold``: the largest group first, each to the lightest fold, ties by lowest fold and name.
 
-    A fold over one array; the state is one number a fold.  Meant for the
-    groups of one training set, whose number a model fit bounds.
+    Each decision needs the one before: the groups are sorted by Spark and read
+    as one stream, batch by batch, with one number a fold as state.
     """
-    packed = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.col("grp").alias("grp")))).alias("items"))
-    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), folds).alias("load"), F.array().cast("array<int>").alias("fold"))
+    from collections.abc import Iterator
 
-    def step(state: Column, item: Column) -> Column:
-        at = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
-        load = F.transform(state["load"], lambda x, i: F.when(i == at, x - item["neg"]).otherwise(x))
-        return F.struct(load.alias("load"), F.concat(state["fold"], F.array(at)).alias("fold"))
+    import pandas as pd
 
-    done = packed.select("items", F.aggregate("items", zero, step, lambda s: s["fold"]).alias("fold"))
-    pairs = F.explode(F.arrays_zip("items", "fold"))
-    return done.select(pairs.alias("p")).select(F.col("p.items.grp").alias("grp"), (-F.col("p.items.neg")).alias("size"), F.col("p.fold").alias("fold"))
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load = [0] * folds
+        for rows in batches:
+            out = []
+            for size in rows["size"].tolist():
+                at = load.index(min(load))
+                load[at] += size
+                out.append(at)
+            yield rows.assign(fold=out)
+
+    stream = groups.select("grp", F.col("size").cast("long").alias("size")).repartition(1).sortWithinPartitions(F.desc("size"), "grp")
+    return stream.mapInPandas(deal, "grp string, size long, fold int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid import config
 from loomgrid.functions.ids import loose_bool, model_id
 from loomgrid.operators import baselines, cells, checks, expression_counts, gene_space, group_split, metrics, report
+from loomgrid.operators.lookup import grid
 from loomgrid.plans import inputs
 from loomgrid.plans.general_queries import gene_columns
 from loomgrid.sources.staging import stage
@@ -89,8 +90,8 @@ def selective_report(spark, d):
 
 @query
 def all_zero_features(spark, d):
-    # a tenth of the genes is blanked so that there is something to find
-    own = inputs.expression_cells(spark, d).withColumn("value", F.when(F.col("col_key").cast("long") % 10 == 3, F.lit(0.0)).otherwise(F.col("value")))
+    """Genes on which no line depends, as columns of the matrix of dependencies without a value other than zero."""
+    own = inputs.effect_cells(spark, d).withColumn("value", F.when(F.col("value") < config.DEPENDENCY_THRESHOLD, 1.0).otherwise(0.0))
     return cells.all_zero_columns(own)
 
 
@@ -193,13 +194,21 @@ def only_in_one(spark, d):
 
 
 def _external(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of a foreign matrix: labels, bare numbers and bare symbols, some genes not at all."""
+    """Columns of a foreign matrix: each gene under one of three styles or under none, and each symbol also with another gene's number."""
     t = table(spark, d, "gene_id_map")
     n = F.col("entrez").cast("long")
-    label = F.when(n % 5 == 0, F.col("symbol")).when(n % 5 == 1, F.col("entrez")).when(n % 5 == 2, None).otherwise(F.col("canonical_label"))
-    first = t.select(label.alias("label"), n.alias("pos"))
-    again = t.filter(n % 5 == 4).select(F.col("entrez").alias("label"), (n - 1_000_000).alias("pos"))
-    return first.filter("label is not null").unionByName(again)
+    first = t.select(_foreign_label().alias("label"), n.alias("pos"))
+    others = t.select(_another_gene().alias("label"), (n - 1_000_000).alias("pos"))
+    return first.unionByName(others).groupBy("label").agg(F.min("pos").alias("pos"))
+
+
+def _another_gene() -> Column:
+    return F.concat(F.col("symbol"), F.lit(" (9"), F.col("entrez"), F.lit(")"))
+
+
+def _foreign_label() -> Column:
+    n = F.col("entrez").cast("long")
+    return F.when(n % 4 == 0, F.col("symbol")).when(n % 4 == 1, F.col("entrez")).when(n % 4 == 2, F.col("canonical_label")).otherwise(_another_gene())
 
 
 def _space(spark: SparkSession, d: str) -> DataFrame:
@@ -215,16 +224,14 @@ def remap_external(spark, d):
 def remap_cells(spark, d):
     matched = gene_space.match_external(_external(spark, d), _space(spark, d).select("pos", "entrez", "symbol"))
     ids = table(spark, d, "gene_id_map").select("entrez", "symbol", "canonical_label")
-    own = inputs.expression_cells(spark, d).join(F.broadcast(ids), F.col("col_key") == F.col("entrez"))
-    n = F.col("entrez").cast("long")
-    named = own.select("row_key", F.when(n % 5 == 0, F.col("symbol")).when(n % 5 == 1, F.col("entrez")).when(n % 5 == 2, None).when(n % 5 == 4, F.col("entrez")).otherwise(F.col("canonical_label")).alias("col_key"), "value")
-    return gene_space.remap(named.filter("col_key is not null"), matched).select("row_key", "pos", "entrez", r6("value"))
+    own = inputs.expression_cells(spark, d).join(ids, F.col("col_key") == F.col("entrez"))
+    return gene_space.remap(own.select("row_key", _foreign_label().alias("col_key"), "value"), matched).select("row_key", "pos", "entrez", r6("value"))
 
 
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
-    """Entrez to target ids: some genes unmapped, several genes on one target."""
+    """Entrez to target ids, several genes on one target."""
     n = F.col("entrez").cast("long")
-    return table(spark, d, "gene_id_map").filter(n % 9 != 0).select("entrez", F.concat(F.lit("ENSG"), F.lpad((n % 23).cast("string"), 11, "0")).alias("target"))
+    return table(spark, d, "gene_id_map").select("entrez", F.concat(F.lit("ENSG"), F.lpad((n % 23).cast("string"), 11, "0")).alias("target"))
 
 
 @query
@@ -353,17 +360,15 @@ def _samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = baselines.impute_train_mean(_expression_split(spark, d))
     effects = stage(inputs.effect_cells(spark, d), "effects")
     chosen = cells.selective(cells.target_statistics(effects, effects.select("row_key").distinct().count())).select("col_key")
-    raw = stage(baselines.with_split(effects, inputs.splits(spark, d)).join(F.broadcast(chosen), "col_key", "left_semi"), "targets")
+    raw = stage(baselines.with_split(effects, inputs.splits(spark, d)).join(chosen, "col_key", "left_semi"), "targets")
     keep = F.array_sort(F.collect_list(F.struct(F.col("col_key").cast("long").alias("k"), F.col("imputed").alias("v"))))
     xs = x.groupBy("row_key", "split").agg(F.transform(keep, lambda s: s["v"]).alias("x"))
     targets = [r[0] for r in raw.select("col_key").distinct().orderBy(F.col("col_key").cast("long")).collect()]  # the selected targets, as the model has them
     position = F.array_position(F.array(*map(F.lit, targets)), F.col("col_key")).cast("int") - 1
     truth = raw.select("row_key", "split", position.alias("pos"), F.col("value").alias("truth"))
     mean = raw.filter("split = 'train'").groupBy("col_key").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"))
-    wanted = mean.select("col_key", "mean", F.lit(1).alias("_k"))
     # exactly the cells that the target arrays hold; absent ones get the training mean
-    grid = raw.select("row_key", F.lit(1).alias("_k")).distinct().join(F.broadcast(wanted), "_k").drop("_k")
-    dense = grid.join(raw.select("row_key", "col_key", "value"), ["row_key", "col_key"], "left").select("row_key", F.col("col_key").cast("long").alias("k"), F.coalesce("value", "mean").alias("v"))
+    dense = grid(raw.select("row_key").distinct(), mean).join(raw.select("row_key", "col_key", "value"), ["row_key", "col_key"], "left").select("row_key", F.col("col_key").cast("long").alias("k"), F.coalesce("value", "mean").alias("v"))
     ys = dense.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("y"))
     grp = _members(spark, d).select(F.col("model_id").alias("row_key"), "grp")
     both = stage(xs.join(ys, "row_key").join(grp, "row_key", "left").withColumn("grp", F.coalesce("grp", "row_key")), "unfolded")
@@ -464,14 +469,16 @@ def pseudocounts(spark, d):
 @query
 def row_sum_median(spark, d):
     sums = cells.row_sums(expression_counts.pseudo_counts(inputs.expression_cells(spark, d)))
-    return sums.agg(F.count("*").alias("n_rows"), F.count("total").alias("n_complete"), F.round(F.median("total"), 4).alias("median_total"), F.count_if(F.col("total") <= 0).alias("n_not_positive"))
+    sums = stage(sums, "sums")
+    figures = sums.agg(F.count("*").alias("n_rows"), F.count("total").alias("n_complete"), F.count_if(F.col("total") <= 0).alias("n_not_positive"))
+    return figures.join(cells.overall_median(sums, "total"), F.lit(True), "left").select("n_rows", "n_complete", F.round("median", 4).alias("median_total"), "n_not_positive")
 
 
 @query
 def target_matrix(spark, d):
     own = expression_counts.pseudo_counts(inputs.expression_cells(spark, d))
     labels = inputs.expression_labels(spark, d)
-    by_label = own.join(F.broadcast(gene_space.parse_labels(labels).select("entrez", "label")), F.col("col_key") == F.col("entrez")).select("row_key", F.col("label").alias("col_key"), "value")
+    by_label = own.join(gene_space.parse_labels(labels).select("entrez", "label"), F.col("col_key") == F.col("entrez")).select("row_key", F.col("label").alias("col_key"), "value")
     out, _ = expression_counts.to_targets(by_label, labels, _mapping(spark, d))
     return expression_counts.coordinates(out).select("row_key", "target", F.round("value", 4).alias("value"))
 
@@ -484,9 +491,10 @@ def row_table(spark, d):
 
 @query
 def aligned_counts(spark, d):
-    own = expression_counts.pseudo_counts(inputs.expression_cells(spark, d)).filter(F.col("col_key").cast("long") % 3 != 0)
+    """Counts of the profiled genes for all lines of a split and all mapped genes."""
+    own = stage(expression_counts.pseudo_counts(inputs.expression_cells(spark, d)), "counts")
     rows = inputs.splits(spark, d).select(F.col("model_id").alias("row_key"))
-    cols = inputs.expression_cells(spark, d).select("col_key").distinct()
+    cols = table(spark, d, "gene_id_map").select(F.col("entrez").alias("col_key"))
     return expression_counts.aligned_counts(own, rows, cols).select("row_key", "col_key", F.round("value", 4).alias("value"))
 
 
@@ -495,7 +503,8 @@ def quality_checks(spark, d):
     e, c = stage(inputs.expression_cells(spark, d), "expression"), stage(inputs.effect_cells(spark, d), "effects")
     n = c.select("row_key").distinct().count()
     chosen = cells.selective(cells.target_statistics(c, n)).select("col_key")
-    response = c.filter(F.col("col_key").cast("long") % 11 == 0)
+    # the lines' effects stand for the response, too: there is no table of compounds
+    response = c
     out = checks.integrity_checks(e, c, inputs.metadata(spark, d), stage(_space(spark, d), "space"), stage(chosen, "chosen"), inputs.splits(spark, d), response)
     return out.select("name", "severity", "passed", "detail")
 

@@ -25,14 +25,14 @@ def _cell(c: str) -> str:
 
 
 CTES = {
-    "eff": f"""eff AS (SELECT m, e, v FROM (
+    "eff": f"""eff AS MATERIALIZED (SELECT m, e, v FROM (
       SELECT *, row_number() OVER (PARTITION BY m, e ORDER BY row_id) AS r FROM (
         SELECT row_id, {M} AS m, nullif(regexp_extract(gene, {LABEL}, 2), '') AS e, CASE WHEN ({number_sql('effect')}) BETWEEN -10 AND 10 THEN effect::DOUBLE END AS v FROM crispr_gene_effect)
       WHERE m IS NOT NULL AND e IS NOT NULL) WHERE r = 1)""",
-    "prof": f"""prof AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY row_id) AS r FROM (
+    "prof": f"""prof AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY row_id) AS r FROM (
       SELECT *, {M} AS m FROM expression_profile WHERE lower(trim(isdefaultentryformodel)) IN ('true', '1', '1.0', 'yes', 't'))
       WHERE m IS NOT NULL) WHERE r = 1)""",
-    "expr": "expr AS (SELECT m, e, CASE WHEN v BETWEEN 0 AND 20 THEN v END AS v FROM (" + " UNION ALL ".join(_cell(c) for c in GENES) + "))",
+    "expr": "expr AS MATERIALIZED (SELECT m, e, CASE WHEN v BETWEEN 0 AND 20 THEN v END AS v FROM (" + " UNION ALL ".join(_cell(c) for c in GENES) + "))",
     "meta": f"""meta AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY row_id) AS r FROM (
       SELECT row_id, {M} AS m, {donor_id_sql("patientid")} AS p, {_initcap("oncotreelineage")} AS l, oncotreeprimarydisease AS disease, oncotreesubtype AS subtype FROM depmap_model)
       WHERE m IS NOT NULL) WHERE r = 1)""",
@@ -70,12 +70,13 @@ CTES = {
     + ", ".join(f"('{c}')" for c in GENES) + ") t(c))",
     "efirst": "efirst AS (SELECT e, arg_min(symbol, (pos, label)) AS symbol, arg_min(label, (pos, label)) AS label FROM elab WHERE e IS NOT NULL GROUP BY e)",
     "space": """space AS (SELECT row_number() OVER (ORDER BY e::BIGINT) - 1 AS pos, e, a.symbol, a.label AS label_a, b.label AS label_b FROM xlab a JOIN efirst b USING (e))""",
-    "ext": """ext AS (SELECT CASE e::BIGINT % 5 WHEN 0 THEN symbol WHEN 1 THEN e WHEN 2 THEN NULL ELSE lab END AS label, e::BIGINT AS pos FROM (SELECT entrez AS e, symbol, canonical_label AS lab FROM gene_id_map)
-      UNION ALL SELECT entrez, entrez::BIGINT - 1000000 FROM gene_id_map WHERE entrez::BIGINT % 5 = 4)""",
+    "ext": """ext AS (SELECT label, min(pos) AS pos FROM (
+      SELECT CASE e::BIGINT % 4 WHEN 0 THEN symbol WHEN 1 THEN e WHEN 2 THEN lab ELSE symbol || ' (9' || e || ')' END AS label, e::BIGINT AS pos FROM (SELECT entrez AS e, symbol, canonical_label AS lab FROM gene_id_map)
+      UNION ALL SELECT symbol || ' (9' || entrez || ')', entrez::BIGINT - 1000000 FROM gene_id_map) GROUP BY label)""",
     "match": f"""match AS (SELECT s.pos, s.e, coalesce(l1, l2) AS label, CASE WHEN l1 IS NOT NULL THEN 1 WHEN l2 IS NOT NULL THEN 2 END AS tier FROM space s
       LEFT JOIN (SELECT n, arg_min(label, pos) AS l1 FROM (SELECT *, coalesce(nullif(regexp_extract(label, {LABEL}, 2), ''), CASE WHEN regexp_full_match(trim(label), '[0-9]+') THEN trim(label) END) AS n FROM ext WHERE label IS NOT NULL) WHERE n IS NOT NULL GROUP BY n) a ON a.n = s.e
-      LEFT JOIN (SELECT regexp_replace(trim(label), ' \\([^(]*$', '') AS sym, arg_min(label, pos) AS l2 FROM ext WHERE label IS NOT NULL GROUP BY 1) b ON b.sym = s.symbol)""",
-    "map": "map AS (SELECT entrez AS e, 'ENSG' || lpad((entrez::BIGINT % 23)::VARCHAR, 11, '0') AS target FROM gene_id_map WHERE entrez::BIGINT % 9 <> 0)",
+      LEFT JOIN (SELECT label AS sym, arg_min(label, pos) AS l2 FROM ext WHERE NOT regexp_full_match(label, '[0-9]+') AND NOT regexp_matches(label, '\\([0-9]+\\)$') GROUP BY 1) b ON b.sym = s.symbol)""",
+    "map": "map AS (SELECT entrez AS e, 'ENSG' || lpad((entrez::BIGINT % 23)::VARCHAR, 11, '0') AS target FROM gene_id_map)",
     # first by column position; the columns of the table stand in the order of their numbers
     "chain": "chain AS (SELECT target, arg_min(label, e::BIGINT) AS label, arg_min(e, e::BIGINT) AS e FROM xlab JOIN map USING (e) GROUP BY target)",
     "mem": "mem AS (SELECT m, coalesce(p, m) AS g, l, disease, subtype FROM meta)",
@@ -125,7 +126,7 @@ put("model_deltas", ["summ"], """SELECT a.metric AS task, a.model, b.model AS re
 put("selective_targets", ["excl"], "SELECT e AS col_key, round(missing_share, 6) AS missing_share, nd AS n_dependent, round(ds, 6) AS dependent_share, round(sd::DOUBLE, 4) AS sd FROM excl WHERE NOT (x1 OR x2 OR x3 OR x4)")
 put("selective_report", ["excl"], """SELECT count(*) AS considered, count(*) FILTER (x1) AS excluded_too_many_missing, count(*) FILTER (x2) AS excluded_never_dependent,
   count(*) FILTER (x3) AS excluded_always_dependent, count(*) FILTER (x4) AS excluded_low_variance, count(*) FILTER (NOT (x1 OR x2 OR x3 OR x4)) AS kept FROM excl""")
-put("all_zero_features", ["expr"], "SELECT e AS col_key FROM expr GROUP BY e HAVING max(CASE WHEN e::BIGINT % 10 <> 3 AND coalesce(v, 0) <> 0 THEN 1 ELSE 0 END) = 0")
+put("all_zero_features", ["eff"], "SELECT e AS col_key FROM eff GROUP BY e HAVING count(*) FILTER (v < -0.5) = 0")
 put("low_variance_features", ["expr"], "SELECT e AS col_key, round(sd::DOUBLE, 4) AS sd FROM (SELECT e, stddev_samp(v)::FLOAT AS sd FROM expr GROUP BY e) WHERE sd < 1.2::FLOAT")
 _FLAG = "coalesce(lower(trim(isdefaultentryformodel)) IN ('true', '1', '1.0', 'yes', 't'), false)"
 SQL["default_profile_filter"] = f"SELECT count(*) AS n_before, count(*) FILTER ({_FLAG}) AS n_after, count(*) FILTER (NOT {_FLAG}) AS n_dropped FROM expression_profile"
@@ -147,12 +148,13 @@ _STATS = "round(min(v), 6) AS min_value, round(max(v), 6) AS max_value, round(me
 put("matrix_statistics", ["expr", "eff"], f"SELECT 'expression' AS matrix, {_STATS} FROM expr UNION ALL SELECT 'effects', {_STATS} FROM eff")
 put("empty_rows", ["eff"], "SELECT m AS row_key FROM eff GROUP BY m HAVING count(v) = 0")
 put("parse_labels", ["elab"], "SELECT label, symbol, e AS entrez FROM elab")
-SQL["unparsed_labels"] = "SELECT 'unlabelled_feature' AS label"
+_META = ", ".join(f"'{c}'" for c in ("row_id", "sequencingid", "modelconditionid", "modelid", "isdefaultentryformc", "isdefaultentryformodel", "sequenced_at", "load_id", "loaded_at"))
+SQL["unparsed_labels"] = f"SELECT column_name AS label FROM (DESCRIBE expression_profile) WHERE column_name NOT IN ({_META}) AND NOT regexp_matches(column_name, '_[0-9]+$')"
 put("gene_space_intersect", ["space"], "SELECT pos, e AS entrez, symbol, label_a, label_b, symbol || ' (' || e || ')' AS canonical FROM space")
 put("symbol_conflicts", ["space"], "SELECT e AS entrez, symbol, CASE WHEN e::BIGINT % 7 = 0 THEN 'OLD-' ELSE '' END || label_b AS label_b FROM space WHERE e::BIGINT % 7 = 0")
 put("only_in_one", ["xlab", "efirst"], "SELECT e AS entrez, 'expression' AS side FROM xlab ANTI JOIN efirst USING (e) UNION ALL SELECT e, 'effects' FROM efirst ANTI JOIN xlab USING (e)")
 put("remap_external", ["match"], "SELECT pos, e AS entrez, label, tier FROM match")
-put("remap_cells", ["match", "expr"], """, named AS (SELECT expr.m, CASE g.entrez::BIGINT % 5 WHEN 0 THEN symbol WHEN 1 THEN entrez WHEN 2 THEN NULL WHEN 4 THEN entrez ELSE canonical_label END AS label, v FROM expr JOIN gene_id_map g ON g.entrez = expr.e)
+put("remap_cells", ["match", "expr"], """, named AS (SELECT expr.m, CASE g.entrez::BIGINT % 4 WHEN 0 THEN symbol WHEN 1 THEN entrez WHEN 2 THEN canonical_label ELSE symbol || ' (9' || entrez || ')' END AS label, v FROM expr JOIN gene_id_map g ON g.entrez = expr.e)
   SELECT named.m AS row_key, pos, e AS entrez, round(v, 6) AS value FROM named JOIN match USING (label)
   UNION ALL SELECT r.m, pos, e, 0.0 FROM (SELECT DISTINCT m FROM named WHERE label IS NOT NULL) r, match WHERE match.label IS NULL""")
 put("lookup_chain_first_wins", ["chain"], "SELECT target, label, e AS entrez FROM chain")
@@ -212,9 +214,13 @@ put("row_sum_median", ["pc"], ", t AS (SELECT m, CASE WHEN count(v) = count(*) T
 put("target_matrix", ["pc", "chain"], "SELECT pc.m AS row_key, target, round(v, 4) AS value FROM pc JOIN chain USING (e) WHERE v IS NULL OR v <> 0")
 put("row_table", ["pc", "meta", "spl"], """, t AS (SELECT m, CASE WHEN count(v) = count(*) THEN sum(v) END AS total FROM pc GROUP BY m)
   SELECT t.m AS row_key, round(total, 4) AS n_counts, l AS lineage, disease, subtype, s AS split FROM t LEFT JOIN meta USING (m) LEFT JOIN spl USING (m)""")
-put("aligned_counts", ["pc", "spl"], """SELECT spl.m AS row_key, k.e AS col_key, round(CASE WHEN h.m IS NULL THEN NULL WHEN k.e::BIGINT % 3 = 0 THEN 0 ELSE pc.v END, 4) AS value
-  FROM spl, (SELECT DISTINCT e FROM expr) k LEFT JOIN (SELECT DISTINCT m FROM pc) h ON h.m = spl.m LEFT JOIN pc ON pc.m = spl.m AND pc.e = k.e""")
-SQL["schema_peek"] = "SELECT 3 AS n_columns, 'vec_id, embedding, label' AS first_columns, 'vec_id, embedding, label' AS last_columns, 'array<float>=1; bigint=1; int=1' AS dtypes"
+put("aligned_counts", ["pc", "spl"], """SELECT spl.m AS row_key, k.e AS col_key, round(CASE WHEN h.m IS NULL THEN NULL WHEN pc.e IS NULL THEN 0 ELSE pc.v END, 4) AS value
+  FROM spl, (SELECT entrez AS e FROM gene_id_map) k LEFT JOIN (SELECT DISTINCT m FROM pc) h ON h.m = spl.m LEFT JOIN pc ON pc.m = spl.m AND pc.e = k.e""")
+SQL["schema_peek"] = """WITH c AS (SELECT column_name, row_number() OVER () AS i, count(*) OVER () AS n,
+    CASE column_type WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS ty FROM (DESCRIBE embeddings)
+  ), k AS (SELECT ty, count(*) AS k FROM c GROUP BY ty)
+  SELECT max(n)::INT AS n_columns, string_agg(column_name, ', ' ORDER BY i) FILTER (i <= 5) AS first_columns, string_agg(column_name, ', ' ORDER BY i) FILTER (i > n - 3) AS last_columns,
+    (SELECT string_agg(ty || '=' || k, '; ' ORDER BY ty) FROM k) AS dtypes FROM c"""
 SQL["audit_report"] = "SELECT 'default_profiles' AS section, key, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM (" + SQL["default_profile_filter"] + ")) ON COLUMNS(*) INTO NAME key VALUE value) UNION ALL SELECT 'intersection', key, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM (" + SQL["three_way_intersection"] + ")) ON COLUMNS(*) INTO NAME key VALUE value) UNION ALL SELECT 'selective_targets', key, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM (" + SQL["selective_report"] + ")) ON COLUMNS(*) INTO NAME key VALUE value)"
 
 
@@ -230,7 +236,7 @@ _DISEASE = "(coalesce(contains(lower(disease), 'osteosarcoma'), false) OR coales
 _XS = f"SELECT {_STATS.replace('round(avg', 'round(avg')} FROM expr"
 put(
     "quality_checks", ["expr", "eff", "meta", "space", "sel", "spl"],
-    ", em AS (SELECT DISTINCT m FROM expr), cm AS (SELECT DISTINCT m FROM eff), ee AS (SELECT DISTINCT e FROM expr), ce AS (SELECT DISTINCT e FROM eff), resp AS (SELECT * FROM eff WHERE e::BIGINT % 11 = 0) "
+    ", em AS (SELECT DISTINCT m FROM expr), cm AS (SELECT DISTINCT m FROM eff), ee AS (SELECT DISTINCT e FROM expr), ce AS (SELECT DISTINCT e FROM eff), resp AS (SELECT * FROM eff) "
     + " UNION ALL ".join(
         [
             _check("expression_not_empty", "hard", "SELECT count(*) AS n FROM expr", "n > 0"), _check("effects_not_empty", "hard", "SELECT count(*) AS n FROM eff", "n > 0"), _check("metadata_not_empty", "hard", "SELECT count(*) AS n FROM meta", "n > 0"),

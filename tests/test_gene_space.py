@@ -24,6 +24,9 @@ def test_external_columns(spark):
     space = spark.createDataFrame([(0, "1", "A"), (1, "2", "B"), (2, "3", "C")], "pos int, entrez string, symbol string")
     matched = gene_space.match_external(labels(spark, ["B", "1", "A (1)"]), space)
     assert rows(matched.select("pos", "label", "tier")) == [(0, "1", 1), (1, "B", 2), (2, None, None)]
+    # a symbol with another gene's number is another gene
+    other = gene_space.match_external(labels(spark, ["A (999)", "B (7)", " B ", "C (3) x"]), space)
+    assert rows(other.select("pos", "label", "tier")) == [(0, None, None), (1, " B ", 2), (2, None, None)]
     cells = spark.createDataFrame([("s", "1", 5.0), ("s", "B", None), ("s", "A (1)", 9.0)], "row_key string, col_key string, value double")
     assert rows(gene_space.remap(cells, matched).select("row_key", "entrez", "value")) == [("s", "1", 5.0), ("s", "2", None), ("s", "3", 0.0)]
 
