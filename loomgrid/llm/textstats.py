@@ -162,7 +162,7 @@ def text_statistics(documents: DataFrame, text: str = "text", only: list[str] |
         "ellipsis_share": share(_count(t, _ELLIPSIS_LINE), lines),
         "letterless_share": share(_count(t, _NO_LETTER), _count(t, r"\S+")),
         "n_stop_words": F.size(F.array_intersect(words, F.array(*map(F.lit, STOP_WORDS)))),
-        "repeated_line_share": share(lines - F.size(F.array_distinct(F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x.rlike(r"\S")))), lines),
+        "repeated_line_share": share(lines - F.size(F.array_distinct(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"\S")))), lines),
         "short_line_share": share(_count(t, _SHORT_LINE), lines),
     }
     base = documents.withColumn("_t", layout(F.col(text)))
