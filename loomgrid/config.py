@@ -19,6 +19,7 @@ TEST_FRACTION = VAL_FRACTION = 0.15
 VERDICT_MARGIN = 0.01
 DISEASE_KEYWORD = "osteosarcoma"
 MODEL_PREFIX = "ACH-"
+LOOK = 50  # labels of an axis that are looked at
 # Texts that a delimited file uses for a missing value.
 NA_TOKENS = [
     "", "NA", "N/A", "n/a", "#N/A", "#N/A N/A", "#NA", "NULL", "null", "NaN", "nan", "-NaN", "-nan", "None", "<NA>",

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.sources.resolver import list_files
+
 
 def save_matrix(cells: DataFrame, path: str) -> None:
     """Long cells as parquet, values as FLOAT, laid out by column for column-wise readers."""
@@ -23,25 +26,65 @@ def save_table(df: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, else CSV of the same path, else the reader's error."""
-    try:
+    """Parquet if the path holds such files, else CSV; what cannot be read is the reader's error."""
+    if path.endswith(".parquet") or list_files(spark, f"{path}/*.parquet"):
         return spark.read.parquet(path)
-    except Exception:
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def write_text(spark: SparkSession, path: str, chunks: Iterable[str]) -> None:
+    """A text file in any file system that Spark knows, chunk by chunk."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk, "utf-8"))
+    finally:
+        out.close()
+
+
+def load_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def save_json(spark: SparkSession, document: dict, path: str) -> None:
+    write_text(spark, path, [json.dumps(document, indent=2, default=str)])
 
 
 def load_splits(spark: SparkSession, path: str) -> DataFrame:
-    """``model_id, split`` from a frozen assignment in JSON."""
-    with open(path) as f:
-        payload = json.load(f)
-    return spark.createDataFrame(sorted(payload["assignment"].items()), "model_id string, split string")
+    """``model_id, split`` from a frozen assignment; the document is parsed in a task, not on the driver."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "assignment map<string,string>").alias("d"))
+    return text.select(F.explode("d.assignment").alias("model_id", "split"))
+
+
+def save_splits(assigned: DataFrame, path: str, provenance: dict | None = None, verification: dict | None = None, summary: dict | None = None) -> None:
+    """The frozen assignment with what is known of it; models stream through the driver in order, a few at a time."""
+    head = json.dumps({"provenance": provenance or {}, "verification": verification or {}, "summary": summary or {}}, indent=2, default=str)
+
+    def chunks() -> Iterator[str]:
+        yield head.rstrip()[:-1].rstrip() + ',\n  "assignment": {'
+        comma, batch = "", []
+        for r in assigned.select("model_id", "split").orderBy("model_id").toLocalIterator():
+            batch.append(f"{comma}\n    {json.dumps(r['model_id'])}: {json.dumps(r['split'])}")
+            comma = ","
+            if len(batch) == 10_000:
+                yield "".join(batch)
+                batch = []
+        yield "".join(batch) + "\n  }\n}\n"
+
+    write_text(assigned.sparkSession, path, chunks())
+
+
+def cached_table(spark: SparkSession, path: str, schema: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The CSV at ``path`` with the given types, built and written first if it is not there; rows with a missing value are left out."""
+    if not list_files(spark, f"{path}*"):
+        build().write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema(schema).csv(path).na.drop("any")
 
 
-def save_splits(assigned: DataFrame, path: str, provenance: dict | None = None) -> None:
-    """The frozen assignment: one entry per model, a table of models on the driver as JSON asks for."""
-    rows = assigned.select("model_id", "split").orderBy("model_id").collect()
-    with open(path, "w") as f:
-        json.dump({"provenance": provenance or {}, "assignment": {r["model_id"]: r["split"] for r in rows}}, f, indent=2)
+def save_embeddings(vectors: DataFrame, path: str) -> None:
+    """``row_key, x`` as parquet, under the name that :func:`load_embeddings` looks for."""
+    vectors.select(F.col("row_key").alias("ModelID"), F.col("x").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
 
 
 def load_embeddings(spark: SparkSession, path: str, key: str = "ModelID") -> DataFrame:

@@ -47,12 +47,12 @@ def test_metadata(spark, tmp_path):
 
 def test_resolver(spark, tmp_path, monkeypatch):
     (tmp_path / "CRISPRGeneEffect_v2.csv").write_text("x")
-    assert resolver.resolve_file(spark, "effects", str(tmp_path)).endswith("CRISPRGeneEffect_v2.csv")
+    assert resolver.resolve_file(spark, "crispr", str(tmp_path)).endswith("CRISPRGeneEffect_v2.csv")
     (tmp_path / "CRISPRGeneEffect.csv").write_text("x")
-    assert resolver.resolve_file(spark, "effects", str(tmp_path)).endswith("CRISPRGeneEffect.csv")
-    assert resolver.resolve_file(spark, "response", str(tmp_path), required=False) is None
+    assert resolver.resolve_file(spark, "crispr", str(tmp_path)).endswith("CRISPRGeneEffect.csv")
+    assert resolver.resolve_file(spark, "prism_matrix", str(tmp_path), required=False) is None
     with pytest.raises(FileNotFoundError, match="CRISPRGeneEffect.csv"):
-        resolver.resolve_file(spark, "metadata", str(tmp_path))
+        resolver.resolve_file(spark, "model", str(tmp_path))
     with pytest.raises(KeyError):
         resolver.resolve_file(spark, "nothing", str(tmp_path), required=False)
     monkeypatch.setenv("LOOMGRID_DATA_DIR", str(tmp_path))
@@ -78,6 +78,41 @@ def test_matrices_tables_and_splits(spark, tmp_path):
         matrix_io.load_embeddings(spark, str(tmp_path / "n"))
 
 
+def test_quoted_fields_and_several_files(spark, tmp_path):
+    folder = tmp_path / "q.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text('ModelID,"A, b (1)",flag,C (2)\nACH-1,"1",yes,"2"\n"ACH,2",3,"no ""way""",\n')
+    (folder / "part-1.csv").write_text('ModelID,"A, b (1)",flag,C (2)\nACH-1,7,no,8\n')
+    raw, labels = wide_text.read_wide(spark, str(folder), "ModelID", keep=["flag"])
+    assert labels == ["A, b (1)", "C (2)"]
+    first = keep_first(raw, ["row_key", "col_key"], "ord").select("row_key", "flag", "col_key", "raw")
+    assert rows(first) == [("ACH,2", 'no "way"', "A, b (1)", "3"), ("ACH,2", 'no "way"', "C (2)", None), ("ACH-1", "yes", "A, b (1)", "1"), ("ACH-1", "yes", "C (2)", "2")]
+
+
+def test_response_on_either_axis(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(",ACH-1,ACH-2,ACH-1\nBRD-1,1,2,9\nBRD-1,5,5,5\nBRD-2,,4,9\n")
+    (tmp_path / "n.csv").write_text(",BRD-1,BRD-2\nACH-1,1,\nACH-2,2,4\n")
+    (tmp_path / "u.csv").write_text(",x,y\nz,1,2\n")
+    want = [("ACH-1", "BRD-1", 1.0), ("ACH-1", "BRD-2", None), ("ACH-2", "BRD-1", 2.0), ("ACH-2", "BRD-2", 4.0)]
+    for name, turned in (("t", True), ("n", False)):
+        cells, report = wide_text.read_response(spark, str(tmp_path / f"{name}.csv"))
+        assert rows(cells) == want and report == {"status": "present", "transposed": turned}
+    assert wide_text.read_response(spark, str(tmp_path / "u.csv"))[1]["status"] == "unrecognised_layout"
+    assert wide_text.read_response(spark, None) == (None, {"status": "absent"})
+
+
+def test_cached_tables_are_built_once(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([("007", "E1"), ("8", None)], "entrez string, target string")
+
+    for _ in range(2):
+        assert rows(matrix_io.cached_table(spark, str(tmp_path / "map.csv"), "entrez string, target string", build)) == [("007", "E1")]
+    assert built == [1]
+
+
 def test_staged_tables(spark):
     df = stage(spark.range(5).toDF("n"), "numbers")
     assert df.count() == 5 and df._loomgrid_path.startswith(shared_dir(spark))
