@@ -72,6 +72,25 @@ def straddling_groups(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("grp").agg(F.countDistinct("split").alias("n_splits")).filter("n_splits > 1")
 
 
+def verify_splits(assigned: DataFrame) -> dict:
+    """Figures of a sound assignment (``model_id, grp, split``); a ValueError names what is wrong with another."""
+    names = ["train", "val", "test"]
+    row = assigned.agg(
+        F.count("*").alias("n"), F.countDistinct("model_id").alias("k"), F.count_if(~F.coalesce(F.col("split").isin(names), F.lit(False))).alias("odd"),
+        *[F.count_if(F.col("split") == s).alias(s) for s in names],
+    ).first()
+    if row["n"] != row["k"]:
+        raise ValueError(f"{row['n'] - row['k']} repeated models")
+    if row["odd"]:
+        raise ValueError(f"{row['odd']} models without a known split")
+    torn = straddling_groups(assigned).orderBy("grp").limit(5).collect()
+    if torn:
+        raise ValueError(f"groups in several splits, as {', '.join(r['grp'] for r in torn)}")
+    if empty := [s for s in names if not row[s]]:
+        raise ValueError(f"empty: {', '.join(empty)}")
+    return {"all_assigned": True, "disjoint": True, "groups_straddling": 0, "split_sizes": {s: row[s] for s in names}}
+
+
 def split_sizes(assigned: DataFrame) -> DataFrame:
     """``split, n, fraction`` for train, val and test, the empty ones too."""
     spark = assigned.sparkSession

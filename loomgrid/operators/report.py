@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid import config
@@ -37,6 +38,29 @@ def render(report: dict[str, dict], width: int = 38, longest: int = 6) -> str:
     return "\n".join(lines)
 
 
+def first_examples(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """``n, examples``: how many there are, and the first ``n`` of them in order."""
+    first = rows.select(column).orderBy(column).limit(n).agg(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), ", ").alias("examples"))
+    return rows.agg(F.count("*").alias("n")).join(first, F.lit(True), "left")  # a row each
+
+
+def concat_columns(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
+    """Columns side by side: the rows that have the same place in the order of each side; the longer side ends with NULLs."""
+    return numbered(left, order).drop(order).join(numbered(right, order).drop(order), "_place", "full").drop("_place")
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with ``_place`` from 1 on, counted in ranges first so that no task holds all."""
+    from loomgrid.sources.staging import stage
+
+    ranged = stage(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    offsets = sizes.select("_part", before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(order))
+    return ranged.join(offsets, "_part").withColumn("_place", F.col("_before") + inside).drop("_part", "_before")
+
+
 def save_json(report: dict, path: str) -> None:
     with open(path, "w") as f:
         json.dump(report, f, indent=2, default=str)

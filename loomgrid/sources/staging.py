@@ -47,6 +47,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
+def release_at_exit(spark: SparkSession, path: str) -> None:
+    """A folder written by other means, deleted with the staged tables."""
+    _written[path] = spark
+
+
 def release(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     path = getattr(df, "_loomgrid_path", None)
