@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,23 @@ class Drift:
     changes: DataFrame
 
 
-def schema_drift(raw: DataFrame, agreement: float = 0.95) -> Drift:
+#: A type's bit in the catalogue.
+TYPES = ["array", "boolean", "number", "object", "string"]
+
+
+def _catalogue(fields: DataFrame) -> DataFrame:
+    """Per file and field: records, types in order, and about how many values; combined before the shuffle, so no value travels."""
+    bit = F.lit(0)
+    for i, name in enumerate(TYPES):
+        bit = F.when(F.col("json_type") == name, 1 << i).otherwise(bit)
+    packed = fields.groupBy("series", "idx", "seq", "file_name", "last_idx", "field_name").agg(
+        F.count("*").alias("n_records"), F.bit_or(bit).alias("_bits"), F.approx_count_distinct("comp", 0.02).alias("n_about")
+    )
+    types = F.array_compact(F.array(*[F.when(F.col("_bits").bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(TYPES)]))
+    return packed.withColumn("types", types).drop("_bits")
+
+
+def schema_drift(raw: DataFrame, agreement: float = 0.95, normal: Callable[[Column], Column] | None = None) -> Drift:
     """Changes of each file against the file before it in its series.
 
     ``raw`` has ``raw_id, series, seq, file_name, record_text``.  The order of
@@ -60,28 +77,26 @@ def schema_drift(raw: DataFrame, agreement: float = 0.95) -> Drift:
     are ``added``, the files after their ends ``removed``.  Where a field ends
     and another starts in the same step, they are one field ``renamed`` if their
     values agree for at least ``agreement`` of the records in both files; each
-    name takes part in one renaming.  Records are matched by the best shared
+    name takes part in one renaming.  ``normal`` makes one text of the spellings
+    of a value that count as equal.  Records are matched by the best shared
     identifying field, which may itself be renamed.  ``retyped``: a JSON type
     that the field did not have in the file before (a file with nothing but
     nulls keeps the types seen last).  An empty table has no changes.
+
+    The catalogue is made of names and types alone.  Values are read only of
+    files on either side of a step in which one field ends and another starts,
+    and of those only of these fields and of fields that may tell records apart.
     """
+    normal = normal or (lambda c: c)
     files = raw.select("series", "seq", "file_name").distinct()
     by_series = W.partitionBy("series").orderBy("seq", "file_name")
     # one row per file, so that a series' window stays as small as its chain of files
     files = files.withColumn("idx", F.row_number().over(by_series)).withColumn("last_idx", F.count("*").over(W.partitionBy("series")))
-    fields = explode_records(raw).withColumn("comp", comparable(F.col("value"), F.col("json_type")))
-    fields = stage(fields.join(files.select("series", "seq", "file_name", "idx", "last_idx"), ["series", "seq", "file_name"]), "fields")
-
-    # values are counted per (file, field, value) first, so a file with a third of all records is combined early
-    per_value = fields.groupBy("series", "idx", "seq", "file_name", "last_idx", "field_name", "comp").agg(
-        F.count("*").alias("n"), F.collect_set("json_type").alias("types")
-    )
-    catalogue = stage(
-        per_value.groupBy("series", "idx", "seq", "file_name", "last_idx", "field_name").agg(
-            F.sum("n").alias("n_records"), F.count("comp").alias("n_distinct"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types")
-        ),
-        "catalogue",
-    )
+    files = stage(files, "files")
+    placed = lambda which: raw.join(which, ["series", "seq", "file_name"])
+    exploded = lambda rows: explode_records(rows).withColumn("comp", comparable(F.col("value"), F.col("json_type"))).join(files, ["series", "seq", "file_name"])
+    fields = exploded(raw)
+    catalogue = stage(_catalogue(fields), "catalogue")
     life = W.partitionBy("series", "field_name").orderBy("idx")
     spans = (
         catalogue.withColumn("starts", (F.col("idx") > 1) & (F.coalesce(F.lag("idx").over(life), F.lit(0)) != F.col("idx") - 1))
@@ -95,41 +110,54 @@ def schema_drift(raw: DataFrame, agreement: float = 0.95) -> Drift:
 
     started = spans.filter("starts").select("series", "idx", F.col("field_name").alias("new_name"), F.col("types").alias("new_types"))
     ended = spans.filter("ends").select("series", (F.col("idx") + 1).alias("idx"), F.col("field_name").alias("old_name"), F.col("last_types").alias("old_types"))
-    steps = started.join(ended, ["series", "idx"])
-
-    def side(which: str, step: int) -> DataFrame:
-        """Values of one side of a step, in files that have a candidate."""
-        here = fields.select("series", (F.col("idx") + step).alias("idx"), F.col("field_name").alias(f"{which}_field"), "raw_id", "comp").filter("comp is not null")
-        return here.join(steps.select("series", "idx").distinct(), ["series", "idx"], "left_semi")
-
-    def identifying(which: str, step: int) -> DataFrame:
-        most = W.partitionBy("series", "idx")
-        own = catalogue.select("series", (F.col("idx") + step).alias("idx"), F.col("field_name").alias(f"{which}_field"), "n_distinct")
-        return own.withColumn("_most", F.max("n_distinct").over(most)).filter(F.col("n_distinct") >= 0.8 * F.col("_most")).drop("_most").withColumnRenamed("n_distinct", f"{which}_distinct")
-
-    old, new = side("old", 1), side("new", 0)
+    steps = stage(started.join(ended, ["series", "idx"]), "steps")
     at = ["series", "idx"]
-    old_ids = old.join(identifying("old", 1), [*at, "old_field"])
-    new_ids = new.join(identifying("new", 0), [*at, "new_field"])
+    at_steps = steps.select(*at).distinct()
+
+    def telling(step: int) -> DataFrame:
+        """Fields of one side of a step that may tell its records apart."""
+        own = catalogue.select("series", (F.col("idx") + step).alias("idx"), "field_name", "n_about").join(at_steps, at, "left_semi")
+        return own.withColumn("_most", F.max("n_about").over(W.partitionBy(*at))).filter(F.col("n_about") >= 0.7 * F.col("_most")).select(*at, "field_name")
+
+    wanted = telling(1).unionByName(steps.select(*at, F.col("old_name").alias("field_name"))).distinct().withColumn("side", F.lit("old"))
+    wanted = wanted.unionByName(telling(0).unionByName(steps.select(*at, F.col("new_name").alias("field_name"))).distinct().withColumn("side", F.lit("new")))
+    # a file may be the new one of a step and the old one of the next
+    wanted = wanted.withColumn("step", F.col("idx")).withColumn("idx", F.when(F.col("side") == "old", F.col("idx") - 1).otherwise(F.col("idx")))
+    needed = files.join(wanted.select("series", "idx").distinct(), ["series", "idx"], "left_semi").select("series", "seq", "file_name")
+    of_steps = explode_records(placed(needed)).withColumn("comp", comparable(F.col("value"), F.col("json_type"))).filter("comp is not null")
+    of_steps = of_steps.join(files.select("series", "seq", "file_name", "idx"), ["series", "seq", "file_name"]).join(wanted, ["series", "idx", "field_name"])
+    values = stage(of_steps.select("series", F.col("step").alias("idx"), "side", "field_name", "raw_id", "comp"), "values")
+
+    def side(which: str) -> DataFrame:
+        return values.filter(F.col("side") == which).select(*at, F.col("field_name").alias(f"{which}_field"), "raw_id", "comp")
+
+    old, new = side("old"), side("new")
+
+    def identifying(which: str, own: DataFrame) -> DataFrame:
+        """Distinct values of the fields with nearly as many as any."""
+        each = own.select(*at, f"{which}_field", "comp").distinct()
+        counted = each.groupBy(*at, f"{which}_field").agg(F.count("*").alias(f"{which}_distinct"))
+        best = counted.withColumn("_most", F.max(f"{which}_distinct").over(W.partitionBy(*at))).filter(F.col(f"{which}_distinct") >= 0.8 * F.col("_most")).drop("_most")
+        return each.join(best, [*at, f"{which}_field"])
+
     shared = (
-        old_ids.select(*at, "old_field", "old_distinct", "comp").distinct().join(new_ids.select(*at, "new_field", "new_distinct", "comp").distinct(), [*at, "comp"])
+        identifying("old", old).join(identifying("new", new), [*at, "comp"])
         .groupBy(*at, "old_field", "new_field").agg(F.count("*").alias("n"), (F.max("old_distinct") + F.max("new_distinct")).alias("distinct"))
     )
     # of the pairs that share most values, the one that tells most records apart
     shared = shared.withColumn("_most", F.max("n").over(W.partitionBy(*at))).filter(F.col("n") >= 0.8 * F.col("_most"))
     best = W.partitionBy(*at).orderBy(F.desc("distinct"), F.desc("n"), F.desc(F.col("old_field") == F.col("new_field")), "old_field", "new_field")
-    link = shared.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*at, "old_field", "new_field")
-    old_keys = old_ids.join(link.select(*at, "old_field"), [*at, "old_field"]).select(*at, "raw_id", F.col("comp").alias("record_key"))
-    new_keys = new_ids.join(link.select(*at, "new_field"), [*at, "new_field"]).select(*at, "raw_id", F.col("comp").alias("record_key"))
+    link = stage(shared.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*at, "old_field", "new_field"), "link")
+    old_keys = old.join(link.select(*at, "old_field"), [*at, "old_field"]).select(*at, "raw_id", F.col("comp").alias("record_key"))
+    new_keys = new.join(link.select(*at, "new_field"), [*at, "new_field"]).select(*at, "raw_id", F.col("comp").alias("record_key"))
 
     def keyed(values: DataFrame, keys: DataFrame, names: DataFrame, which: str) -> DataFrame:
         """Values of candidate fields by record key; a record that comes twice counts once."""
         own = values.join(names.select(*at, F.col(f"{which}_name").alias(f"{which}_field")).distinct(), [*at, f"{which}_field"], "left_semi")
         return own.join(keys, [*at, "raw_id"]).groupBy(*at, "record_key", F.col(f"{which}_field").alias(f"{which}_name")).agg(F.min("comp").alias(f"{which}_value"))
 
-    pairs = keyed(old, old_keys, ended.join(steps.select(*at).distinct(), at), "old").join(keyed(new, new_keys, started.join(steps.select(*at).distinct(), at), "new"), [*at, "record_key"])
-    a, b = F.col("old_value"), F.col("new_value")
-    same = (a == b) | a.startswith(F.concat(b, F.lit("-"))) | b.startswith(F.concat(a, F.lit("-")))
+    pairs = keyed(old, old_keys, steps, "old").join(keyed(new, new_keys, steps, "new"), [*at, "record_key"])
+    same = normal(F.col("old_value")) == normal(F.col("new_value"))
     scored = pairs.groupBy(*at, "old_name", "new_name").agg(F.avg(same.cast("int")).alias("agree"), F.count("*").alias("n")).filter(F.col("agree") >= agreement)
     order = [F.desc("agree"), F.desc("n"), "old_name", "new_name"]
     for name in ("old_name", "new_name"):

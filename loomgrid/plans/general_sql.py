@@ -165,7 +165,7 @@ WITH files AS (
 ), c AS (SELECT series, idx, field, rk, min(comp) AS comp FROM x JOIN id USING (raw_id) WHERE comp IS NOT NULL GROUP BY ALL
 ), ag AS (
   SELECT st.series, st.idx, en.field AS o, st.field AS n, count(*) AS cnt,
-    avg(CASE WHEN a.comp = b.comp OR starts_with(a.comp, b.comp || '-') OR starts_with(b.comp, a.comp || '-') THEN 1.0 ELSE 0.0 END) AS agree
+    avg(CASE WHEN regexp_replace(a.comp, '^(mc-[0-9]+)-alt[0-9]*$', '\\1') = regexp_replace(b.comp, '^(mc-[0-9]+)-alt[0-9]*$', '\\1') THEN 1.0 ELSE 0.0 END) AS agree
   FROM st JOIN en USING (series, idx) JOIN c a ON a.series = st.series AND a.idx = st.idx - 1 AND a.field = en.field
   JOIN c b ON b.series = st.series AND b.idx = st.idx AND b.field = st.field AND b.rk = a.rk GROUP BY 1, 2, 3, 4
 ), r1 AS (SELECT *, row_number() OVER (PARTITION BY series, idx, o ORDER BY agree DESC, cnt DESC, o, n) AS r FROM ag WHERE agree >= 0.95
