@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgrid.sources.staging import stage
+from loomgrid.sources.staging import release, stage
+
+PER_TASK = 50_000  # rows of one key that a task takes
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ def tiers(fields: int, near: Nearness) -> list[Tier]:
     than that, one shingle agrees as a whole.
     """
     out, low, last = [], 0, 2 * (fields - near.common)
-    for size in (3, 2, 1):
+    for size in (4, 3, 2, 1):
         high = low - 1
         while high < last and fields - near.needed(max(near.common, fields - high - 1)) < fields // size:
             high += 1
@@ -124,7 +126,7 @@ def near_pairs(index: DataFrame, probes: DataFrame, fields: int, near: Nearness
     g = fields
     held, asked = stage(_prepared(index, g, near), "held"), stage(_prepared(probes, g, near), "asked")
     n_words = len(range(0, g, 16))
-    found = None
+    found: list[DataFrame] = []
     for tier in tiers(g, near):
         heavy = -(-tier.low // 2)  # of two vectors that lack tier.low fields, one lacks half
         sides = [(F.lit(True), F.lit(True))] if tier.low == 0 else [(F.col("lacks") >= heavy, F.lit(True)), (F.col("lacks") < heavy, F.col("lacks") >= heavy)]
@@ -136,30 +138,51 @@ def near_pairs(index: DataFrame, probes: DataFrame, fields: int, near: Nearness
             left = held.filter(of_index & fits).select("vec_id", "lacks", *[f"sig{k}" for k in range(n_words)], F.explode(_shingles(g, tier.size, False)).alias("key"))
             right = asked.filter(of_probes & fits).select("vec_id", "lacks", *[f"ask{k}" for k in range(n_words)], F.explode(_shingles(g, tier.size, True)).alias("key"))
             # written tier by tier, which keeps each plan small
-            hits = stage(_probe(left, right, tier, g, n_words, near).distinct(), "hits")
-            found = hits if found is None else found.unionByName(hits)
-    candidates = found.distinct()
+            found.append(stage(_probe(left, right, tier, g, n_words, near).distinct(), "hits"))
+    candidates = found[0]
+    for hits in found[1:]:
+        candidates = candidates.unionByName(hits)
+    candidates = candidates.distinct()
     a = held.select(F.col("vec_id").alias("index_id"), F.col("vals").alias("a"))
     b = asked.select(F.col("vec_id").alias("probe_id"), F.col("vals").alias("b"))
     both = candidates.join(a, "index_id").join(b, "probe_id")
     apart = F.filter(F.zip_with("a", "b", lambda x, y: F.round(F.abs(x - y), 5)), lambda x: x.isNotNull())
     both = both.select("index_id", "probe_id", apart.alias("apart"))
     k, agree = F.size("apart"), F.size(F.filter("apart", lambda x: x <= near.tolerance))
-    return both.filter((k >= near.common) & (agree * near.den >= k * near.num)).select("index_id", "probe_id")
+    pairs = stage(both.filter((k >= near.common) & (agree * near.den >= k * near.num)).select("index_id", "probe_id"), "near")
+    for done in (held, asked, *found):
+        release(done)
+    return pairs
+
+
+def split_by_load(left: DataFrame, right: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_task``, to be joined on key and task: a key of many right rows is shared out over tasks.
+
+    The right rows of such a key are dealt by the hash of ``spread`` and the
+    left ones are repeated for each task; other keys have one task.
+    """
+    heavy = right.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > PER_TASK).select(key, F.ceil(F.col("_n") / PER_TASK).cast("int").alias("_tasks"))
+    tasks = F.coalesce("_tasks", F.lit(1))
+    left = left.join(heavy, key, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
+    right = right.join(heavy, key, "left").withColumn("_task", F.pmod(F.xxhash64(spread), tasks).cast("int")).drop("_tasks")
+    return left, right
 
 
 def _probe(left: DataFrame, right: DataFrame, tier: Tier, g: int, n_words: int, near: Nearness) -> DataFrame:
     """Pairs of one tier that pass all filters; a pair may come more than once."""
+    # a probe's key that no indexed vector has finds nothing and is not counted
+    right = right.join(left.select("key").distinct(), "key", "left_semi")
     # rarity of a shingle is how often it is probed; an index key that no probe has finds nothing
     rarity = right.groupBy("key").agg(F.count("*").alias("often"))
     order = W.partitionBy("vec_id").orderBy("often", "key")
     spoilt = g - near.needed(max(near.common, g - tier.high))
     left = left.join(rarity, "key", "left").withColumn("position", F.row_number().over(order)).filter((F.col("position") <= F.lit(spoilt + 1) - F.col("lacks")) & F.col("often").isNotNull())
+    left, right = split_by_load(left, right, "key", "vec_id")
     i, p = left.alias("i"), right.alias("p")
     lack = F.col("i.lacks") + F.col("p.lacks")
     least = near.needed_col(F.greatest(F.lit(near.common), F.lit(g) - lack))
     shared = sum((F.bit_count(F.col(f"i.sig{k}").bitwiseAND(F.col(f"p.ask{k}"))) for k in range(n_words)), F.lit(0))
-    on = (F.col("i.key") == F.col("p.key")) & lack.between(tier.low, tier.high) & (F.col("i.position") <= F.lit(g) - least - F.col("i.lacks") + 1) & (shared >= least)
+    on = (F.col("i.key") == F.col("p.key")) & (F.col("i._task") == F.col("p._task")) & lack.between(tier.low, tier.high) & (F.col("i.position") <= F.lit(g) - least - F.col("i.lacks") + 1) & (shared >= least)
     return i.join(p, on).select(F.col("i.vec_id").alias("index_id"), F.col("p.vec_id").alias("probe_id"))
 
 
@@ -191,7 +214,8 @@ def cross_split_overlaps(sides: DataFrame, groups: DataFrame, vectors: DataFrame
 
     ties = groups.select("entity", "group_entity")
     e, t = held.join(ties, "entity").select(F.col("entity").alias("e"), "group_entity"), train.join(ties, "entity").select(F.col("entity").alias("t"), "group_entity")
-    tied = e.join(t, "group_entity").filter("e <> t")
+    e, t = split_by_load(e, t, "group_entity", "t")
+    tied = e.join(t, ["group_entity", "_task"]).filter("e <> t")
 
     numbers = [F.when(~F.isnan(F.col(n)), F.col(n)).cast("double") for n in names]
     rows = vectors.filter(F.col("entity").isNotNull()).select("entity", F.array(*numbers).alias("vals"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from loomgrid.llm import overlap
 from loomgrid.llm.overlap import Nearness, cross_split_overlaps, near_pairs, split_sides, tiers
 
 G = 30
@@ -67,6 +68,20 @@ def test_equal_vectors_of_many(spark):
     assert cross_split_overlaps(sides, groups, vectors, NAMES).count() == 108
 
 
+def test_a_hot_key_is_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PER_TASK", 7)
+    v = [float(i) for i in range(G)]
+    index = [[x + 0.001 * i for x in v] for i in range(20)]
+    probes = [[x - 0.001 * i for x in v] for i in range(30)]
+    frame = lambda vs: spark.createDataFrame([(str(i), x) for i, x in enumerate(vs)], "vec_id string, vals array<double>")
+    got = {(int(r[0]), int(r[1])) for r in near_pairs(frame(index), frame(probes), G).collect()}
+    assert got == {(i, j) for i, a in enumerate(index) for j, b in enumerate(probes) if near(a, b)}
+    sides = split_sides(spark.createDataFrame([(f"m{i:02d}", "train" if i % 3 else "val") for i in range(40)], "m string, s string"), "m", "s")
+    groups = spark.createDataFrame([(f"m{i:02d}", "m00") for i in range(40)], "entity string, group_entity string")
+    found = cross_split_overlaps(sides, groups, spark.createDataFrame([], f"entity string, {FIELDS}"), NAMES)
+    assert found.count() == 14 * 26
+
+
 def test_empty_tables(spark):
     sides = split_sides(spark.createDataFrame([], "m string, s string"), "m", "s")
     groups = spark.createDataFrame([], "entity string, group_entity string")
