@@ -55,15 +55,25 @@ def moments(samples: DataFrame) -> dict[int, Moments]:
             yield pd.DataFrame({"fold": fold, "i": np.arange(p + 1), "row": list(g)})
 
     rows = samples.select("fold", "x", "y").mapInPandas(partial, "fold int, i int, row array<double>")
-    long = rows.select("fold", "i", F.posexplode("row").alias("j", "v")).groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    long = _added(rows, ["fold", "i"]).toPandas()
     out = {}
     for fold, g in long.groupby("fold"):
         m = np.zeros((p + 1, 1 + p + t))
-        m[g["i"], g["j"]] = g["v"]
+        m[g["i"].to_numpy()] = np.vstack(g["row"].to_numpy())
         out[int(fold)] = Moments(m[0, 0], m[0, 1 : p + 1], m[0, p + 1 :], m[1:, 1 : p + 1], m[1:, p + 1 :])
     return out
 
 
+def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Arrays of equal keys added up, a row of each partial sum at a time; numbers travel packed."""
+    schema = ", ".join([f"{k} int" for k in keys] + ["row array<double>"])
+
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({k: [v] for k, v in zip(keys, key)} | {"row": [np.vstack(part["row"].to_numpy()).sum(axis=0)]})
+
+    return rows.groupBy(*keys).applyInPandas(add, schema)
+
+
 def sample_gram(feature_rows: DataFrame) -> np.ndarray:
     """Samples x samples products summed over features: ``feature_rows`` has ``v array<double>``, a value per sample.
 
@@ -80,12 +90,8 @@ def sample_gram(feature_rows: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
 
     rows = feature_rows.select("v").mapInPandas(partial, "i int, row array<double>")
-    long = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    n = int(long["i"].max()) + 1 if len(long) else 0
-    out = np.zeros((n, n))
-    if n:
-        out[long["i"], long["j"]] = long["v"]
-    return out
+    long = _added(rows, ["i"]).toPandas().sort_values("i")
+    return np.vstack(long["row"].to_numpy()) if len(long) else np.zeros((0, 0))
 
 
 @dataclass
@@ -166,8 +172,34 @@ def _projected_moments(z: pd.DataFrame) -> dict[int, Moments]:
     return out
 
 
+@dataclass
+class Factor:
+    """A ridge fit before alpha is chosen: what all alphas share, as large as one of them."""
+
+    centre: np.ndarray
+    y_mean: np.ndarray
+    values: np.ndarray
+    vectors: np.ndarray
+    inner: np.ndarray
+
+    def at(self, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients and intercept in projected space."""
+        coef = self.vectors @ (self.inner / (self.values + alpha)[:, None])
+        return coef, self.y_mean - self.centre @ coef
+
+    def predictions(self, z: np.ndarray, alphas: list[float]) -> Iterator[tuple[float, np.ndarray]]:
+        turned = (z - self.centre) @ self.vectors
+        for a in alphas:
+            yield a, (turned / (self.values + a)) @ self.inner + self.y_mean
+
+
 def fit_ridge(m: Moments, proj: Projection, alphas: list[float]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
-    """Coefficients and intercepts in projected space, unpenalised intercept; one factorisation for all alphas."""
+    factor = factorise(m, proj)
+    return {a: factor.at(a) for a in alphas}
+
+
+def factorise(m: Moments, proj: Projection) -> Factor:
+    """Ridge in projected space with an unpenalised intercept; one factorisation for all alphas."""
     shift = (m.sx - m.n * proj.mean) @ proj.basis
     centre = shift / m.n
     y_mean = m.sy / m.n
@@ -175,12 +207,7 @@ def fit_ridge(m: Moments, proj: Projection, alphas: list[float]) -> dict[float,
     zz = proj.basis.T @ xx @ proj.basis - m.n * np.outer(centre, centre)
     zy = proj.basis.T @ (m.xy - np.outer(proj.mean, m.sy)) - m.n * np.outer(centre, y_mean)
     values, vectors = np.linalg.eigh(zz)
-    inner = vectors.T @ zy
-    out = {}
-    for a in alphas:
-        coef = vectors @ (inner / (np.maximum(values, 0) + a)[:, None])
-        out[a] = (coef, y_mean - centre @ coef)
-    return out
+    return Factor(centre, y_mean, np.maximum(values, 0), vectors, vectors.T @ zy)
 
 
 def effective_df(variance: np.ndarray, n: float, alpha: float) -> float:
@@ -188,18 +215,24 @@ def effective_df(variance: np.ndarray, n: float, alpha: float) -> float:
     return float((lam / (lam + alpha)).sum())
 
 
-def predict(samples: DataFrame, models: dict[int, tuple[Projection, dict[float, tuple[np.ndarray, np.ndarray]]]]) -> DataFrame:
-    """``row_key, alpha, fold, pos, pred``: each row by the model of its fold, for every alpha."""
+def predict(samples: DataFrame, models: dict[int, tuple]) -> DataFrame:
+    """``row_key, alpha, fold, pos, pred``: each row by the model of its fold, for every alpha.
+
+    A model is a projection with the coefficients and intercept of each alpha,
+    or with a :class:`Factor` and the alphas, from which workers make them.
+    """
+    shared = samples.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for fold, rows in b.groupby("fold"):
-                if int(fold) not in models:
+                if int(fold) not in shared.value:
                     continue
-                proj, by_alpha = models[int(fold)]
+                proj, *fit = shared.value[int(fold)]
                 z = (np.vstack(rows["x"].to_numpy()) - proj.mean) @ proj.basis
-                for a, (coef, icept) in by_alpha.items():
-                    yield pd.DataFrame({"row_key": rows["row_key"], "fold": rows["fold"], "alpha": a, "preds": list(z @ coef + icept)})
+                made = fit[0].predictions(z, fit[1]) if len(fit) == 2 else ((a, z @ coef + icept) for a, (coef, icept) in fit[0].items())
+                for a, p in made:
+                    yield pd.DataFrame({"row_key": rows["row_key"], "fold": rows["fold"], "alpha": a, "preds": list(p)})
 
     out = samples.select("row_key", "fold", "x").mapInPandas(run, "row_key string, fold int, alpha double, preds array<double>")
     return out.select("row_key", "fold", "alpha", F.posexplode("preds").alias("pos", "pred"))
@@ -215,6 +248,34 @@ class RidgeFit:
     intercept: np.ndarray
 
 
+def _projected(train: DataFrame, components: int | None) -> tuple[DataFrame, Projection, Projection, dict[int, Moments]]:
+    """The training rows in the space in which they are fitted, the projection to it, the one within it, and moments by fold."""
+    size = train.agg(F.count("*").alias("n"), F.count_distinct("row_key").alias("keys"), F.max(F.size("x")).alias("p")).first()
+    if not size["n"] or not size["p"] > size["n"] == size["keys"]:
+        by_fold = moments(train)
+        proj = fit_projection(sum(list(by_fold.values())[1:], start=next(iter(by_fold.values()))), components)
+        return train, proj, proj, by_fold
+    proj, projected = project_by_samples(train, components)
+    # the folds are fitted and scored on projected samples
+    k = proj.basis.shape[1]
+    inner = Projection(np.zeros(k), np.eye(k), proj.explained, proj.variance)
+    rows = [(r.row_key, int(r.fold), r.z.tolist()) for r in projected.itertuples()]
+    return train.sparkSession.createDataFrame(rows, "row_key string, fold int, x array<double>"), proj, inner, _projected_moments(projected)
+
+
+def ridge_by_validation(train: DataFrame, val: DataFrame, truth: DataFrame, components: int | None, alphas: list[float] = config.RIDGE_ALPHAS) -> RidgeFit:
+    """As :func:`ridge_cv`, alpha chosen by the mean rank correlation on ``val``; for scores on rows of neither."""
+    _, proj, inner, by_fold = _projected(train, components)
+    whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
+    factor = factorise(whole, inner)
+    scored = predict(val.withColumn("fold", F.lit(0)), {0: (proj, factor, alphas)}).join(truth, ["row_key", "pos"])
+    per = spearman(scored, ["alpha", "pos"]).groupBy("alpha").agg(F.avg("spearman").alias("score"))
+    table = best_alpha(per).orderBy("alpha").collect()
+    best = next(r for r in table if r["chosen"])
+    coef, icept = factor.at(best["alpha"])
+    return RidgeFit(best["alpha"], [(r["alpha"], r["score"]) for r in table], best["at_boundary"], proj, coef, icept)
+
+
 def ridge_cv(train: DataFrame, truth: DataFrame, components: int | None, alphas: list[float] = config.RIDGE_ALPHAS) -> RidgeFit:
     """Scale, project, choose alpha by the folds of ``train`` and fit on all of it.
 
@@ -224,25 +285,13 @@ def ridge_cv(train: DataFrame, truth: DataFrame, components: int | None, alphas:
     correlation; fewer than two folds give the middle alpha.  With more features
     than samples, samples squared take the place of features squared.
     """
-    size = train.agg(F.count("*").alias("n"), F.count_distinct("row_key").alias("keys"), F.max(F.size("x")).alias("p")).first()
-    if size["n"] and size["p"] > size["n"] == size["keys"]:
-        proj, projected = project_by_samples(train, components)
-        by_fold = _projected_moments(projected)
-        # the folds are fitted and scored on projected samples
-        k = proj.basis.shape[1]
-        inner = Projection(np.zeros(k), np.eye(k), proj.explained, proj.variance)
-        rows = [(r.row_key, int(r.fold), r.z.tolist()) for r in projected.itertuples()]
-        train = train.sparkSession.createDataFrame(rows, "row_key string, fold int, x array<double>")
-        whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
-    else:
-        by_fold = moments(train)
-        whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
-        proj = inner = fit_projection(whole, components)
+    train, proj, inner, by_fold = _projected(train, components)
+    whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
     if len(by_fold) < 2:
         alpha, scores = alphas[len(alphas) // 2], []
         edge = False
     else:
-        models = {f: (inner, fit_ridge(whole - m, inner, alphas)) for f, m in by_fold.items()}
+        models = {f: (inner, factorise(whole - m, inner), alphas) for f, m in by_fold.items()}
         scored = predict(train, models).join(truth, ["row_key", "pos"])
         per = spearman(scored, ["alpha", "fold", "pos"]).groupBy("alpha", "fold").agg(F.avg("spearman").alias("score"))
         table = best_alpha(per).orderBy("alpha").collect()

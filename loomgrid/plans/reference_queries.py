@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -355,14 +357,18 @@ def standardize(spark, d):
     return baselines.standardize(own).select("row_key", "col_key", (r6("scaled") + 0.0).alias("scaled"))
 
 
-def _samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Samples with imputed features and targets, split and fold; and the raw targets."""
-    x = baselines.impute_train_mean(_expression_split(spark, d))
+def _samples(spark: SparkSession, d: str, features: str = "expression") -> tuple[DataFrame, DataFrame]:
+    """Samples with features (imputed expression, or embeddings as they are) and targets, split and fold; and the raw targets."""
     effects = stage(inputs.effect_cells(spark, d), "effects")
     chosen = cells.selective(cells.target_statistics(effects, effects.select("row_key").distinct().count())).select("col_key")
     raw = stage(baselines.with_split(effects, inputs.splits(spark, d)).join(chosen, "col_key", "left_semi"), "targets")
-    keep = F.array_sort(F.collect_list(F.struct(F.col("col_key").cast("long").alias("k"), F.col("imputed").alias("v"))))
-    xs = x.groupBy("row_key", "split").agg(F.transform(keep, lambda s: s["v"]).alias("x"))
+    if features == "embeddings":
+        vectors = table(spark, d, "embeddings").select(F.format_string("ACH-%06d", F.col("vec_id")).alias("row_key"), F.col("embedding").cast("array<double>").alias("x"))
+        xs = baselines.with_split(vectors, inputs.splits(spark, d)).select("row_key", "split", "x")
+    else:
+        x = baselines.impute_train_mean(_expression_split(spark, d))
+        keep = F.array_sort(F.collect_list(F.struct(F.col("col_key").cast("long").alias("k"), F.col("imputed").alias("v"))))
+        xs = x.groupBy("row_key", "split").agg(F.transform(keep, lambda s: s["v"]).alias("x"))
     targets = [r[0] for r in raw.select("col_key").distinct().orderBy(F.col("col_key").cast("long")).collect()]  # the selected targets, as the model has them
     position = F.array_position(F.array(*map(F.lit, targets)), F.col("col_key")).cast("int") - 1
     truth = raw.select("row_key", "split", position.alias("pos"), F.col("value").alias("truth"))
@@ -421,13 +427,17 @@ def alpha_select(spark, d):
     return metrics.best_alpha(scored.select("alpha", F.col("r2").alias("score"))).select("alpha", r6("score"), "chosen", "at_boundary")
 
 
-def _head(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """One row of scores of a cross-validated head on held-out samples."""
+def _head(spark: SparkSession, d: str, kind: str, features: str, split: str = "val") -> DataFrame:
+    """One row of scores of a head on the lines of a split.
+
+    For ``test``, alpha is chosen on the lines of ``val`` if there are five, else
+    and for ``val`` itself by grouped folds of the training lines.
+    """
     from loomgrid.operators import linear
 
-    samples, truth = _samples(spark, d)
+    samples, truth = _samples(spark, d, features)
     truth = truth.select("row_key", "pos", "truth")
-    train, held = samples.filter("split = 'train'"), samples.filter("split <> 'train'")
+    train, val, held = (samples.filter(F.col("split") == s) for s in ("train", "val", split))
     schema = "head string, alpha double, at_boundary boolean, n_targets long, spearman_mean double, r2_mean double"
     if not baselines.task_available(train.count(), held.count()):
         return spark.createDataFrame([], schema)
@@ -435,7 +445,11 @@ def _head(spark: SparkSession, d: str, kind: str) -> DataFrame:
         fit = linear.mlp_cv(train, truth)
         preds = linear.predict_mlp(held, fit)
     else:
-        fit = linear.ridge_cv(train, truth, config.PCA_COMPONENTS if kind == "ridge_pca" else None)
+        components = config.PCA_COMPONENTS if kind == "ridge_pca" else None
+        if split == "test" and val.count() >= config.MIN_EVAL_ROWS:
+            fit = linear.ridge_by_validation(train, val, truth, components)
+        else:
+            fit = linear.ridge_cv(train, truth, components)
         preds = linear.predict(held.withColumn("fold", F.lit(0)), {0: (fit.projection, {fit.alpha: (fit.coef, fit.intercept)})})
     scored = stage(preds.join(truth, ["row_key", "pos"]).select("pos", "truth", "pred"), "scored")
     both = metrics.spearman(scored, ["pos"]).drop("n").join(metrics.r_squared(scored, ["pos"]).drop("n"), "pos")
@@ -445,17 +459,35 @@ def _head(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 @query
 def ridge_pca_cv(spark, d):
-    return _head(spark, d, "ridge_pca")
+    return _head(spark, d, "ridge_pca", "expression")
+
+
+@query
+def ridge_pca_test(spark, d):
+    return _head(spark, d, "ridge_pca", "expression", "test")
 
 
 @query
 def ridge_head_cv(spark, d):
-    return _head(spark, d, "ridge")
+    return _head(spark, d, "ridge", "embeddings")
 
 
 @query
 def mlp_head_cv(spark, d):
-    return _head(spark, d, "mlp")
+    return _head(spark, d, "mlp", "embeddings")
+
+
+@query
+def results_document(spark, d):
+    """Scores of the mean models as a document that is written, read and compared."""
+    from loomgrid.sources import matrix_io
+    from loomgrid.sources.staging import shared_dir
+
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}.json"
+    scores = [r.asDict() for r in metrics.summary(_scores(spark, d), "score", ["model", "metric"]).orderBy("model", "metric").collect()]  # a row per model and metric
+    matrix_io.save_json(spark, {"split": "val and test", "results": scores}, path)
+    back = spark.read.option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+    return back.select("model", "metric", "mean", "n_scored", "n_undefined")
 
 
 # --- counts, reports, checks ------------------------------------------------------

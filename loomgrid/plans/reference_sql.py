@@ -120,6 +120,7 @@ put("lineage_mean_spearman", ["rho"], "SELECT e AS target, n, round(rho, 6) + 0.
 put("global_mean_r2", ["r2"], "SELECT e AS target, n, round(r2, 6) + 0.0 AS r2 FROM r2 WHERE model = 'global_mean'")
 put("lineage_mean_r2", ["r2"], "SELECT e AS target, n, round(r2, 6) + 0.0 AS r2 FROM r2 WHERE model = 'lineage_mean'")
 put("metric_summary", ["summ"], "SELECT * FROM summ")
+put("results_document", ["summ"], "SELECT model, metric, mean, n_scored, n_undefined FROM summ")
 put("model_deltas", ["summ"], """SELECT a.metric AS task, a.model, b.model AS reference, round(a.mean - b.mean, 4) AS delta,
   CASE WHEN round(a.mean - b.mean, 4) > 0.01 THEN 'better' WHEN round(a.mean - b.mean, 4) < -0.01 THEN 'worse' WHEN a.mean - b.mean IS NOT NULL THEN 'same' END AS verdict
   FROM summ a JOIN summ b ON a.metric = b.metric AND a.model = 'lineage_mean' AND b.model = 'global_mean'""")

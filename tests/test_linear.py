@@ -74,6 +74,22 @@ def test_cross_validation_picks_a_sensible_alpha(spark):
     assert linear.ridge_cv(one, long_truth(df), None, [1.0, 2.0, 3.0]).alpha == 2.0
 
 
+def test_alpha_by_validation(spark):
+    x, y = data(n=90)
+    df = frame(spark, x, y)
+    train, val = df.filter("fold <> 2"), df.filter("fold = 2")
+    fit = linear.ridge_by_validation(train, val, long_truth(df), None, [0.1, 1e6])
+    assert fit.alpha == 0.1 and len(fit.scores) == 2
+    rest = np.arange(90) % 3 != 2
+    proj = linear.fit_projection(linear.moments(train.withColumn("fold", F.lit(0)))[0], None)
+    coef, icept = closed((x[rest] - proj.mean) @ proj.basis, y[rest], 0.1)
+    assert np.allclose(fit.coef, coef) and np.allclose(fit.intercept, icept)
+    factor = linear.factorise(linear.moments(train.withColumn("fold", F.lit(0)))[0], proj)
+    for a, p in factor.predictions((x - proj.mean) @ proj.basis, [0.1, 1e6]):
+        coef, icept = factor.at(a)
+        assert np.allclose(p, (x - proj.mean) @ proj.basis @ coef + icept)
+
+
 def test_best_alpha_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([(1.0, 0.5), (2.0, 0.5), (3.0, None)], "alpha double, score double")
     assert [(r["alpha"], r["at_boundary"]) for r in linear.best_alpha(df).filter("chosen").collect()] == [(1.0, True)]
