@@ -541,12 +541,34 @@ def quality_checks(spark, d):
     return out.select("name", "severity", "passed", "detail")
 
 
+def _sections(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The figures of each step of a build, a row each."""
+    effects, meta, space = stage(inputs.effect_cells(spark, d), "effects"), inputs.metadata(spark, d), stage(_space(spark, d), "space")
+    lines = shared_samples(spark, d)
+    keyword = cells.keyword_mask("small cell", F.col("disease"), F.col("subtype"))
+    zero = cells.all_zero_columns(inputs.expression_cells(spark, d))
+    chosen = cells.selective(cells.target_statistics(effects, effects.select("row_key").distinct().count()))
+    return {
+        "01_expression": default_profile_filter(spark, d),
+        "02_effects": effects.agg(F.countDistinct("row_key").alias("n_lines"), F.countDistinct("col_key").alias("n_genes"), F.count("value").alias("n_values")),
+        "03_metadata": meta.agg(F.count("*").alias("n_models"), F.count("patient_id").alias("n_with_donor"), F.count("lineage").alias("n_with_lineage")),
+        "04_response": spark.range(1).select(F.lit("absent").alias("status")),
+        "05_feature_space": space.agg(F.count("*").alias("n_shared"), F.count_if("conflict").alias("n_conflicts")),
+        "06_expression_features": zero.agg(F.count("*").alias("n_all_zero")),
+        "07_selective_targets": selective_report(spark, d),
+        "08_intersection": three_way_intersection(spark, d),
+        "09_disease": meta.filter(keyword).agg(F.count("*").alias("n_models"), F.countDistinct("lineage").alias("n_lineages")),
+        "10_final": lines.agg(F.count("*").alias("n_lines")).select("n_lines", F.lit(space.count()).alias("n_features"), F.lit(chosen.count()).alias("n_targets")),
+    }
+
+
 @query
 def audit_report(spark, d):
-    parts = [
-        report.as_section("default_profiles", default_profile_filter(spark, d)), report.as_section("intersection", three_way_intersection(spark, d)), report.as_section("selective_targets", selective_report(spark, d)),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = None
+    for name, figures in _sections(spark, d).items():
+        part = report.as_section(name, figures)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query

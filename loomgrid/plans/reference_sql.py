@@ -222,7 +222,19 @@ SQL["schema_peek"] = """WITH c AS (SELECT column_name, row_number() OVER () AS i
   ), k AS (SELECT ty, count(*) AS k FROM c GROUP BY ty)
   SELECT max(n)::INT AS n_columns, string_agg(column_name, ', ' ORDER BY i) FILTER (i <= 5) AS first_columns, string_agg(column_name, ', ' ORDER BY i) FILTER (i > n - 3) AS last_columns,
     (SELECT string_agg(ty || '=' || k, '; ' ORDER BY ty) FROM k) AS dtypes FROM c"""
-SQL["audit_report"] = "SELECT 'default_profiles' AS section, key, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM (" + SQL["default_profile_filter"] + ")) ON COLUMNS(*) INTO NAME key VALUE value) UNION ALL SELECT 'intersection', key, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM (" + SQL["three_way_intersection"] + ")) ON COLUMNS(*) INTO NAME key VALUE value) UNION ALL SELECT 'selective_targets', key, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM (" + SQL["selective_report"] + ")) ON COLUMNS(*) INTO NAME key VALUE value)"
+_SECTIONS = {
+    "01_expression": SQL["default_profile_filter"],
+    "02_effects": with_ctes(["eff"], "SELECT count(DISTINCT m) AS n_lines, count(DISTINCT e) AS n_genes, count(v) AS n_values FROM eff"),
+    "03_metadata": with_ctes(["meta"], "SELECT count(*) AS n_models, count(p) AS n_with_donor, count(l) AS n_with_lineage FROM meta"),
+    "04_response": "SELECT 'absent' AS status",
+    "05_feature_space": with_ctes(["space"], "SELECT count(*) AS n_shared, 0 AS n_conflicts FROM space"),
+    "06_expression_features": with_ctes(["expr"], "SELECT count(*) AS n_all_zero FROM (SELECT e FROM expr GROUP BY e HAVING count(*) FILTER (v <> 0) = 0)"),
+    "07_selective_targets": SQL["selective_report"],
+    "08_intersection": SQL["three_way_intersection"],
+    "09_disease": with_ctes(["meta"], f"SELECT count(*) AS n_models, count(DISTINCT l) AS n_lineages FROM meta WHERE {_SMALL}"),
+    "10_final": with_ctes(["prof", "eff", "meta", "space", "sel"], "SELECT (SELECT count(*) FROM (SELECT m FROM meta SEMI JOIN prof USING (m) SEMI JOIN eff USING (m))) AS n_lines, (SELECT count(*) FROM space) AS n_features, (SELECT count(*) FROM sel) AS n_targets"),
+}
+SQL["audit_report"] = " UNION ALL ".join(f"SELECT '{name}' AS section, key, value FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM ({body})) ON COLUMNS(*) INTO NAME key VALUE value)" for name, body in _SECTIONS.items())
 
 
 def _check(name: str, severity: str, source: str, test: str, detail: str = "n") -> str:

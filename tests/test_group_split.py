@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -67,3 +69,12 @@ def test_folds_agree_with_a_loop(spark):
         load[f] += s
         want[g] = f
     assert got == want
+
+
+def test_a_sound_assignment_is_verified_and_another_refused(spark):
+    schema = "model_id string, grp string, split string"
+    good = [("a", "g", "train"), ("b", "g", "train"), ("c", "h", "val"), ("d", "i", "test")]
+    assert group_split.verify_splits(spark.createDataFrame(good, schema))["split_sizes"] == {"train": 2, "val": 1, "test": 1}
+    for bad, what in (([*good, ("a", "g", "train")], "repeated"), ([*good, ("e", "j", "hold")], "known split"), ([*good, ("e", "h", "test")], "several splits"), (good[:3], "empty: test")):
+        with pytest.raises(ValueError, match=what):
+            group_split.verify_splits(spark.createDataFrame(bad, schema))
