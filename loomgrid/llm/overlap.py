@@ -170,19 +170,17 @@ def split_by_load(left: DataFrame, right: DataFrame, key: str, spread: str) -> t
 
 def _probe(left: DataFrame, right: DataFrame, tier: Tier, g: int, n_words: int, near: Nearness) -> DataFrame:
     """Pairs of one tier that pass all filters; a pair may come more than once."""
-    # a probe's key that no indexed vector has finds nothing and is not counted
-    right = right.join(left.select("key").distinct(), "key", "left_semi")
     # rarity of a shingle is how often it is probed; an index key that no probe has finds nothing
     rarity = right.groupBy("key").agg(F.count("*").alias("often"))
     order = W.partitionBy("vec_id").orderBy("often", "key")
     spoilt = g - near.needed(max(near.common, g - tier.high))
     left = left.join(rarity, "key", "left").withColumn("position", F.row_number().over(order)).filter((F.col("position") <= F.lit(spoilt + 1) - F.col("lacks")) & F.col("often").isNotNull())
-    left, right = split_by_load(left, right, "key", "vec_id")
+    # probes come by key once, for the count and for the join; a key of too many is split by the adaptive skew join
     i, p = left.alias("i"), right.alias("p")
     lack = F.col("i.lacks") + F.col("p.lacks")
     least = near.needed_col(F.greatest(F.lit(near.common), F.lit(g) - lack))
     shared = sum((F.bit_count(F.col(f"i.sig{k}").bitwiseAND(F.col(f"p.ask{k}"))) for k in range(n_words)), F.lit(0))
-    on = (F.col("i.key") == F.col("p.key")) & (F.col("i._task") == F.col("p._task")) & lack.between(tier.low, tier.high) & (F.col("i.position") <= F.lit(g) - least - F.col("i.lacks") + 1) & (shared >= least)
+    on = (F.col("i.key") == F.col("p.key")) & lack.between(tier.low, tier.high) & (F.col("i.position") <= F.lit(g) - least - F.col("i.lacks") + 1) & (shared >= least)
     return i.join(p, on).select(F.col("i.vec_id").alias("index_id"), F.col("p.vec_id").alias("probe_id"))
 
 
