@@ -210,14 +210,16 @@ def fill_missing(rows: DataFrame, row_id: str, fields: list[Field], group: Colum
     NULL group is a group of its own.  Where no row has any value the fill stays
     NULL: the value is marked as missing, but it has not been filled.
     ``row_id`` must tell rows apart; equal rows with different ids each stay.
-    ``context`` fields help the mixture and are not filled.
+    ``context`` fields help the mixture and are not filled.  A column that has the
+    name of one that is made here is a ValueError.
     """
     every = [*fields, *context]
     cat = [f.name for f in every if not f.numeric]
     num = [f.name for f in every if f.numeric]
     clean = {f.name: f.clean for f in every}
     taken = {c.lower() for c in rows.columns}
-    clash = [c for f in fields for c in (f"{f.name}_filled", f"{f.name}_was_missing") if c.lower() in taken]
+    made = ["_group", "_salt", *[c for f in fields for c in (f"{f.name}_filled", f"{f.name}_was_missing", f"_f_{f.name}")]]
+    clash = [c for c in made if c.lower() in taken]
     if clash:
         raise ValueError(f"columns already exist: {clash}")
     key = F.coalesce(group.cast("string"), F.concat(F.lit("\x00"), F.col(row_id).cast("string")))

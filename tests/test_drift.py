@@ -104,3 +104,12 @@ def test_unified_table_keeps_records_without_fields(spark):
     # also where no record has a field
     drift = schema_drift(deliver(spark, {("s", 1): ["broken", "{}"]}))
     assert [(r["raw_id"], r["unreadable"]) for r in unified_table(drift, alias_table(drift)).orderBy("raw_id").collect()] == [(1, True), (2, False)]
+
+
+def test_spellings_that_count_as_equal_are_declared(spark):
+    old = [(i, "s", 1, "a", f'{{"key": "k{i}", "cond": "MC-{i:06d}"}}') for i in range(20)]
+    new = [(100 + i, "s", 2, "b", f'{{"key": "k{i}", "condition": "MC-{i:06d}-alt{i % 3}"}}') for i in range(20)]
+    raw = spark.createDataFrame(old + new, "raw_id long, series string, seq int, file_name string, record_text string")
+    kinds = lambda **kw: sorted((r["field_name"], r["change_kind"]) for r in schema_drift(raw, **kw).changes.collect())
+    assert kinds() == [("cond", "removed"), ("condition", "added")]
+    assert kinds(normal=lambda c: F.regexp_replace(c, "-alt[0-9]*$", "")) == [("condition", "renamed")]

@@ -122,6 +122,8 @@ def test_clashing_names_are_refused_and_others_kept(spark):
     df = spark.createDataFrame([(1, "d", "F", 1.0)], SCHEMA)
     with pytest.raises(ValueError):
         fill_missing(df.withColumn("SEX_FILLED", F.lit(1)), "row_id", fields(), F.col("donor"))
+    with pytest.raises(ValueError):
+        fill_missing(df.withColumn("_group", F.lit(1)), "row_id", fields(), F.col("donor"))
     assert "other" in fill_missing(df.withColumn("other", F.lit(1)), "row_id", fields(), F.col("donor")).columns
 
 
