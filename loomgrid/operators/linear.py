@@ -20,6 +20,10 @@ from loomgrid import config
 from loomgrid.operators.metrics import best_alpha, spearman
 from loomgrid.sources.staging import stage
 
+# Targets that a task scores at once, and numbers of a fold that it may hold.
+SCORED_TARGETS = 64
+SCORED_NUMBERS = 16_000_000
+
 
 @dataclass
 class Moments:
@@ -187,11 +191,18 @@ class Factor:
         coef = self.vectors @ (self.inner / (self.values + alpha)[:, None])
         return coef, self.y_mean - self.centre @ coef
 
+    def turned(self, z: np.ndarray) -> np.ndarray:
+        return (z - self.centre) @ self.vectors
+
     def predictions(self, z: np.ndarray, alphas: list[float]) -> Iterator[tuple[float, np.ndarray]]:
-        turned = (z - self.centre) @ self.vectors
+        turned = self.turned(z)
         for a in alphas:
             yield a, (turned / (self.values + a)) @ self.inner + self.y_mean
 
+    def of_target(self, turned: np.ndarray, j: int, alphas: list[float]) -> np.ndarray:
+        """Predictions of one target, a column for each alpha."""
+        return turned @ (self.inner[:, j, None] / (self.values[:, None] + np.array(alphas))) + self.y_mean[j]
+
 
 def fit_ridge(m: Moments, proj: Projection, alphas: list[float]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
     factor = factorise(m, proj)
@@ -238,6 +249,73 @@ def predict(samples: DataFrame, models: dict[int, tuple]) -> DataFrame:
     return out.select("row_key", "fold", "alpha", F.posexplode("preds").alias("pos", "pred"))
 
 
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties get their average."""
+    order = np.argsort(v)
+    ordered = v[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    counts = np.diff(np.r_[starts, len(v)])
+    out = np.empty(len(v))
+    out[order] = np.repeat(starts + (counts + 1) / 2, counts)
+    return out
+
+
+def rank_correlation(truth: np.ndarray, pred: np.ndarray, least: int = config.MIN_PAIRS) -> float:
+    """As :func:`spearman` for the pairs of one target: NaN stands for its NULL."""
+    ok = np.isfinite(truth) & np.isfinite(pred)
+    truth, pred = truth[ok], pred[ok]
+    if len(truth) < max(least, 1) or truth.min() == truth.max() or pred.min() == pred.max():
+        return np.nan
+    a, b = _ranks(truth), _ranks(pred)
+    a, b = a - a.mean(), b - b.mean()
+    return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+
+def alpha_scores(samples: DataFrame, truth: DataFrame, models: dict[int, tuple[Projection, Factor, list[float]]]) -> DataFrame:
+    """``alpha, fold, pos, spearman``: the rank correlations of each row's prediction by the model of its fold, for every alpha.
+
+    Predictions are made where they are ranked: a projected sample is shuffled
+    for each block of targets, not a row for each alpha and target.  A task holds
+    a fold and a block; folds too large for that are ranked by Spark's sort.
+    """
+    largest = samples.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
+    k, t = next(iter(models.values()))[1].inner.shape
+    width = min(SCORED_TARGETS, SCORED_NUMBERS // max(largest, 1) - k)
+    if width < 1:
+        return spearman(predict(samples, models).join(truth, ["row_key", "pos"]), ["alpha", "fold", "pos"]).drop("n")
+    shared = samples.sparkSession.sparkContext.broadcast(models)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for fold, rows in b.groupby("fold"):
+                if int(fold) not in shared.value:
+                    continue
+                proj, factor, _ = shared.value[int(fold)]
+                z = factor.turned((np.vstack(rows["x"].to_numpy()) - proj.mean) @ proj.basis)
+                dense = np.full((len(rows), t), np.nan)
+                dense[np.repeat(np.arange(len(rows)), rows["pos"].map(len)), np.concatenate(rows["pos"].to_numpy())] = np.concatenate(rows["truth"].to_numpy())
+                for block, at in enumerate(range(0, t, width)):
+                    yield pd.DataFrame({"fold": rows["fold"].to_numpy(), "block": block, "z": list(z), "truth": list(dense[:, at : at + width])})
+
+    def score(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        fold, block = key
+        _, factor, alphas = shared.value[int(fold)]
+        z, own = np.vstack(part["z"].to_numpy()), np.vstack(part["truth"].to_numpy())
+        out = []
+        for j in range(own.shape[1]):
+            ok, pos = np.isfinite(own[:, j]), block * width + j
+            preds = factor.of_target(z[ok], pos, alphas)
+            out += [(a, fold, pos, rank_correlation(own[ok, j], preds[:, i])) for i, a in enumerate(alphas)]
+        return pd.DataFrame(out, columns=["alpha", "fold", "pos", "spearman"])
+
+    cell = F.struct("pos", F.coalesce(F.col("truth").cast("double"), F.lit(float("nan"))).alias("truth"))
+    cells = truth.groupBy("row_key").agg(F.collect_list(cell).alias("c")).select("row_key", "c.pos", "c.truth")
+    held = samples.select("row_key", "fold", "x").join(cells, "row_key").select("fold", "x", "pos", "truth")
+    blocks = held.mapInPandas(spread, "fold int, block int, z array<double>, truth array<double>")
+    out = blocks.groupBy("fold", "block").applyInPandas(score, "alpha double, fold int, pos int, spearman double")
+    return out.withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
+
+
 @dataclass
 class RidgeFit:
     alpha: float
@@ -268,8 +346,7 @@ def ridge_by_validation(train: DataFrame, val: DataFrame, truth: DataFrame, comp
     _, proj, inner, by_fold = _projected(train, components)
     whole = sum(list(by_fold.values())[1:], start=next(iter(by_fold.values())))
     factor = factorise(whole, inner)
-    scored = predict(val.withColumn("fold", F.lit(0)), {0: (proj, factor, alphas)}).join(truth, ["row_key", "pos"])
-    per = spearman(scored, ["alpha", "pos"]).groupBy("alpha").agg(F.avg("spearman").alias("score"))
+    per = alpha_scores(val.withColumn("fold", F.lit(0)), truth, {0: (proj, factor, alphas)}).groupBy("alpha").agg(F.avg("spearman").alias("score"))
     table = best_alpha(per).orderBy("alpha").collect()
     best = next(r for r in table if r["chosen"])
     coef, icept = factor.at(best["alpha"])
@@ -292,8 +369,7 @@ def ridge_cv(train: DataFrame, truth: DataFrame, components: int | None, alphas:
         edge = False
     else:
         models = {f: (inner, factorise(whole - m, inner), alphas) for f, m in by_fold.items()}
-        scored = predict(train, models).join(truth, ["row_key", "pos"])
-        per = spearman(scored, ["alpha", "fold", "pos"]).groupBy("alpha", "fold").agg(F.avg("spearman").alias("score"))
+        per = alpha_scores(train, truth, models).groupBy("alpha", "fold").agg(F.avg("spearman").alias("score"))
         table = best_alpha(per).orderBy("alpha").collect()
         scores = [(r["alpha"], r["score"]) for r in table]
         best = next(r for r in table if r["chosen"])

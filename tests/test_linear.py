@@ -132,3 +132,34 @@ def test_more_features_than_samples_take_the_sample_route(spark, monkeypatch):
         assert abs(linear.effective_df(fit.projection.variance, 24, 10.0) - linear.effective_df(proj.variance, 24, 10.0)) < 1e-6
         if components == 4:
             assert np.allclose(fit.projection.basis, proj.basis)
+
+
+def test_alphas_are_scored_without_a_row_for_each_alpha_and_target(spark, monkeypatch):
+    x, y = data(n=90, t=5)
+    x[3], x[6] = x[0], x[0]  # equal predictions
+    y[:, 4] = 1.0  # nothing to rank
+    df = frame(spark, x, y)
+    truth = long_truth(df).withColumn("truth", F.when((F.col("pos") == 1) & F.col("row_key").isin("r4", "r7"), None).otherwise(F.round("truth")))
+    truth = truth.filter("pos <> 2 or row_key <> 'r5'").filter("pos <> 3 or row_key in ('r0', 'r1', 'r2')")
+    alphas = [0.1, 10.0, 1e4]
+    by_fold = linear.moments(df)
+    whole = by_fold[0] + by_fold[1] + by_fold[2]
+    proj = linear.fit_projection(whole, None)
+    models = {f: (proj, linear.factorise(whole - m, proj), alphas) for f, m in by_fold.items()}
+
+    def scores(found):
+        return {(r["alpha"], r["fold"], r["pos"]): r["spearman"] for r in found.collect()}
+
+    def close(a, b):
+        return all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in b)
+
+    want = scores(linear.spearman(linear.predict(df, models).join(truth, ["row_key", "pos"]), ["alpha", "fold", "pos"]))
+    assert len(want) == 45 and sum(v is None for v in want.values()) == 18
+    monkeypatch.setattr(linear, "SCORED_NUMBERS", 0)  # by Spark's sort
+    assert close(scores(linear.alpha_scores(df, truth, models)), want)
+    monkeypatch.setattr(linear, "SCORED_NUMBERS", 10**6)
+    monkeypatch.setattr(linear, "SCORED_TARGETS", 2)
+    monkeypatch.setattr(linear, "predict", None)
+    assert close(scores(linear.alpha_scores(df, truth, models)), want)
+    assert len(linear.ridge_cv(df, truth, None, alphas).scores) == 3
+    assert len(linear.ridge_by_validation(df.filter("fold <> 2"), df.filter("fold = 2"), truth, None, alphas).scores) == 3
