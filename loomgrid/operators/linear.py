@@ -282,7 +282,7 @@ def alpha_scores(samples: DataFrame, truth: DataFrame, models: dict[int, tuple[P
     k, t = next(iter(models.values()))[1].inner.shape
     width = min(SCORED_TARGETS, SCORED_NUMBERS // max(largest, 1) - k)
     if width < 1:
-        return spearman(predict(samples, models).join(truth, ["row_key", "pos"]), ["alpha", "fold", "pos"]).drop("n")
+        return spearman(with_truth(predict(samples, models), truth), ["alpha", "fold", "pos"]).drop("n")
     shared = samples.sparkSession.sparkContext.broadcast(models)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,12 +310,17 @@ def alpha_scores(samples: DataFrame, truth: DataFrame, models: dict[int, tuple[P
 
     cell = F.struct("pos", F.coalesce(F.col("truth").cast("double"), F.lit(float("nan"))).alias("truth"))
     cells = truth.groupBy("row_key").agg(F.collect_list(cell).alias("c")).select("row_key", "c.pos", "c.truth")
-    held = samples.select("row_key", "fold", "x").join(cells, "row_key").select("fold", "x", "pos", "truth")
+    held = samples.select("row_key", "fold", "x").join(cells.hint("merge"), "row_key").select("fold", "x", "pos", "truth")
     blocks = held.mapInPandas(spread, "fold int, block int, z array<double>, truth array<double>")
     out = blocks.groupBy("fold", "block").applyInPandas(score, "alpha double, fold int, pos int, spearman double")
     return out.withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
 
 
+def with_truth(preds: DataFrame, truth: DataFrame) -> DataFrame:
+    """Predictions with the truth of their cells, by a merge: the optimizer takes them for as small as the arrays they are exploded from and would have the driver broadcast them."""
+    return preds.join(truth.hint("merge"), ["row_key", "pos"])
+
+
 @dataclass
 class RidgeFit:
     alpha: float
@@ -460,7 +465,7 @@ def mlp_cv(train: DataFrame, truth: DataFrame, alphas: list[float] = config.MLP_
     else:
         grid = spark.createDataFrame([(float(a), f) for a in alphas for f in folds], "alpha double, fold int").repartition(len(alphas) * len(folds), "alpha", "fold")
         preds = grid.groupBy("alpha", "fold").applyInPandas(held_out, "alpha double, fold int, row_key string, preds array<double>")
-        long = preds.select("alpha", "fold", "row_key", F.posexplode("preds").alias("pos", "pred")).join(truth, ["row_key", "pos"])
+        long = with_truth(preds.select("alpha", "fold", "row_key", F.posexplode("preds").alias("pos", "pred")), truth)
         per = spearman(long, ["alpha", "fold", "pos"]).groupBy("alpha", "fold").agg(F.avg("spearman").alias("score"))
         table = best_alpha(per).orderBy("alpha").collect()
         scores = [(r["alpha"], r["score"]) for r in table]

@@ -361,12 +361,14 @@ def _samples(spark: SparkSession, d: str, features: str = "expression") -> tuple
     """Samples with features (imputed expression, or embeddings as they are) and targets, split and fold; and the raw targets."""
     effects = stage(inputs.effect_cells(spark, d), "effects")
     chosen = cells.selective(cells.target_statistics(effects, effects.select("row_key").distinct().count())).select("col_key")
-    raw = stage(baselines.with_split(effects, inputs.splits(spark, d)).join(chosen, "col_key", "left_semi"), "targets")
+    # tables of a row for each line or cell are merged: their files are packed so well that the optimizer would broadcast them
+    splits = inputs.splits(spark, d).hint("merge")
+    raw = stage(baselines.with_split(effects, splits).join(chosen, "col_key", "left_semi"), "targets")
     if features == "embeddings":
         vectors = table(spark, d, "embeddings").select(F.format_string("ACH-%06d", F.col("vec_id")).alias("row_key"), F.col("embedding").cast("array<double>").alias("x"))
-        xs = baselines.with_split(vectors, inputs.splits(spark, d)).select("row_key", "split", "x")
+        xs = baselines.with_split(vectors, splits).select("row_key", "split", "x")
     else:
-        x = baselines.impute_train_mean(_expression_split(spark, d))
+        x = baselines.impute_train_mean(baselines.with_split(inputs.expression_cells(spark, d), splits))
         keep = F.array_sort(F.collect_list(F.struct(F.col("col_key").cast("long").alias("k"), F.col("imputed").alias("v"))))
         xs = x.groupBy("row_key", "split").agg(F.transform(keep, lambda s: s["v"]).alias("x"))
     targets = [r[0] for r in raw.select("col_key").distinct().orderBy(F.col("col_key").cast("long")).collect()]  # the selected targets, as the model has them
@@ -374,12 +376,12 @@ def _samples(spark: SparkSession, d: str, features: str = "expression") -> tuple
     truth = raw.select("row_key", "split", position.alias("pos"), F.col("value").alias("truth"))
     mean = raw.filter("split = 'train'").groupBy("col_key").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"))
     # exactly the cells that the target arrays hold; absent ones get the training mean
-    dense = grid(raw.select("row_key").distinct(), mean).join(raw.select("row_key", "col_key", "value"), ["row_key", "col_key"], "left").select("row_key", F.col("col_key").cast("long").alias("k"), F.coalesce("value", "mean").alias("v"))
+    dense = grid(raw.select("row_key").distinct(), mean).join(raw.select("row_key", "col_key", "value").hint("merge"), ["row_key", "col_key"], "left").select("row_key", F.col("col_key").cast("long").alias("k"), F.coalesce("value", "mean").alias("v"))
     ys = dense.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("y"))
     grp = _members(spark, d).select(F.col("model_id").alias("row_key"), "grp")
-    both = stage(xs.join(ys, "row_key").join(grp, "row_key", "left").withColumn("grp", F.coalesce("grp", "row_key")), "unfolded")
+    both = stage(xs.join(ys.hint("merge"), "row_key").join(grp.hint("merge"), "row_key", "left").withColumn("grp", F.coalesce("grp", "row_key")), "unfolded")
     folds = group_split.group_folds(both.filter("split = 'train'").groupBy("grp").agg(F.count("*").alias("size"))).select("grp", "fold")
-    out = both.join(folds, "grp", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
+    out = both.join(folds.hint("merge"), "grp", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
     return stage(out, "samples"), stage(truth, "truth")
 
 
@@ -451,7 +453,7 @@ def _head(spark: SparkSession, d: str, kind: str, features: str, split: str = "v
         else:
             fit = linear.ridge_cv(train, truth, components)
         preds = linear.predict(held.withColumn("fold", F.lit(0)), {0: (fit.projection, {fit.alpha: (fit.coef, fit.intercept)})})
-    scored = stage(preds.join(truth, ["row_key", "pos"]).select("pos", "truth", "pred"), "scored")
+    scored = stage(linear.with_truth(preds, truth).select("pos", "truth", "pred"), "scored")
     both = metrics.spearman(scored, ["pos"]).drop("n").join(metrics.r_squared(scored, ["pos"]).drop("n"), "pos")
     out = both.agg(F.count("*").alias("n_targets"), F.round(F.avg("spearman"), 4).alias("spearman_mean"), F.round(F.avg("r2"), 4).alias("r2_mean"))
     return out.select(F.lit(kind).alias("head"), F.lit(float(fit.alpha)).alias("alpha"), F.lit(bool(fit.at_boundary)).alias("at_boundary"), "n_targets", "spearman_mean", "r2_mean")

@@ -163,3 +163,22 @@ def test_alphas_are_scored_without_a_row_for_each_alpha_and_target(spark, monkey
     assert close(scores(linear.alpha_scores(df, truth, models)), want)
     assert len(linear.ridge_cv(df, truth, None, alphas).scores) == 3
     assert len(linear.ridge_by_validation(df.filter("fold <> 2"), df.filter("fold = 2"), truth, None, alphas).scores) == 3
+
+
+def test_the_driver_is_not_asked_to_broadcast_predictions(spark, monkeypatch):
+    x, y = data()
+    df = linear.stage(frame(spark, x, y), "samples")  # files, of whose size the optimizer thinks little
+    truth = linear.stage(long_truth(df), "truth")
+    by_fold = linear.moments(df)
+    whole = by_fold[0] + by_fold[1] + by_fold[2]
+    proj = linear.fit_projection(whole, None)
+    models = {f: (proj, linear.factorise(whole - m, proj), [0.1, 10.0]) for f, m in by_fold.items()}
+
+    def broadcasts(found):
+        return "BroadcastExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+    assert broadcasts(linear.predict(df, models).join(truth, ["row_key", "pos"]))  # left to itself
+    assert not broadcasts(linear.with_truth(linear.predict(df, models), truth))
+    assert not broadcasts(linear.alpha_scores(df, truth, models))
+    monkeypatch.setattr(linear, "SCORED_NUMBERS", 0)
+    assert not broadcasts(linear.alpha_scores(df, truth, models))
